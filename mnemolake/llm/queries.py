@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemolake.llm import boilerplate, bpe, leakage, runs, spans, splitting
+from mnemolake.llm import boilerplate, bpe, leakage, ocr_repair, pii, runs, spans, splitting
 from mnemolake.session import table
 
 
@@ -39,6 +39,37 @@ def p5_clean_texts(spark, d):
     return boilerplate.without_lines(texts, boilerplate.repeated_lines(texts))
 
 
+def _p6_tables(spark, d):
+    return table(spark, d, "corpus_records"), table(spark, d, "memory_records"), table(spark, d, "pending_chunks")
+
+
+def p6_found(spark, d):
+    corpus, records, chunks = _p6_tables(spark, d)
+    found = pii.personal_spans(pii.personal_texts(corpus, records, chunks)).select("origin", "row_key", "kind").distinct()
+    return pii.by_record(found, records).select("origin", "row_key", "kind").distinct()
+
+
+def p6_redacted(spark, d):
+    corpus, records, chunks = _p6_tables(spark, d)
+    texts = pii.personal_texts(corpus, records, chunks)
+    r = pii.redacted(texts, pii.personal_spans(texts))
+    titles = r.filter("origin = 'memory_records'").withColumnRenamed("row_key", "window_title")
+    ids = records.select(F.col("id").alias("row_key"), "window_title").distinct()
+    return r.filter("origin <> 'memory_records'").unionByName(ids.join(titles, "window_title").select(*r.columns))
+
+
+def _p7_texts(spark, d):
+    return ocr_repair.scanned_texts(table(spark, d, "recognized_texts"), table(spark, d, "corpus_records"))
+
+
+def p7_found(spark, d):
+    return ocr_repair.faulty_lines(_p7_texts(spark, d)).distinct()
+
+
+def p7_repaired(spark, d):
+    return ocr_repair.repaired_texts(_p7_texts(spark, d))
+
+
 def p8_ids(spark, d):
     return bpe.encode_texts(table(spark, d, "documents"))
 
