@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemolake.llm import boilerplate, bpe, leakage, ocr_repair, pii, runs, spans, splitting
+from mnemolake.llm import boilerplate, bpe, leakage, neighbours, ocr_repair, pii, runs, spans, splitting
 from mnemolake.session import table
 
 
@@ -17,6 +17,15 @@ def p1_found(spark, d):
     return runs.collapse_runs(table(spark, d, "memory_records")).filter("n > 1").select("session_id", "start_ms", "end_ms").distinct()
 
 
+def p2_neighbours(spark, d):
+    x = neighbours.nearest(table(spark, d, "chunk_index"))
+    return x.select("id", "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+def p2_found(spark, d):
+    return neighbours.near_pairs(table(spark, d, "chunk_index"))
+
+
 def p4_pieces(spark, d):
     return splitting.split_texts(table(spark, d, "record_chunks")).select("id", "record_id", "ord", "piece", "start", "end", "text")
 
