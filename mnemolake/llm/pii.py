@@ -76,6 +76,11 @@ PAIR = re.compile(
 )
 LOWER_PAIR = re.compile(rf"(?<![\w@.+\-/])(?P<a>{_WORD}{{3,}}(?:-{_WORD}+)*)(?P<c>,)?{_S}+(?:{_WORD}\.{_S}*)?(?=(?P<b>{_WORD}{{4,}}(?:-{_WORD}+)*)(?![\w@]|-\w))")
 NUMBER = re.compile(r"(?<![\w.\-/+@])(?:[A-Z]{1,3}[ \-]?)?\d(?:[ \-./]?\d){5,14}(?:[ \-]?[A-Z])?(?![\w\-/@])")
+# cheap signs without which the patterns above cannot match
+_AT = re.compile(r"[\[(]\s*at\s*[\])]", re.I)
+_SIX_DIGITS = re.compile(r"\d(?:\D{0,3}\d){5}")
+_NUMBER_FIRST = re.compile(r"\d(?: ?\w)?,?[^\S\n]+(?:bis|ter|quater)?,?[^\S\n]*(?:[A-ZÀ-Ý]|(?i:rue|av|bo|bd|pla|che|imp|all|quai|cours|rou))|\d ?(?i:bis|ter|quater)")
+_STREET_FIRST = re.compile(r"(?i:stra(?:ß|ss)e|str\.|weg|allee|platz|gasse|damm|ufer)[^\S\n]+\d|\b(?i:calle|c/|avda\.?|avenida|plaza|paseo|carrer|ronda|camino|via|viale|piazza)[^\S\n]")
 _LOCAL = re.compile(r"^(?:<?mailto:)?([^\W\d_]{3,})[._]([^\W\d_]{4,})(?:-?\d+)?\s*[@\[(]", re.I)
 _DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 _DNI = re.compile(r"(?<![\w\-])(\d{8})-?([A-Z])(?!\w)")
@@ -95,6 +100,20 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
     return re.sub(r"\d+", "9", left.lower()), re.sub(r"\d+", "9", right.lower())
 
 
+_DIGIT = re.compile(r"\d")
+
+
+def _in_lines(pattern: re.Pattern, text: str, sign) -> Iterator[re.Match]:
+    """Matches in the lines that show a sign; no pattern reaches over a line end."""
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if sign(text[at:end]):
+            yield from pattern.finditer(text, at, end)
+        at = end + 1
+
+
 def find_spans(text: str, titles: bool = False) -> list[tuple]:
     """(kind, seed, start, end, a, b, rev, cap, left, right) of a text: certain spans (seed) and candidates."""
     out: list[tuple] = []
@@ -107,20 +126,20 @@ def find_spans(text: str, titles: bool = False) -> list[tuple]:
         taken.append((a, z))
         out.append((kind, True, a, z, None, None, False, True, *_context(text, a, z)))
 
-    if "@" in text or ("at" in text.lower() and ("(" in text or "[" in text)):
-        for m in EMAIL.finditer(text):
+    if "@" in text or _AT.search(text):
+        for m in _in_lines(EMAIL, text, lambda x: "@" in x or _AT.search(x)):
             add("email", m.start(), m.end())
             p = _LOCAL.match(m[0])
             if p:
                 out.append(("mail", True, m.start(), m.end(), p[1].lower(), p[2].lower(), False, True, "", ""))
-    if any(c.isdigit() for c in text):
-        for m in ID_NUMBER.finditer(text):
+    if _DIGIT.search(text):
+        for m in _in_lines(ID_NUMBER, text, _SIX_DIGITS.search):
             if sum(c.isdigit() for c in m[0]) >= 6 and free(*m.span()):
                 add("id_number", *m.span())
         for m in _DNI.finditer(text):
             if _DNI_LETTERS[int(m[1]) % 23] == m[2] and free(*m.span()):
                 add("id_number", *m.span())
-        for m in ADDRESS.finditer(text):
+        for m in _in_lines(ADDRESS, text, lambda x: _NUMBER_FIRST.search(x) or _STREET_FIRST.search(x)):
             if free(*m.span()):
                 add("address", *m.span())
         if titles:
