@@ -1,7 +1,7 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
 A vector's hash string in a tree begins with a learned symbol: the nearest of CELLS centroids (spherical k-means, fitted
-on at most SAMPLE vectors).  The further symbols are drawn from what the centroid leaves over: each is the index, with
+on about SAMPLE vectors, 2 * SAMPLE at most).  The further symbols are drawn from what the centroid leaves over: each is the index, with
 sign, of the greatest of BLOCK random projections.  A tree is the sorted array of these strings.  The longest common
 prefixes of a string are with its neighbours in the array; going outward from its place is the descent to the longest
 match and then the ascent to shorter ones.  All trees ascend together up to REACH places; on the way a pair becomes a
@@ -221,7 +221,8 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "vector", k: int = 3,
     ids = materialize(v.groupBy("id").agg(F.min("h").alias("h")))
     packed = v.select("h", "v").mapInPandas(_pack_rows, "h bigint, vec binary").groupBy("h").agg(F.min("vec").alias("vec"))
     vecs = materialize(packed.join(ids.select("h").distinct(), "h", "left_semi"))
-    sample = [r[0] for r in vecs.orderBy("h").limit(SAMPLE).select("vec").collect()]
+    step = max(1, vecs.count() // SAMPLE)  # about SAMPLE rows, spread evenly by hash
+    sample = [r[0] for r in vecs.filter(F.pmod(F.xxhash64("h"), F.lit(step)) == 0).select("h", "vec").limit(2 * SAMPLE).select("vec").collect()]
     if not sample:
         return df.sparkSession.createDataFrame([], "id string, rank bigint, neighbour string, cosine double")
     x = _units(sample)
