@@ -181,14 +181,14 @@ def should_drop(app: Column, x: Column) -> Column:
 
 
 def useful_line(app: Column, x: Column) -> Column:
-    n = normalize_inline(x)
-    return bytes_of(n).between(X.MIN_LINE_BYTES, 240) & ~should_drop(app, n) & ~generic_title(app, n)
+    return bind(normalize_inline(x), lambda n: bytes_of(n).between(X.MIN_LINE_BYTES, 240) & ~should_drop(app, n) & ~generic_title(app, n))
 
 
-def line_quality(app: Column, x: Column, low_conf: Column) -> Column:
+def line_quality(app: Column, x: Column, low_conf: Column, dropped: Column | None = None) -> Column:
+    dropped = should_drop(app, x) if dropped is None else dropped
     alpha = F.when(x == "", F.lit(0.0)).otherwise(alnum_count(x) / bytes_of(x))
     score = alpha * 0.52 + (F.lit(1.0) - symbol_ratio(x)) * 0.28 + F.least(bytes_of(x), F.lit(180)) / 180 * 0.20
-    score = score * F.when(low_conf, 0.78).otherwise(1.0) * F.when(should_drop(app, x), 0.16).otherwise(1.0)
+    score = score * F.when(low_conf, 0.78).otherwise(1.0) * F.when(dropped, 0.16).otherwise(1.0)
     score = score * F.when(~is_code(app) & file_inventory(x), 0.25).otherwise(1.0)
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
@@ -197,10 +197,20 @@ def _clean_lines(text: Column) -> Column:
     return F.filter(F.transform(text_lines(text), normalize_inline), lambda x: x != "")
 
 
+def bind(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f uses it (inside lambdas nothing is shared otherwise)."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def _first_of_each(arr: Column, key) -> Column:
-    """Entries of an array whose key did not occur before."""
-    keys = F.transform(arr, key)
-    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """Entries of an array of strings whose key did not occur before."""
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(F.concat(acc["keys"], F.array(key(x))).alias("keys"), F.concat(acc["out"], F.array(x)).alias("out"))
+        return F.when(F.array_contains(acc["keys"], key(x)), acc).otherwise(new)
+
+    return F.aggregate(arr, F.struct(none.alias("keys"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def noise_score(app: Column, text: Column) -> Column:
@@ -208,9 +218,11 @@ def noise_score(app: Column, text: Column) -> Column:
         over = F.least(F.greatest((symbol_ratio(x) - 0.5) * 1.8, F.lit(0.0)), F.lit(1.0))
         return F.when(should_drop(app, x) | (bytes_of(x) < X.MIN_LINE_BYTES), F.lit(1.0)).when(symbol_ratio(x) > 0.5, over).otherwise(0.0)
 
-    lines = _clean_lines(text)
-    total = F.aggregate(F.transform(lines, weight), F.lit(0.0), lambda a, b: a + b)
-    return F.when(F.size(lines) == 0, F.lit(1.0)).otherwise(F.least(total / F.size(lines), F.lit(1.0)))
+    def mean(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda a, b: a + b)
+        return F.when(F.size(w) == 0, F.lit(1.0)).otherwise(F.least(total / F.greatest(F.size(w), F.lit(1)), F.lit(1.0)))
+
+    return bind(F.transform(_clean_lines(text), weight), mean)
 
 
 def reduce_noise(app: Column, text: Column) -> Column:
@@ -222,38 +234,52 @@ def high_signal(app: Column, text: Column) -> Column:
     """Struct of the kept text and the counters of its lines."""
     raw = F.transform(text_lines(text), lambda x: F.struct(strip_low_conf(x).alias("x"), x.contains(X.LOW_CONF).alias("low")))
     lines = F.filter(raw, lambda r: r["x"] != "")
-    scored = F.transform(
-        lines, lambda r: F.struct(r["x"].alias("x"), r["low"].alias("low"), should_drop(app, r["x"]).alias("drop"), line_quality(app, r["x"], r["low"]).alias("q"))
-    )
     weak = lambda r: (r["q"] < X.QUALITY_FLOOR) | (bytes_of(r["x"]) < X.MIN_LINE_BYTES)
-    kept = _first_of_each(F.transform(F.filter(scored, lambda r: ~r["drop"] & ~weak(r)), lambda r: r["x"]), F.lower)
-    out = F.array_join(kept, "\n")
-    total = F.size(scored)
-    return F.struct(
-        F.when(out == "", reduce_noise(app, F.replace(text, F.lit(X.LOW_CONF), F.lit(" ")))).otherwise(out).alias("text"),
-        total.cast("bigint").alias("total_lines"),
-        F.size(kept).cast("bigint").alias("kept_lines"),
-        F.size(F.filter(scored, lambda r: r["low"])).cast("bigint").alias("low_conf_lines"),
-        F.size(F.filter(scored, lambda r: r["drop"])).cast("bigint").alias("dropped_noise_lines"),
-        F.size(F.filter(scored, lambda r: ~r["drop"] & weak(r))).cast("bigint").alias("dropped_low_signal_lines"),
-        F.when(total == 0, 0.0).otherwise(F.aggregate(F.transform(scored, lambda r: r["q"]), F.lit(0.0), lambda a, b: a + b) / total).alias("avg_line_score"),
-    )
+
+    def judged(r: Column) -> Column:
+        s = F.struct(r["x"].alias("x"), r["low"].alias("low"), should_drop(app, r["x"]).alias("drop"))
+        return bind(s, lambda v: F.struct(v["x"].alias("x"), v["low"].alias("low"), v["drop"].alias("drop"), line_quality(app, v["x"], v["low"], v["drop"]).alias("q")))
+
+    def counted(scored: Column) -> Column:
+        kept = _first_of_each(F.transform(F.filter(scored, lambda r: ~r["drop"] & ~weak(r)), lambda r: r["x"]), F.lower)
+        total = F.size(scored)
+        return F.struct(
+            kept.alias("kept"),
+            total.cast("bigint").alias("total_lines"),
+            F.size(F.filter(scored, lambda r: r["low"])).cast("bigint").alias("low_conf_lines"),
+            F.size(F.filter(scored, lambda r: r["drop"])).cast("bigint").alias("dropped_noise_lines"),
+            F.size(F.filter(scored, lambda r: ~r["drop"] & weak(r))).cast("bigint").alias("dropped_low_signal_lines"),
+            F.when(total == 0, 0.0).otherwise(F.aggregate(F.transform(scored, lambda r: r["q"]), F.lit(0.0), lambda a, b: a + b) / F.greatest(total, F.lit(1))).alias("avg_line_score"),
+        )
+
+    def whole(c: Column) -> Column:
+        out = F.array_join(c["kept"], "\n")
+        fallback = reduce_noise(app, F.replace(text, F.lit(X.LOW_CONF), F.lit(" ")))
+        return F.struct(
+            F.when(F.size(c["kept"]) == 0, fallback).otherwise(out).alias("text"), c["total_lines"].alias("total_lines"), F.size(c["kept"]).cast("bigint").alias("kept_lines"),
+            c["low_conf_lines"].alias("low_conf_lines"), c["dropped_noise_lines"].alias("dropped_noise_lines"),
+            c["dropped_low_signal_lines"].alias("dropped_low_signal_lines"), c["avg_line_score"].alias("avg_line_score"),
+        )
+
+    return bind(bind(F.transform(lines, judged), counted), whole)
 
 
 def fallback_snippet(app: Column, title: Column, text: Column) -> Column:
-    t = normalize_inline(title)
-    good = (t != "") & useful_line(app, t)
-    lines = F.filter(_clean_lines(text), lambda x: useful_line(app, x) & ~file_inventory(x) & ~json_inventory(x))
-    details = _first_of_each(F.filter(lines, lambda x: ~good | (F.lower(x) != F.lower(t))), F.lower)
-    two = F.array_join(F.slice(details, 1, 2), " | ")
     name = trim_all(app)
-    return (
-        F.when(good, truncate_snippet(F.when(two == "", t).otherwise(F.concat(t, F.lit(": "), two))))
-        .when(two != "", truncate_snippet(two))
-        .when(t != "", truncate_snippet(t))
-        .when(name != "", F.concat(F.lit("Using "), name))
-        .otherwise("")
-    )
+
+    def of(h: Column) -> Column:
+        t, good = h["t"], h["good"]
+        lines = F.filter(_clean_lines(text), lambda x: useful_line(app, x) & ~file_inventory(x) & ~json_inventory(x) & (~good | (F.lower(x) != F.lower(t))))
+        return bind(
+            F.array_join(F.slice(_first_of_each(lines, F.lower), 1, 2), " | "),
+            lambda two: F.when(good, truncate_snippet(F.when(two == "", t).otherwise(F.concat(t, F.lit(": "), two))))
+            .when(two != "", truncate_snippet(two))
+            .when(t != "", truncate_snippet(t))
+            .when(name != "", F.concat(F.lit("Using "), name))
+            .otherwise(""),
+        )
+
+    return bind(bind(normalize_inline(title), lambda t: F.struct(t.alias("t"), ((t != "") & useful_line(app, t)).alias("good"))), of)
 
 
 # salient spans
@@ -276,11 +302,12 @@ def sentences(block: Column) -> Column:
 
 
 def span_score(app: Column, span: Column) -> Column:
-    n = normalize_inline(span)
-    lines = _clean_lines(span)
+    return bind(F.struct(normalize_inline(span).alias("n"), _clean_lines(span).alias("lines"), words_of(normalize_inline(span)).alias("w")), lambda r: _span_score(app, r["n"], r["lines"], r["w"]))
+
+
+def _span_score(app: Column, n: Column, lines: Column, w: Column) -> Column:
     per_line = F.aggregate(F.transform(lines, lambda x: line_quality(app, x, F.lit(False))), F.lit(0.0), lambda a, b: a + b)
     avg = F.when(F.size(lines) == 0, line_quality(app, n, F.lit(False))).otherwise(per_line / F.greatest(F.size(lines), F.lit(1)))
-    w = words_of(n)
     size = F.greatest(F.size(w), F.lit(1))
     share = lambda cond, cap: F.least(F.size(F.filter(w, cond)) / size, F.lit(cap)) / cap
     caps = share(lambda t: t.rlike(r"^\p{Lu}"), 0.45)
@@ -318,6 +345,7 @@ def compress_evidence(spans: Column, text: Column, chars: int) -> Column:
 
 
 def concentration(spans: Column) -> Column:
+    """Share of the three best spans in the sum of all scores."""
     mass = lambda a: F.aggregate(F.transform(a, lambda r: r["score"]), F.lit(0.0), lambda x, y: x + y)
     total = mass(spans)
     return F.when(total <= 1e-6, 0.0).otherwise(F.least(mass(F.slice(spans, 1, 3)) / F.greatest(total, F.lit(1e-6)), F.lit(1.0)))
@@ -331,18 +359,23 @@ def ocr_preprocess(lines: Column) -> Column:
     low = F.lit(X.OCR_LOW).cast("float")
     drop = F.lit(X.OCR_DROP).cast("float")
     norm = F.transform(lines, lambda r: F.struct(normalize_inline(r["text"]).alias("x"), r["confidence"].cast("float").alias("c")))
-    fine = F.filter(norm, lambda r: (r["c"] >= drop) & (r["x"] != ""))
-    keys = F.transform(fine, lambda r: F.lower(r["x"]))
-    kept = F.filter(fine, lambda r, i: (i == 0) | (F.get(keys, i - 1) != F.lower(r["x"])))
     avg = lambda a: F.when(F.size(a) == 0, 0.0).otherwise(F.aggregate(F.transform(a, lambda r: r["c"].cast("double")), F.lit(0.0), lambda x, y: x + y) / F.size(a))
-    return F.struct(
-        F.array_join(F.transform(kept, lambda r: F.when(r["c"] < low, F.concat(F.lit(X.LOW_CONF + " "), r["x"])).otherwise(r["x"])), "\n").alias("text"),
-        avg(norm).alias("avg_confidence_all"),
-        avg(kept).alias("avg_confidence_kept"),
-        F.size(kept).cast("bigint").alias("lines_used"),
-        (F.size(lines) - F.size(fine)).cast("bigint").alias("lines_dropped"),
-        F.size(F.filter(kept, lambda r: r["c"] < low)).cast("bigint").alias("low_conf_count"),
-    )
+    def of_fine(f: Column) -> Column:
+        keys = F.transform(f, lambda r: F.lower(r["x"]))
+        return bind(keys, lambda k: F.struct(F.size(f).alias("fine"), F.filter(f, lambda r, i: (i == 0) | (F.get(k, i - 1) != F.lower(r["x"]))).alias("kept")))
+
+    def of_kept(h: Column) -> Column:
+        kept = h["kept"]
+        return F.struct(
+            F.array_join(F.transform(kept, lambda r: F.when(r["c"] < low, F.concat(F.lit(X.LOW_CONF + " "), r["x"])).otherwise(r["x"])), "\n").alias("text"),
+            avg(norm).alias("avg_confidence_all"),
+            avg(kept).alias("avg_confidence_kept"),
+            F.size(kept).cast("bigint").alias("lines_used"),
+            (F.size(lines) - h["fine"]).cast("bigint").alias("lines_dropped"),
+            F.size(F.filter(kept, lambda r: r["c"] < low)).cast("bigint").alias("low_conf_count"),
+        )
+
+    return bind(bind(F.filter(norm, lambda r: (r["c"] >= drop) & (r["x"] != "")), of_fine), of_kept)
 
 
 def ocr_noise(x: Column, aggressive: bool = True, custom: list[str] | None = None) -> Column:

@@ -234,6 +234,15 @@ def _phrases(node) -> list[Phrase]:
     return _phrases(node.left) + _phrases(node.right)
 
 
+def _followed_at(i: int):
+    # no default arguments: a lambda with two parameters would get the index of the element
+    return lambda x: F.array_contains("_p", x + i)
+
+
+def _near_to(k: int, first: int, size: int, reach: int):
+    return lambda x: F.exists(f"p{k}", lambda y: (y <= x + first + reach) & (x <= y + size + reach))
+
+
 def phrase_hits(index: Index, p: Phrase) -> DataFrame:
     """doc, tf, pos (of the first word) of a phrase; the last word may be a prefix."""
     out = None
@@ -246,7 +255,7 @@ def phrase_hits(index: Index, p: Phrase) -> DataFrame:
         if out is None:
             out = rows.withColumnRenamed("_p", "pos")
         else:
-            out = out.join(rows, "doc").select("doc", F.filter("pos", lambda x, i=i: F.array_contains("_p", x + i)).alias("pos"))
+            out = out.join(rows, "doc").select("doc", F.filter("pos", _followed_at(i)).alias("pos"))
     return out.filter(F.size("pos") > 0).select("doc", F.size("pos").cast("bigint").alias("tf"), "pos")
 
 
@@ -263,7 +272,8 @@ def _matches(index: Index, node) -> DataFrame:
             return out.select("doc")
         # every phrase within the distance of a place of the first; a span of the group is at most distance words
         first, reach = len(node.phrases[0].words), node.distance
-        ok = F.exists("p0", lambda x: _all(F.exists(f"p{k}", lambda y, k=k: (y <= x + first + reach) & (x <= y + len(node.phrases[k].words) + reach)) for k in range(1, len(node.phrases))))
+        near = [_near_to(k, first, len(node.phrases[k].words), reach) for k in range(1, len(node.phrases))]
+        ok = F.exists("p0", lambda x: _all(f(x) for f in near))
         return out.filter(ok).select("doc")
     a, b = _matches(index, node.left), _matches(index, node.right)
     if node.op == "and":
