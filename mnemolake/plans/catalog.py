@@ -173,12 +173,12 @@ def _ocr_lines(spark, d):
     k AS (SELECT * FROM f WHERE p IS NULL OR p <> lower(x)),
     a AS (SELECT doc_id, count(*) AS lines, avg(c / 100.0) AS avg_all, count(*) FILTER (NOT (c >= 40 AND x <> '')) AS dropped FROM m GROUP BY doc_id),
     b AS (SELECT doc_id, string_agg(CASE WHEN c < 65 THEN '[LOW_CONF] ' || x ELSE x END, chr(10) ORDER BY pos) AS t, count(*) AS used, count(*) FILTER (c < 65) AS low, avg(c / 100.0) AS avg_kept FROM k GROUP BY doc_id)
-    SELECT doc_id, coalesce(t, '') AS ocr_text, coalesce(used, 0) AS lines_used, dropped AS lines_dropped, coalesce(low, 0) AS low_conf_count, round(avg_all, 4) AS avg_confidence_all, round(coalesce(avg_kept, 0), 4) AS avg_confidence_kept
+    SELECT doc_id, coalesce(t, '') AS ocr_text, coalesce(used, 0) AS lines_used, dropped AS lines_dropped, coalesce(low, 0) AS low_conf_count, round(avg_all + 1e-7, 4) AS avg_confidence_all, round(coalesce(avg_kept, 0) + 1e-7, 4) AS avg_confidence_kept
     FROM a LEFT JOIN b USING (doc_id)"""
 )
 def ocr_preprocess(spark, d):
     o = _ocr_lines(spark, d).select("doc_id", T.ocr_preprocess(F.col("lines")).alias("o"))
-    return o.select("doc_id", F.col("o.text").alias("ocr_text"), "o.lines_used", "o.lines_dropped", "o.low_conf_count", F.round("o.avg_confidence_all", 4).alias("avg_confidence_all"), F.round("o.avg_confidence_kept", 4).alias("avg_confidence_kept"))
+    return o.select("doc_id", F.col("o.text").alias("ocr_text"), "o.lines_used", "o.lines_dropped", "o.low_conf_count", F.round(F.col("o.avg_confidence_all") + 1e-7, 4).alias("avg_confidence_all"), F.round(F.col("o.avg_confidence_kept") + 1e-7, 4).alias("avg_confidence_kept"))
 
 
 @query(
