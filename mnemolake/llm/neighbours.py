@@ -1,11 +1,12 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
-A vector's hash string in a tree begins with a learned symbol: the nearest of CELLS centroids (spherical k-means, fitted
+A vector's hash string in a tree begins with a learned symbol: the nearest of up to CELLS centroids (spherical k-means, fitted
 on about SAMPLE vectors, 2 * SAMPLE at most).  The further symbols are drawn from what the centroid leaves over: each is the index, with
 sign, of the greatest of BLOCK random projections.  A tree is the sorted array of these strings.  The longest common
 prefixes of a string are with its neighbours in the array; going outward from its place is the descent to the longest
 match and then the ascent to shorter ones.  All trees ascend together up to REACH places; on the way a pair becomes a
-candidate if its strings agree in AGREE symbols or more, and candidates are compared exactly.
+candidate if its strings agree in AGREE symbols or more, and rows with too few candidates ascend on without that bound.
+Candidates are compared exactly.
 
 Trees with the same codebook share the first symbol, so the forest is partitioned by it: every vector travels once per
 codebook, to the task that holds its cell, and hashing, sorting and comparing happen there.  Each codebook gives another
@@ -135,21 +136,32 @@ def _left_over(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return x - np.outer(x @ c, c)
 
 
-def forest_pairs(strings: np.ndarray, agree: int = AGREE, reach: int = REACH) -> np.ndarray:
-    """Candidate pairs (a, b), a < b, of rows of one cell; strings is (rows, trees, symbols)."""
-    n, found = len(strings), []
-    for t in range(strings.shape[1]):
-        s = strings[:, t]
-        order = np.lexsort(s.T[::-1])
-        s = s[order]
-        for w in range(1, min(reach, n - 1) + 1):
-            i = np.flatnonzero((s[:-w] == s[w:]).sum(1) >= agree)
-            a, b = order[i], order[i + w]
-            found.append(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b))
-        if len(found) > 4 * reach:
-            found = [np.unique(np.concatenate(found))]
-    k = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return np.stack([k // n, k % n], axis=1) if n else np.empty((0, 2), np.int64)
+def forest_pairs(strings: np.ndarray, agree: int = AGREE, reach: int = REACH, need: int = 5) -> np.ndarray:
+    """Candidate pairs (a, b), a < b, of rows of one cell; strings is (rows, trees, symbols).
+
+    In a cell of at most 4 * reach rows these are all.  Rows that have fewer than `need` candidates from all trees ascend on to shorter matches: to all within reach."""
+    n = len(strings)
+    if n <= 4 * reach:  # so few that every row ascends to the root
+        return np.stack(np.triu_indices(n, 1), axis=1)
+    orders = [np.lexsort(strings[:, t].T[::-1]) for t in range(strings.shape[1])]
+
+    def gather(chosen) -> np.ndarray:
+        found = [np.empty(0, np.int64)]
+        for t, order in enumerate(orders):
+            s = strings[order, t]
+            for w in range(1, min(reach, n - 1) + 1):
+                i = np.flatnonzero(chosen(order, s, w))
+                a, b = order[i], order[i + w]
+                found.append(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b))
+            if len(found) > 4 * reach:
+                found = [np.unique(np.concatenate(found))]
+        return np.unique(np.concatenate(found))
+
+    k = gather(lambda order, s, w: (s[:-w] == s[w:]).sum(1) >= agree)
+    few = np.bincount(np.concatenate([k // max(n, 1), k % max(n, 1)]), minlength=n) < need
+    if few.any() and n > 1:
+        k = np.unique(np.concatenate([k, gather(lambda order, s, w: few[order[:-w]] | few[order[w:]])]))
+    return np.stack([k // max(n, 1), k % max(n, 1)], axis=1)
 
 
 def best_of(x: np.ndarray, pairs: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -172,7 +184,7 @@ def _search_cells(books: list[np.ndarray], k: int):
         x, h = _units(g["vec"]), g["h"].to_numpy()
         book, tree = int(g["book"].iloc[0]), int(g["tree"].iloc[0])
         strings = hash_strings(_left_over(x, books[book][int(g["cell"].iloc[0])]), proj[book])
-        a, b, c = best_of(x, forest_pairs(strings if tree < 0 else strings[:, tree : tree + 1]), k + 2)
+        a, b, c = best_of(x, forest_pairs(strings if tree < 0 else strings[:, tree : tree + 1], need=k + 2), k + 2)
         return pd.DataFrame({"h": h[a], "o": h[b], "cosine": c.astype(np.float64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,12 +233,14 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "vector", k: int = 3,
     ids = materialize(v.groupBy("id").agg(F.min("h").alias("h")))
     packed = v.select("h", "v").mapInPandas(_pack_rows, "h bigint, vec binary").groupBy("h").agg(F.min("vec").alias("vec"))
     vecs = materialize(packed.join(ids.select("h").distinct(), "h", "left_semi"))
-    step = max(1, vecs.count() // SAMPLE)  # about SAMPLE rows, spread evenly by hash
+    n_vecs = vecs.count()
+    step = max(1, n_vecs // SAMPLE)  # about SAMPLE rows, spread evenly by hash
     sample = [r[0] for r in vecs.filter(F.pmod(F.xxhash64("h"), F.lit(step)) == 0).select("h", "vec").limit(2 * SAMPLE).select("vec").collect()]
     if not sample:
         return df.sparkSession.createDataFrame([], "id string, rank bigint, neighbour string, cosine double")
     x = _units(sample)
-    books = [centroids(x, CELLS, SEED + g) for g in range(CODEBOOKS)]
+    cells = max(1, min(CELLS, n_vecs // CELLS))  # a cell holds CELLS vectors or more on average
+    books = [centroids(x, cells, SEED + g) for g in range(CODEBOOKS)]
     cells = vecs.mapInPandas(_assign(books), "book int, cell int, h bigint")
     sizes = materialize(cells.groupBy("book", "cell").count())  # CODEBOOKS * CELLS rows at most
     large = {(r[0], r[1]) for r in sizes.filter(F.col("count") > CELL_ROWS).collect()}

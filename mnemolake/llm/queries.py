@@ -103,4 +103,28 @@ def p10_coverage(spark, d):
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
-SQL: dict[str, str] = {}
+
+_KEY = r"regexp_replace(replace(replace(lower(x), 'ß', 'ss'), 'ς', 'σ'), '[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\p{Nd}]+', '', 'g')"
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+#: the queries that SQL can express; the others are tested against brute force and exact round trips
+SQL: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT id FROM record_chunks WHERE length(text) > 1200",
+    "p5_found": f"""WITH c AS (SELECT 'corpus_records' AS origin, id::VARCHAR AS row_key, min(source) AS a, 'c' AS b, min(text) AS text FROM corpus_records GROUP BY id),
+        r AS (SELECT id, lower(trim(min(app_name))) AS app FROM memory_records GROUP BY id),
+        p AS (SELECT 'pending_chunks' AS origin, chunk_id AS row_key, min(source) AS a, min(app) AS b, min(text) AS text FROM pending_chunks LEFT JOIN r ON r.id = record_id GROUP BY chunk_id),
+        t AS (SELECT * FROM c UNION ALL SELECT * FROM p),
+        l AS (SELECT origin, row_key, a, b, text, unnest(range(1, len(s) + 1)) AS line_no, unnest(s) AS x FROM (SELECT *, string_split(text, chr(10)) AS s FROM t WHERE a <> '' AND b <> '' AND text <> '')),
+        k AS (SELECT *, {_KEY} AS k FROM l),
+        g AS (SELECT origin, a, b, k FROM k WHERE length(regexp_replace(k, '\\P{{L}}+', '', 'g')) >= 8 GROUP BY ALL HAVING count(DISTINCT text) >= 8)
+        SELECT DISTINCT origin, row_key, line_no FROM k JOIN g USING (origin, a, b, k)""",
+    "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items), j AS (SELECT item_id, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0),
+        n AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM j)),
+        d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text <> ''), s AS (SELECT DISTINCT k FROM n),
+        m AS (SELECT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, s WHERE len(w) >= k))
+        SELECT DISTINCT doc_id, item_id FROM m JOIN n USING (k, g)""",
+    "p2_found": """WITH v AS (SELECT id, any_value(vector) AS v FROM chunk_index WHERE len(vector) = 768 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id),
+        c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS c FROM v a JOIN v b ON a.id <> b.id),
+        r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM c) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 3""",
+}
