@@ -29,6 +29,7 @@ _WORD = r"[^\W\d_]"
 
 EMAIL = re.compile(
     r"(?:<?mailto:)?[A-Za-z0-9À-ÿ](?:[\w.+%'-]*[\w+])?@(?:[A-Za-z0-9À-ÿ](?:[\w-]*\w)?\.)+[A-Za-z]{2,}\b>?"
+    rf"|\b[A-Za-z0-9À-ÿ][\w.+-]*{_S}+@{_S}+(?:[A-Za-z0-9](?:[\w-]*\w)?\.)+[A-Za-z]{{2,}}\b"
     rf"|\b[A-Za-z0-9À-ÿ][\w.+-]*{_S}*[\[(]{_S}*at{_S}*[\])]{_S}*[A-Za-z0-9](?:[\w-]|\.(?=\w)|{_S}*[\[(]{_S}*dot{_S}*[\])]{_S}*)*[A-Za-z]",
     re.I,
 )
