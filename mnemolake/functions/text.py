@@ -7,6 +7,7 @@ as ''; white space and letters are Unicode's.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -413,3 +414,29 @@ def text_volume(chars: Column, confidence: Column, blocks: Column) -> Column:
 def low_signal(text: Column, confidence: Column, blocks: Column, min_chars: int) -> Column:
     n, c = bytes_of(trim_all(text)), confidence.cast("float")
     return (n < min_chars) | (c < F.lit(0.15).cast("float")) | ((blocks <= 1) & (c < F.lit(0.35).cast("float"))) | ~text_volume(n, c, blocks)
+
+
+@dataclass(frozen=True)
+class OcrConfig:
+    """Settings of text recognition; the confidence below which lines go is fixed (OCR_DROP)."""
+
+    min_confidence: float = 0.30
+    aggressive: bool = True
+    min_bytes: int = 7
+    custom: tuple[str, ...] = ()
+    dedup: bool = True
+    keep_format: bool = False
+    language_correction: bool = True
+    accurate: bool = True
+    min_text_height: float = 0.02
+
+    @classmethod
+    def fast(cls) -> OcrConfig:
+        return cls(0.3, False, 5, (), False, True, False, False, 0.015)
+
+    @classmethod
+    def high_quality(cls) -> OcrConfig:
+        return cls(0.7, False, 1, (), False, True, True, True, 0.01)
+
+    def normalize(self, text: Column) -> Column:
+        return ocr_normalize(text, self.min_bytes, self.aggressive, list(self.custom), self.dedup, self.keep_format)

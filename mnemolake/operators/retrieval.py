@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,6 +155,19 @@ def hybrid(keyword: DataFrame, vector: DataFrame, k: int = 10, constant: int = X
     return rrf(both, "id", constant).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
+def rerank(hits: DataFrame, score: str, model=None, text: str = "text", k: int = 50) -> DataFrame:
+    """The k best hits in the order of a model (a function of a series of texts); without a model nothing changes."""
+    top = hits.orderBy(F.desc(score)).limit(k)
+    if model is None:
+        return top
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(model(s), dtype="float64")
+
+    return top.withColumn("model_score", run(F.col(text))).orderBy(F.desc("model_score"))
+
+
 def recall_kind(ledger: DataFrame, tasks: DataFrame, kind: str) -> DataFrame:
     """decisions, todos, errors or blockers, as kind, at_ms, text, record_id."""
     d = ledger.select(F.lit("decisions").alias("kind"), F.col("decided_at_ms").alias("at_ms"), F.col("statement").alias("text"), "record_id")

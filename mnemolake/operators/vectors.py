@@ -45,12 +45,50 @@ def knn(df: DataFrame, key: str, vector: str, probe, k: int = 10, prefilter: Col
     return d.select(key, F.sqrt(l2_squared(F.col(vector), p)).alias("distance")).orderBy("distance", key).limit(k)
 
 
+PROBE_BLOCK = 2048
+
+
 def knn_batch(df: DataFrame, key: str, vector: str, probes: DataFrame, probe_key: str, probe_vector: str, k: int = 10) -> DataFrame:
-    """The k nearest rows of every probe: a stated, bounded set of probes against all rows."""
-    p = probes.select(F.col(probe_key).alias("probe"), F.col(probe_vector).alias("_p"))
-    d = df.select(F.col(key).alias("id"), F.col(vector).alias("_v")).join(p).select("probe", "id", F.sqrt(l2_squared(F.col("_v"), F.col("_p"))).alias("distance"))
+    """probe, id, rank, distance: the k nearest rows of every probe.
+
+    A stated set of probes goes against all rows in blocks of PROBE_BLOCK, which bounds what is sent; every batch of rows
+    keeps its k best of a probe, so that k rows per probe and batch are shuffled."""
+    p = probes.select(F.col(probe_key).alias("probe"), F.col(probe_vector).alias("v"))
+    out, last = None, None
+    kind = df.schema[key].dataType.simpleString()
+    while True:
+        block = (p if last is None else p.filter(F.col("probe") > last)).orderBy("probe").limit(PROBE_BLOCK).collect()
+        if block:
+            part = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(_nearest_of([r[0] for r in block], [r[1] for r in block], k), f"probe bigint, id {kind}, distance double")
+            out = part if out is None else out.unionByName(part)
+        if len(block) < PROBE_BLOCK:
+            break
+        last = block[-1][0]
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"probe bigint, id {kind}, distance double, rank int")
     w = Window.partitionBy("probe").orderBy(F.round("distance", 9), "id")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _nearest_of(names: list, values: list, k: int):
+    import numpy as np
+
+    probes = np.array(values, np.float64)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for lo in range(0, len(pdf), 2000):
+                ids = pdf["id"].to_numpy()[lo : lo + 2000]
+                x = np.stack(pdf["v"].to_numpy()[lo : lo + 2000]).astype(np.float64)
+                d = np.maximum((x * x).sum(1)[None] - 2 * probes @ x.T + (probes * probes).sum(1)[:, None], 0)
+                few = min(len(ids), k + 8)  # some to spare, as the exact distances come next
+                at = np.argpartition(d, few - 1, axis=1)[:, :few]
+                exact = np.sqrt(((x[at] - probes[:, None, :]) ** 2).sum(2)) if len(names) * few * x.shape[1] < 50_000_000 else np.sqrt(np.stack([((x[a] - q) ** 2).sum(1) for a, q in zip(at, probes)]))
+                yield pd.DataFrame({"probe": np.repeat(names, few), "id": ids[at].ravel(), "distance": exact.ravel()})
+
+    return run
 
 
 def ivf_cells(df: DataFrame, key: str, vector: str, cells: int = 16, seed: int = 11, sample: int = 4096, rounds: int = 6):

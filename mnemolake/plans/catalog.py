@@ -9,6 +9,7 @@ from mnemolake.functions import fixed as X
 from mnemolake.functions import text as T
 from mnemolake.operators import activity, evaluate, graph, privacy, retrieval, search, sessions, vectors
 from mnemolake.plans import sql as S
+from mnemolake.plans import tools
 from mnemolake.session import once_per_id, table
 from mnemolake.sources import store
 
@@ -570,12 +571,13 @@ def gate_replay(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT doc_id, source, app_name, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+    """WITH r AS (SELECT doc_id, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 50),
     f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY r) AS n FROM r)
     SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN r <= 3 THEN 0 ELSE n END, r) AS place FROM f"""
 )
 def diversity(spark, d):
-    x = retrieval.diversify(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "n_chars", "doc_id", "source")
+    hits = table(spark, d, "documents").select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(X.MAX_HITS)
+    x = retrieval.diversify(hits, "n_chars", "doc_id", "source")
     return x.select("doc_id", big(F.col("place")).alias("place"))
 
 
@@ -622,19 +624,61 @@ def chunk_lines(spark, d):
     return retrieval.chunk_lines(table(spark, d, "documents"), "doc_id", "text")
 
 
+# questions of agents
+
+
+@query()
+def session_story(spark, d):
+    s = tools.session_story(once_per_id(table(spark, d, "memory_records"), "id", "session_id", "captured_at_ms", "window_title"))
+    return s.select("session_id", big(F.col("session")).alias("session"), big(F.size("story")).alias("events"), F.to_json("story").alias("story"))
+
+
+@query("SELECT app_name, count(*) AS n FROM (SELECT DISTINCT id, app_name, captured_at_ms FROM memory_records) GROUP BY app_name")
+def timeline_app(spark, d):
+    return tools.timeline(table(spark, d, "memory_records").select("id", "app_name", "captured_at_ms").distinct(), "app").select("app_name", "n")
+
+
+@query("SELECT id, session_id FROM memory_records WHERE created_at_ms > 1577900000000")
+def delta_records(spark, d):
+    return tools.delta(table(spark, d, "memory_records"), 1_577_900_000_000).select("id", "session_id")
+
+
+@query()
+def record_insight(spark, d):
+    t, app, text = _docs(spark, d)
+    i = t.select("doc_id", tools.insight(app, F.lit(""), text).alias("i"))
+    return i.select("doc_id", "i.cleaned_text", "i.summary", F.round("i.noise", 6).alias("noise"), "i.embedding_text")
+
+
+@query(
+    f"""WITH c AS (SELECT id, window_title AS t, app_name AS a FROM (SELECT id, min(window_title) AS window_title, min(app_name) AS app_name FROM memory_records GROUP BY id))
+    SELECT id, CASE WHEN regexp_matches({S.trim("coalesce(t, '')")}, '^$') THEN 'empty' END AS reason FROM c WHERE {S.trim("coalesce(t, '')")} = ''"""
+)
+def capture_admission(spark, d):
+    r = table(spark, d, "memory_records").groupBy("id").agg(F.min("window_title").alias("window_title"), F.min("app_name").alias("app_name"))
+    return activity.capture_admission(r, "window_title", "window_title", "app_name").filter("reason = 'empty'").select("id", "reason")
+
+
+@query(
+    """SELECT session_id, count(*) AS records, min(captured_at_ms) AS first_ms, max(captured_at_ms) AS last_ms FROM (SELECT DISTINCT id, session_id, captured_at_ms FROM memory_records)
+    WHERE captured_at_ms >= 1577919600000 AND captured_at_ms < 1578006000000 GROUP BY session_id"""
+)
+def daily_consolidation(spark, d):
+    r = table(spark, d, "memory_records").select("id", "session_id", "captured_at_ms").distinct()
+    return activity.consolidation(r, "captured_at_ms", "Europe/Berlin", "2020-01-02", "session_id")
+
+
 # graph
 
 
 def _edges(spark, d):
     """customer c -> order o -> part p as one graph of strings."""
-    o = table(spark, d, "orders").filter("o_custkey <= 200").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"), "o_orderkey")
-    line = table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    line = line.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
-    return o.select("src", "dst").unionByName(line)
+    o = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst"))
+    line = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    return o.unionByName(line)
 
 
-_EDGES = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_custkey <= 200
-UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey <= 200))"""
+_EDGES = """e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem)"""
 
 
 @query(f"WITH {_EDGES}, o AS (SELECT src AS node, count(*) AS a FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS b FROM e GROUP BY 1) SELECT node, coalesce(a, 0) AS out_degree, coalesce(b, 0) AS in_degree, coalesce(a, 0) + coalesce(b, 0) AS degree FROM o FULL JOIN i USING (node)")
@@ -647,9 +691,10 @@ def graph_neighbourhood(spark, d):
     return graph.neighbourhood(_edges(spark, d), spark.createDataFrame([("c7",)], "node string"), 2).select("node", big(F.col("depth")).alias("depth"))
 
 
-@query(f"WITH {_EDGES} SELECT 'p' || p_partkey AS node FROM part WHERE 'p' || p_partkey NOT IN (SELECT dst FROM e)")
+@query(f"WITH {_EDGES} SELECT node FROM (SELECT 'p' || p_partkey AS node FROM part UNION ALL SELECT 's' || s_suppkey FROM supplier) WHERE node NOT IN (SELECT dst FROM e)")
 def graph_isolated(spark, d):
-    return graph.isolated(table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")), _edges(spark, d))
+    nodes = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")).unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
+    return graph.isolated(nodes, _edges(spark, d))
 
 
 @query()
@@ -669,6 +714,11 @@ def graph_components(spark, d):
     return graph.components(_small(spark, d))
 
 
+@query("SELECT 'o' || o_orderkey AS node, 'c' || o_custkey AS component FROM orders UNION ALL SELECT DISTINCT 'c' || o_custkey, 'c' || o_custkey FROM orders")
+def graph_components_orders(spark, d):
+    return graph.components(table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("o"), "o_orderkey").alias("dst")))
+
+
 @query()
 def graph_communities(spark, d):
     return graph.communities(_small(spark, d))

@@ -62,3 +62,18 @@ def bytes_needed(status: DataFrame, ids: list[str]) -> int:
     """Sum of the sizes of wanted artifacts that are missing or wrongly sized; unknown ids need nothing."""
     r = status.filter(F.col("id").isin(ids) & F.col("state").isin("missing", "wrong_size")).agg(F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
     return int(r[0])
+
+
+def synthetic_rows(spark: SparkSession, n: int, dim: int = 768, topics: int = 10) -> DataFrame:
+    """Rows of a scale probe: id, source, captured_at_ms, text, vector; every value follows from the id."""
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(F.col("id"), i), F.lit(2_000_001)) / 1_000_000.0 - 1.0).cast("float"))
+    topic = F.concat(F.lit("topic"), F.pmod("id", F.lit(topics)).cast("string"))
+    return spark.range(n).select(
+        "id", F.when(F.col("id") % 5 == 0, "meeting").otherwise("screen").alias("source"), (F.col("id") * 1000 + 1_755_000_000_000).alias("captured_at_ms"),
+        F.concat(topic, F.lit(" notes continued in window rec"), F.col("id").cast("string"), F.lit(" with more detail")).alias("text"), vector.alias("vector"),
+    )
+
+
+def write_digest(df: DataFrame, path: str, *by: str) -> None:
+    """One folder of text per project: line by line, for export."""
+    df.select(*by, F.to_json(F.struct(*[c for c in df.columns if c not in by])).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)

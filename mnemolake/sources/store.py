@@ -219,6 +219,22 @@ class Store:
     def retain_since(self, cutoff_ms: int, **kw) -> None:
         self.delete_where((F.col("captured_at_ms") > 0) & (F.col("captured_at_ms") < cutoff_ms), **kw)
 
+    def retain_meetings_since(self, cutoff_ms: int) -> None:
+        """Transcripts have a cutoff of their own; segments go with their meeting."""
+        m = self.table("meetings")
+        kept = m.filter(F.col("ended_at_ms") >= cutoff_ms)
+        ids = kept.select(F.col("id").alias("meeting_id"))
+        self.replace("meeting_segments", self.table("meeting_segments").join(ids, "meeting_id", "left_semi"))
+        self.replace("meetings", kept)
+
+    def restore(self, source: str) -> None:
+        """Truth from a backup; derived tables must be rebuilt."""
+        for name in schemas.TABLES:
+            p = os.path.join(source, name)
+            if os.path.isdir(p):
+                shutil.rmtree(self.path(name), ignore_errors=True)
+                shutil.copytree(p, self.path(name))
+
     def delete_nodes(self, ids: DataFrame) -> None:
         gone = ids.select("id").distinct().persist()
         edges = self.table("graph_edges")
