@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from mnemolake.session import materialize, partitions
 
-CODEBOOKS, CELLS, SAMPLE, CELL_ROWS = 2, 64, 8192, 20_000
-TREES, SYMBOLS, BLOCK, SHARED = 20, 7, 32, 1024
+CODEBOOKS, CELLS, SAMPLE, CELL_ROWS = 2, 32, 8192, 20_000
+CELL_LEAST = 64
+TREES, SYMBOLS, BLOCK, SHARED = 28, 7, 32, 1024
 REACH, AGREE = 24, 2
 SEED = 7
 
@@ -84,7 +85,8 @@ def pack(v: np.ndarray) -> bytes:
         with np.errstate(all="ignore"):
             q = np.rint(v.astype(np.float64) * scale)
             if np.abs(q).max(initial=0) < 32000 and ((q / scale).astype(np.float32) == v).all():
-                raw = bytes([2, k]) + q.astype("<i2").view(np.uint8).reshape(-1, 2).T.tobytes()
+                z = np.where(q < 0, -2 * q - 1, 2 * q).astype("<u2")  # small numbers whatever the sign
+                raw = bytes([2, k]) + z.view(np.uint8).reshape(-1, 2).T.tobytes()
                 break
     if raw is None:
         values, codes = np.unique(v, return_inverse=True)
@@ -100,7 +102,8 @@ def unpack(b: bytes) -> np.ndarray:
 
     raw = zstandard.ZstdDecompressor().decompress(b)
     if raw[0] == 2:
-        q = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=2).reshape(2, -1).T).view("<i2").ravel()
+        z = np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=2).reshape(2, -1).T).view("<u2").ravel().astype(np.int32)
+        q = np.where(z & 1, -(z + 1) // 2, z // 2)
         return (q / 10.0 ** raw[1]).astype(np.float32)
     if raw[0] == 0:
         return np.frombuffer(raw, "<f4", offset=1)
@@ -239,7 +242,7 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "vector", k: int = 3,
     if not sample:
         return df.sparkSession.createDataFrame([], "id string, rank bigint, neighbour string, cosine double")
     x = _units(sample)
-    cells = max(1, min(CELLS, n_vecs // CELLS))  # a cell holds CELLS vectors or more on average
+    cells = max(1, min(CELLS, n_vecs // CELL_LEAST))  # a cell holds CELL_LEAST vectors or more on average
     books = [centroids(x, cells, SEED + g) for g in range(CODEBOOKS)]
     cells = vecs.mapInPandas(_assign(books), "book int, cell int, h bigint")
     sizes = materialize(cells.groupBy("book", "cell").count())  # CODEBOOKS * CELLS rows at most
