@@ -46,7 +46,9 @@ def chunk_texts(chunks: DataFrame, records: DataFrame) -> DataFrame:
     app = F.lower(F.regexp_replace(F.col("app_name"), r"(?U)^\s+|\s+$", ""))
     wanted = p.select(F.col("record_id").alias("id")).distinct()
     r = once_per_id(records.select("id", "app_name").join(wanted, "id", "left_semi"), "id", "app_name").select(F.col("id").alias("record_id"), app.alias("app"))
-    p = p.join(r, "record_id", "left")
+    # texts stay where the ids put them; only ids and apps travel again
+    apps = chunks.select("chunk_id", "record_id").distinct().join(r, "record_id").groupBy("chunk_id").agg(F.min(F.struct("record_id", "app")).alias("_a"))
+    p = p.join(apps.select("chunk_id", F.col("_a.app").alias("app")), "chunk_id", "left")
     return p.select(
         F.lit("pending_chunks").alias("origin"), F.col("chunk_id").alias("row_key"), F.struct("source", "app").alias("grp"),
         F.when(F.col("captured_at_ms") > 0, F.floor(F.col("captured_at_ms") / DAY_MS)).alias("day"), "text",
