@@ -27,16 +27,16 @@ def p2_found(spark, d):
 
 
 def p4_pieces(spark, d):
-    return splitting.split_texts(table(spark, d, "record_chunks")).select("id", "record_id", "ord", "piece", "start", "end", "text")
+    return splitting.split_texts(table(spark, d, "record_chunks", True)).select("id", "record_id", "ord", "piece", "start", "end", "text")
 
 
 def p4_found(spark, d):
-    return splitting.split_texts(table(spark, d, "record_chunks")).filter("n_pieces > 1 and piece = 0").select("id").distinct()
+    return splitting.split_texts(table(spark, d, "record_chunks", True)).filter("n_pieces > 1 and piece = 0").select("id").distinct()
 
 
 def _p5_texts(spark, d):
-    chunks = boilerplate.chunk_texts(table(spark, d, "pending_chunks"), table(spark, d, "memory_records"))
-    return boilerplate.corpus_texts(table(spark, d, "corpus_records")).unionByName(chunks)
+    chunks = boilerplate.chunk_texts(table(spark, d, "pending_chunks", True), table(spark, d, "memory_records"))
+    return boilerplate.corpus_texts(table(spark, d, "corpus_records", True)).unionByName(chunks)
 
 
 def p5_found(spark, d):
@@ -49,7 +49,7 @@ def p5_clean_texts(spark, d):
 
 
 def _p6_tables(spark, d):
-    return table(spark, d, "corpus_records"), table(spark, d, "memory_records"), table(spark, d, "pending_chunks")
+    return table(spark, d, "corpus_records", True), table(spark, d, "memory_records"), table(spark, d, "pending_chunks", True)
 
 
 def p6_found(spark, d):
@@ -68,7 +68,7 @@ def p6_redacted(spark, d):
 
 
 def _p7_texts(spark, d):
-    return ocr_repair.scanned_texts(table(spark, d, "recognized_texts"), table(spark, d, "corpus_records"))
+    return ocr_repair.scanned_texts(table(spark, d, "recognized_texts", True), table(spark, d, "corpus_records", True))
 
 
 def p7_found(spark, d):
@@ -80,26 +80,26 @@ def p7_repaired(spark, d):
 
 
 def p8_ids(spark, d):
-    return bpe.encode_texts(table(spark, d, "documents"))
+    return bpe.encode_texts(table(spark, d, "documents", True))
 
 
 def p9_found(spark, d):
-    found = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leakage.leaked_items(table(spark, d, "documents", True), table(spark, d, "eval_items"))
     return found.filter("verbatim").select("doc_id", "item_id").distinct()
 
 
 def p9_report(spark, d):
-    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True).select(
+    return leakage.leaked_items(table(spark, d, "documents", True), table(spark, d, "eval_items"), paraphrases=True).select(
         "doc_id", "item_id", "verbatim", F.round("lcs", 4).alias("lcs"), F.round("answers", 4).alias("answers")
     )
 
 
 def p10_found(spark, d):
-    return spans.shared_pairs(table(spark, d, "documents"))
+    return spans.shared_pairs(table(spark, d, "documents", True))
 
 
 def p10_coverage(spark, d):
-    return spans.shared_coverage(table(spark, d, "documents"))
+    return spans.shared_coverage(table(spark, d, "documents", True))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
