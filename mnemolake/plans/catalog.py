@@ -63,7 +63,7 @@ def p3_app_counts(spark, d):
 
 
 def _lines(spark, d) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", T.col("app_name").alias("app"), F.posexplode(T.text_lines(T.col("text"))).alias("p", "_x"))
+    t = table(spark, d, "documents", True).select("doc_id", T.col("app_name").alias("app"), F.posexplode(T.text_lines(T.col("text"))).alias("p", "_x"))
     return t.select("doc_id", "app", big(F.col("p") + 1).alias("pos"), T.normalize_inline(F.col("_x")).alias("x")).filter("x <> ''")
 
 
@@ -97,7 +97,7 @@ def line_quality(spark, d):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents"), T.col("app_name"), T.col("text")
+    return table(spark, d, "documents", True), T.col("app_name"), T.col("text")
 
 
 @query(
@@ -162,7 +162,7 @@ _CONF = "((doc_id * 31 + pos * 17) % 100)"
 
 
 def _ocr_lines(spark, d):
-    t = table(spark, d, "documents").filter("text is not null")
+    t = table(spark, d, "documents", True).filter("text is not null")
     conf = lambda i: (F.pmod(F.col("doc_id") * 31 + (i + 1) * 17, F.lit(100)) / 100).cast("float")
     return t.select("doc_id", F.transform(T.text_lines(F.col("text")), lambda x, i: F.struct(x.alias("text"), conf(i).alias("confidence"))).alias("lines"))
 
@@ -208,7 +208,7 @@ def text_volume(spark, d):
 
 
 def _index(spark, d, stemmed=False):
-    return search.build_index(table(spark, d, "documents"), "doc_id", "text", stemmed=stemmed, diacritics=stemmed)
+    return search.build_index(table(spark, d, "documents", True), "doc_id", "text", stemmed=stemmed, diacritics=stemmed)
 
 
 def _search_sql(terms: list[str], need: int) -> str:
@@ -275,7 +275,7 @@ def stemmed_search(spark, d):
 
 
 def _eval(spark, d):
-    corpus = once_per_id(table(spark, d, "corpus_records"), "id", "text")
+    corpus = once_per_id(table(spark, d, "corpus_records", True), "id", "text")
     q = once_per_id(table(spark, d, "eval_items"), "item_id", "query", "relevant").select(F.col("item_id").alias("qid"), "query", "relevant")
     return evaluate.run_baseline(search.build_index(corpus, "id", "text", stemmed=False, diacritics=False), q, mode="or")
 
