@@ -240,7 +240,7 @@ def personal_spans(texts: DataFrame) -> DataFrame:
     )
     p = p.join(given.withColumnRenamed("w", "given"), "given", "left").join(family.withColumnRenamed("w", "family"), "family", "left")
     g, f = F.coalesce("g", F.lit(0.0)), F.coalesce("f", F.lit(0.0))
-    ok = F.when(F.col("cap"), ((g >= TRUST) & (f >= 0.3)) | ((f >= 0.7) & (g >= 0.3))).otherwise((g >= TRUST) & (f >= TRUST))
+    ok = F.when(F.col("cap"), ((g >= TRUST) & (f >= 0.3)) | ((f >= 0.7) & (g >= 0.3))).otherwise((g >= 0.8) & (f >= 0.3))
     names = p.filter(ok).select("origin", "row_key", F.lit("name").alias("kind"), "start", "end")
     return sure.unionByName(more).unionByName(names)
 

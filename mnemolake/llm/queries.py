@@ -127,4 +127,7 @@ SQL: dict[str, str] = {
         AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY id),
         c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS c FROM v a JOIN v b ON a.id <> b.id),
         r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM c) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 3""",
+    "p10_found": """WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 300),
+        g AS (SELECT DISTINCT doc_id, hash(s) AS a, md5_number_lower(s) AS b FROM (SELECT doc_id, substring(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM d)))
+        SELECT DISTINCT x.doc_id AS doc_a, y.doc_id AS doc_b FROM g x JOIN g y USING (a, b) WHERE x.doc_id < y.doc_id""",
 }
