@@ -18,6 +18,7 @@ one id count once.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -134,7 +135,10 @@ def word_tokens(lines: list[str], kinds: list[set[str]], body: list[str]):
     return out, hyphenated
 
 
+@functools.lru_cache(200_000)
 def _is_word(w: str) -> bool:
+    if w.isalpha():
+        return len(w) > 2
     return len(w) > 2 and sum(c.isalpha() for c in w) >= 2 and not any(c in "/\\_-–—=<>#" for c in w)
 
 
@@ -144,8 +148,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for text in pdf["text"]:
             t = [x[0] for x in word_tokens(*layout(text))[0]]
-            n.update((w, None) for w in t if _is_word(w))
-            n.update(p for p in zip(t, t[1:]) if _is_word(p[0]) and _is_word(p[1]))
+            ok = [w if _is_word(w) else None for w in t]
+            n.update((w, None) for w in ok if w)
+            n.update((a, b) for a, b in zip(ok, ok[1:]) if a and b)
         if len(n) > 500_000:
             yield pd.DataFrame([(a, b, c) for (a, b), c in n.items()], columns=["a", "b", "n"])
             n.clear()
