@@ -274,14 +274,17 @@ def scanned_texts(recognized: DataFrame, corpus: DataFrame) -> DataFrame:
     return r.unionByName(c.select(F.lit("corpus_records").alias("origin"), F.col("id").cast("string").alias("row_key"), "text"))
 
 
-def misread_words(texts: DataFrame) -> DataFrame:
-    """origin, row_key, line_no, word, repair, dist: the repair chosen for every misread word."""
+def misread_words(texts: DataFrame, ready: bool = False) -> DataFrame:
+    """origin, row_key, line_no, word, repair, dist: the repair chosen for every misread word.
+
+    ready: the texts are a stored table, which may be read several times."""
 
     @F.pandas_udf("int")
     def _fault_at(seen: pd.Series, true: pd.Series) -> pd.Series:
         return pd.Series([first_fault(a, b) for a, b in zip(seen, true)], dtype="int32")
 
     texts = texts.filter(F.col("text") != "")
+    texts = texts if ready else materialize(texts)
     counts = materialize(texts.select("text").mapInPandas(_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
     fix = materialize(corrections(counts))
     words = fix.select("w").distinct()
@@ -303,8 +306,8 @@ def misread_words(texts: DataFrame) -> DataFrame:
 
 def faulty_lines(texts: DataFrame) -> DataFrame:
     """origin, row_key, line_no, kind (hyphen, misread, header, page_no)."""
-    some = texts.filter(F.col("text") != "")
-    words = misread_words(texts).select("origin", "row_key", "line_no", F.lit("misread").alias("kind"))
+    some = materialize(texts.filter(F.col("text") != ""))
+    words = misread_words(some, ready=True).select("origin", "row_key", "line_no", F.lit("misread").alias("kind"))
     return some.mapInPandas(_structure, _LINE).unionByName(words.distinct())
 
 
