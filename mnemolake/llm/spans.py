@@ -5,7 +5,8 @@
    with the least hash.  Any shared span of SPAN characters contains a whole window, hence a phrase chosen in both.
 3. Phrases chosen in two classes or more are confirmed as recurring; they are sharded by the first class that has them,
    and every shard compiles an Aho-Corasick automaton.  All texts with a recurring phrase of the shard are streamed
-   through it, which locates every occurrence.  A shard is salted: the phrases go to every salt, each text to one.
+   through it, which locates every occurrence.  A shard with more texts than usual is salted: its
+   phrases go to every salt, each text to one.
 4. Two occurrences of a phrase belong to a shared span of SPAN characters if the equal context to the left and right
    together makes up the rest.  Phrases with many occurrences are matched by an equi-join on the hash of every possible
    span around the phrase instead of pair by pair, so that the work follows the result.
@@ -28,7 +29,7 @@ from mnemolake.session import materialize, once_per_id, partitions
 SPAN = 300
 PHRASE = 200
 MANY = 64
-SALTS = 4
+MOST_SALTS, LEAST_TEXTS = 256, 50
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -216,10 +217,15 @@ def shared_links(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
     again = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("owner")).filter("n > 1")
     shard = F.pmod(F.xxhash64("owner"), F.lit(4 * n))
     marks = chosen.join(again.select("h", "owner", shard.alias("shard")), "h")
+    # a shard with more texts than usual is dealt to so many salts; there are 4 * n shards at most
+    sizes = marks.select("rep", "shard").distinct().groupBy("shard").agg(F.count(F.lit(1)).alias("c"))
+    usual = max((sizes.agg(F.sum("c")).first()[0] or 0) / (4 * n), LEAST_TEXTS)
+    salts = sizes.select("shard", F.least(F.lit(MOST_SALTS), F.ceil(F.col("c") / F.lit(2.0 * usual))).cast("int").alias("salts"))
     marks = marks.groupBy("rep").agg(F.collect_list(F.struct("h", "pos", "owner", "shard")).alias("marks"))
     routed = texts.select("rep", "text").join(marks, "rep").mapInPandas(_route(phrase), "shard bigint, kind int, rep bigint, h bigint, text string")
-    salt = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.pmod(F.col("rep"), F.lit(SALTS)).cast("int")))
-    routed = routed.withColumn("salt", F.explode(salt)).withColumn("shard", F.col("shard") * SALTS + F.col("salt")).drop("salt")
+    routed = routed.join(F.broadcast(salts), "shard")
+    salt = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.col("rep"), F.col("salts")).cast("int")))
+    routed = routed.withColumn("salt", F.explode(salt)).withColumn("shard", F.col("shard") * MOST_SALTS + F.col("salt")).drop("salt", "salts")
     routed = routed.repartition(n, "shard").sortWithinPartitions("shard", "kind")
     found = materialize(routed.mapInPandas(_locate(span, phrase), "h bigint, rep bigint, pos int, lft string, rgt string"))
     sizes = found.groupBy("h").agg(F.count(F.lit(1)).alias("_m"))
