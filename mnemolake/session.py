@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,17 +29,36 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the cluster; a folder of our own only where none is named (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a folder of our own only in local mode, where none is named (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="mnemolake-"))
+    named = sc.getConf().get(CHECKPOINT_CONF) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="mnemolake-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def stored_path(spark: SparkSession, name: str = "") -> str:
+    """A new path for a table of this application in the shared folder."""
+    return f"{shared_dir(spark)}/mnemolake-{spark.sparkContext.applicationId}/{name}{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once into a compressed table in the shared folder: cuts the lineage, survives the loss of executors,
+    and later reads take only the columns they need.  `release` removes the tables of the application."""
+    path = stored_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the stored tables of this application; frames made from them can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemolake-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
