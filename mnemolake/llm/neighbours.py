@@ -1,21 +1,23 @@
 """The most similar vectors of every vector, by a hash-prefix forest.
 
-A vector's hash string in a tree begins with a learned symbol: the nearest of up to CELLS centroids (spherical k-means, fitted
-on about SAMPLE vectors, 2 * SAMPLE at most).  The further symbols are drawn from what the centroid leaves over: each is the index, with
-sign, of the greatest of BLOCK random projections.  A tree is the sorted array of these strings.  The longest common
-prefixes of a string are with its neighbours in the array; going outward from its place is the descent to the longest
-match and then the ascent to shorter ones.  All trees ascend together up to REACH places; on the way a pair becomes a
-candidate if its strings agree in AGREE symbols or more, and rows with too few candidates ascend on without that bound.
-Candidates are compared exactly.
-
-Trees with the same codebook share the first symbol, so the forest is partitioned by it: every vector travels once per
-codebook, to the task that holds its cell, and hashing, sorting and comparing happen there.  Each codebook gives another
-partition; a pair is found if any of them brings it together.  A cell above CELL_ROWS rows is spread further, by tree
-and second symbol, so no task gathers more than the strings of one such part.
+A vector's hash string begins with learned symbols and goes on with bits.  The learned symbols are two levels of spherical
+k-means (at most BRANCH symbols each, about CELL_MEAN vectors per leaf), fitted on a sample of at most SAMPLE vectors
+chosen by hash; every row is indexed.  A vector is entered under the ENTRIES leaves it is most similar to, so neighbours on
+either side of a border meet: it travels so many times, whatever the number of rows.  The bits are signs of random projections of
+what the leaf's centre leaves over.
+
+A part is the shortest prefix that holds at most PART_ROWS entries: leaves above that are descended bit by bit, by counts
+made in the cluster, so the same rule holds at any size and for a leaf with a third of all rows.  (Entries that agree in
+all DEPTH bits, that is vectors almost equal, are dealt by hash.)  In a part, TREES trees are built: each is the sorted
+array of the strings of its entries.  For a row the descent to its longest prefix match is its place in each array; all
+trees then ascend synchronously, one bit at a time, until the rows that share the prefix of that length in any tree are
+WANTED (in large parts one SHAREth of the part) or more.  These candidates are ordered by the Hamming distance of their strings and the nearest COMPARED of each
+row are compared exactly.
+
+The only loss is of pairs that no tree brings together; recall against brute force is tested and stated in the README.
 
 Vectors travel packed without loss (as scaled integers where they are decimal, by a table of their distinct values, or
-as they are) and compressed.  The index holds every row; the only loss is of pairs that no tree brings together (recall
-against brute force is tested and stated in the README).
+as they are) and compressed.
 
 Equal vectors are handled exactly before the forest: rows with equal vectors form a class, the forest sees one row per
 class, and of a class only the first k + 1 ids can be among the k best of anyone (ties go to the smaller id).
@@ -35,32 +37,27 @@ from pyspark.sql import functions as F
 
 from mnemolake.session import materialize, partitions
 
-CODEBOOKS, CELLS, SAMPLE, CELL_ROWS = 2, 32, 8192, 20_000
-CELL_LEAST = 64
-TREES, SYMBOLS, BLOCK, SHARED = 28, 7, 32, 1024
-REACH, AGREE = 24, 2
+SAMPLE, BRANCH, CELL_MEAN, PER_LEAF = 65_536, 128, 500, 8
+ENTRIES, PROBES = 3, 6
+PART_ROWS, STEP, DEPTH = 20_000, 4, 60
+TREES, BITS, WANTED, SHARE, COMPARED = 64, 16, 800, 8, 24
+SKETCH = 8  # words of 64 bits
 SEED = 7
 
 
-def projection(dim: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shared random projection, for each symbol the rows it uses, their signs)."""
-    rng = np.random.default_rng(seed)
-    p = rng.standard_normal((dim, SHARED)).astype(np.float32)
-    pick = np.stack([rng.permutation(SHARED)[:BLOCK] for _ in range(TREES * SYMBOLS)])
-    return p, pick, rng.choice(np.array([-1, 1], np.float32), pick.shape)
+def projection(dim: int, columns: int = TREES * BITS, seed: int = SEED) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dim, columns)).astype(np.float32)
 
 
-def hash_strings(x: np.ndarray, proj) -> np.ndarray:
-    """(rows, TREES, SYMBOLS) symbols."""
-    p, pick, sign = proj
-    out = np.empty((len(x), len(pick)), np.uint8)
-    for lo in range(0, len(x), 1000):
-        y = x[lo : lo + 1000].astype(np.float32) @ p
-        for s in range(len(pick)):
-            z = y[:, pick[s]] * sign[s]
-            at = np.abs(z).argmax(1)
-            out[lo : lo + 1000, s] = at * 2 + (z[np.arange(len(z)), at] < 0)
-    return out.reshape(len(x), TREES, SYMBOLS)
+def hash_strings(x: np.ndarray, proj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((rows, trees) strings of BITS bits, (SKETCH, rows) words of 64 of the bits); a bit says which half of the part a row is in."""
+    trees = proj.shape[1] // BITS
+    y = x.astype(np.float32) @ proj
+    y -= np.median(y, axis=0)
+    bits = np.packbits(y.reshape(len(x), trees, BITS) > 0, axis=2)
+    strings = bits.view(">u2").reshape(len(x), trees).astype(np.uint16)
+    words = np.ascontiguousarray(bits.reshape(len(x), -1)[:, : 8 * SKETCH]).view(np.uint64)
+    return strings, np.ascontiguousarray(words.T)
 
 
 def centroids(x: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -69,13 +66,50 @@ def centroids(x: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.ndarr
     c = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
         at = (x @ c.T).argmax(1)
+        order = np.argsort(at, kind="stable")
+        cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
         m = np.zeros_like(c)
-        np.add.at(m, at, x)
+        m[at[order][cuts]] = np.add.reduceat(x[order], cuts, axis=0)
         n = np.linalg.norm(m, axis=1, keepdims=True)
         c = np.where(n > 0, m / np.maximum(n, 1e-12), c)
     return c.astype(np.float32)
 
 
+class Codebook:
+    """Two levels of learned symbols; a leaf is first * BRANCH + second symbol.  At most SAMPLE / PER_LEAF leaves."""
+
+    def __init__(self, x: np.ndarray, rows: int):
+        leaves = max(1, min(rows // CELL_MEAN, len(x) // PER_LEAF, SAMPLE // PER_LEAF))
+        first = 1 if leaves <= 2 else min(BRANCH, int(np.ceil(np.sqrt(leaves)))) if leaves > BRANCH else leaves
+        self.first = centroids(x, first, SEED)
+        at = (x @ self.first.T).argmax(1)
+        self.second: list[np.ndarray] = []
+        for i, c in enumerate(self.first):
+            own = x[at == i]
+            many = min(BRANCH, round(leaves * len(own) / len(x))) if leaves > BRANCH else 1
+            self.second.append(centroids(own, many, SEED + 1 + i) if many > 1 and len(own) > many else c[None])
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """(rows, ENTRIES): the most similar leaves among those below the PROBES most similar first symbols; -1 for none."""
+        sim = x @ self.first.T
+        near = np.argsort(-sim, axis=1)[:, :PROBES]
+        value = np.full((len(x), near.shape[1] * ENTRIES), -np.inf, np.float32)
+        name = np.full(value.shape, -1, np.int32)
+        for i, c in enumerate(self.second):
+            rows, place = np.nonzero(near == i)
+            if not len(rows):
+                continue
+            s = x[rows] @ c.T
+            best = np.argsort(-s, axis=1)[:, :ENTRIES]
+            at = place[:, None] * ENTRIES + np.arange(best.shape[1])
+            value[rows[:, None], at] = np.take_along_axis(s, best, 1)
+            name[rows[:, None], at] = i * BRANCH + best
+        return np.take_along_axis(name, np.argsort(-value, axis=1, kind="stable")[:, :ENTRIES], 1)
+
+    def centre(self, leaf: int) -> np.ndarray:
+        return self.second[leaf // BRANCH][leaf % BRANCH]
+
+
 def pack(v: np.ndarray) -> bytes:
     """A float32 vector without loss, compressed."""
     import zstandard
@@ -124,100 +158,186 @@ def _pack_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"h": part["h"], "vec": [pack(np.asarray(v, np.float32)) for v in part["v"]]})
 
 
-def _assign(books: list[np.ndarray]):
+def _left_over(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return x - np.outer(x @ c, c)
+
+
+def _prefix_bits(x: np.ndarray, c: np.ndarray, deep: np.ndarray) -> np.ndarray:
+    """DEPTH bits of every row, first bit highest."""
+    return ((_left_over(x, c) @ deep > 0) @ (1 << np.arange(DEPTH - 1, -1, -1, dtype=np.int64))).astype(np.int64)
+
+
+def _entries(book: Codebook, splits: dict[int, set[tuple[int, int]]], only: frozenset | None = None, slices: dict | None = None):
+    """The entries of each vector; the part is the prefix after descending `splits`, as leaf, depth and bits.
+
+    only: entries of these leaves, without vectors."""
+    kind = ["leaf", "depth", "bits", "h"] + ([] if only is not None else ["slice", "vec"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        deep = projection(book.first.shape[1], DEPTH, SEED + 50)
         for pdf in batches:
             for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                x = _units(part["vec"])
-                yield pd.concat([pd.DataFrame({"book": np.int32(g), "cell": (x @ c.T).argmax(1).astype(np.int32), "h": part["h"].to_numpy()}) for g, c in enumerate(books)])
+                rows = pdf.iloc[lo : lo + 1000]
+                x = _units(rows["vec"])
+                leaf = book.leaves(x)
+                out = pd.DataFrame({"leaf": leaf.T.ravel(), "depth": np.int32(0), "bits": np.int64(0), "h": np.tile(rows["h"].to_numpy(), leaf.shape[1]), "slice": np.int32(0), "vec": np.tile(rows["vec"].to_numpy(), leaf.shape[1]), "_i": np.tile(np.arange(len(rows)), leaf.shape[1])})
+                out = out[out["leaf"] >= 0] if only is None else out[out["leaf"].isin(only)]
+                out = out.reset_index(drop=True)
+                for name in set(out["leaf"].unique()) & splits.keys():
+                    at = np.flatnonzero(out["leaf"] == name)
+                    bits = _prefix_bits(x[out["_i"].to_numpy()[at]], book.centre(name), deep)
+                    depth = np.zeros(len(at), np.int64)
+                    for d in range(0, DEPTH, STEP):
+                        cut = np.array([(d, int(b)) in splits[name] for b in bits >> (DEPTH - d)]) & (depth == d)
+                        depth[cut] = d + STEP
+                    out.loc[at, "depth"] = depth.astype(np.int32)
+                    out.loc[at, "bits"] = bits >> (DEPTH - depth)
+                if slices:
+                    key = list(zip(out["leaf"], out["depth"], out["bits"]))
+                    out["slice"] = [np.int32(h % slices.get(k, 1)) for k, h in zip(key, out["h"])]
+                yield out[kind]
 
     return run
 
 
-def _left_over(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return x - np.outer(x @ c, c)
-
-
-def forest_pairs(strings: np.ndarray, agree: int = AGREE, reach: int = REACH, need: int = 5) -> np.ndarray:
-    """Candidate pairs (a, b), a < b, of rows of one cell; strings is (rows, trees, symbols).
-
-    In a cell of at most 4 * reach rows these are all.  Rows that have fewer than `need` candidates from all trees ascend on to shorter matches: to all within reach."""
-    n = len(strings)
-    if n <= 4 * reach:  # so few that every row ascends to the root
-        return np.stack(np.triu_indices(n, 1), axis=1)
-    orders = [np.lexsort(strings[:, t].T[::-1]) for t in range(strings.shape[1])]
-
-    def gather(chosen) -> np.ndarray:
-        found = [np.empty(0, np.int64)]
-        for t, order in enumerate(orders):
-            s = strings[order, t]
-            for w in range(1, min(reach, n - 1) + 1):
-                i = np.flatnonzero(chosen(order, s, w))
-                a, b = order[i], order[i + w]
-                found.append(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b))
-            if len(found) > 4 * reach:
-                found = [np.unique(np.concatenate(found))]
-        return np.unique(np.concatenate(found))
-
-    k = gather(lambda order, s, w: (s[:-w] == s[w:]).sum(1) >= agree)
-    few = np.bincount(np.concatenate([k // max(n, 1), k % max(n, 1)]), minlength=n) < need
-    if few.any() and n > 1:
-        k = np.unique(np.concatenate([k, gather(lambda order, s, w: few[order[:-w]] | few[order[w:]])]))
-    return np.stack([k // max(n, 1), k % max(n, 1)], axis=1)
-
-
-def best_of(x: np.ndarray, pairs: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(row, other row, cosine): the k best candidates of each row."""
-    a, b = pairs[:, 0], pairs[:, 1]
-    c = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 4000]], x[b[i : i + 4000]]) for i in range(0, len(a), 4000)]) if len(a) else np.empty(0)
+def _lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of equal leading bits."""
+    d = a ^ b
+    return np.where(d == 0, BITS, BITS - 1 - np.floor(np.log2(np.maximum(d, 1).astype(np.float32))).astype(np.int64))
+
+
+def forest_pairs(strings: np.ndarray, words: np.ndarray, want: int = WANTED, most: int = COMPARED) -> np.ndarray:
+    """(pairs, 2): row and candidate of the rows of one part, the `most` nearest by Hamming distance of each row.
+
+    strings is (rows, trees), words (SKETCH, rows).  `stop` is the level at which a row's synchronous ascent ends: the longest prefix length
+    at which the rows that share it, over all trees, are `want` or more."""
+    m, trees = strings.shape
+    want = max(want, m // SHARE)
+    if m < 2:
+        return np.empty((0, 2), np.int64)
+    orders = [np.argsort(strings[:, t], kind="stable") for t in range(trees)]
+    equal = [_lcp(strings[o[:-1], t], strings[o[1:], t]) for t, o in enumerate(orders)]
+    stop = np.full(m, -1)
+    for level in range(BITS, -1, -1):
+        size = np.zeros(m, np.int64)
+        for o, e in zip(orders, equal):
+            node = np.concatenate(([0], np.cumsum(e < level)))
+            size[o] += np.bincount(node)[node] - 1
+        stop[(stop < 0) & ((size >= want) | (level == 0))] = level
+        if (stop >= 0).all():
+            break
+    nodes = {}
+    for level in np.unique(stop):
+        for t, (o, e) in enumerate(zip(orders, equal)):
+            node = np.concatenate(([0], np.cumsum(e < level)))
+            n = np.bincount(node)
+            begin = np.cumsum(n) - n
+            place = np.empty(m, np.int64)
+            place[o] = node
+            nodes[level, t] = (n[place].astype(np.int32), begin[place].astype(np.int32))
+    out = []
+    step = max(1, 2_000_000 // m)
+    for lo in range(0, m, step):  # a block of rows at a time
+        mine = np.arange(lo, min(lo + step, m))
+        seen = np.zeros((len(mine), m), bool)
+        for level in np.unique(stop[mine]):
+            i = mine[stop[mine] == level]
+            for t, o in enumerate(orders):
+                n, begin = nodes[level, t]
+                c = n[i]
+                at = np.arange(c.sum()) + np.repeat(begin[i] - (np.cumsum(c) - c), c)
+                seen[np.repeat(i - lo, c), o[at]] = True
+        seen[mine - lo, mine] = False
+        a, b = np.nonzero(seen)
+        far = np.zeros(len(a), np.int16)
+        for w in words:
+            far += np.bitwise_count(w[a + lo] ^ w[b])
+        dense = np.full(seen.shape, 32_000, np.int16)
+        dense[a, b] = far
+        near = np.argpartition(dense, most, axis=1)[:, :most] if m > most else np.tile(np.arange(m), (len(mine), 1))
+        good = np.take_along_axis(dense, near, 1) < 32_000
+        a, b = np.nonzero(good)
+        out.append(np.stack([a + lo, near[a, b]], axis=1))
+    return np.concatenate(out)
+
+
+def best_of(x: np.ndarray, pairs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, other rows, cosines): the k best candidates of each row; a candidate serves both rows of a pair."""
+    key = np.unique(pairs.min(1) * np.int64(len(x)) + pairs.max(1)) if len(pairs) else np.empty(0, np.int64)
+    a, b = key // max(len(x), 1), key % max(len(x), 1)
+    c = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 4000]], x[b[i : i + 4000]]) for i in range(0, len(a), 4000)]) if len(a) else np.empty(0, np.float32)
     me, other, c = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([c, c])
     order = np.lexsort((other, -c, me))
     me, other, c = me[order], other[order], c[order]
-    first = np.searchsorted(me, me, "left")
-    keep = np.arange(len(me)) - first < k
+    keep = np.arange(len(me)) - np.searchsorted(me, me, "left") < k
     return me[keep], other[keep], c[keep]
 
 
-def _search_cells(books: list[np.ndarray], k: int):
-    """Rows come sorted by part; each part is one cell, or one (tree, second symbol) of a large cell."""
+def _search_parts(book: Codebook, k: int):
+    """Rows come sorted by part."""
 
-    def of(group: list[pd.DataFrame], proj) -> pd.DataFrame:
+    def of(group: list[pd.DataFrame], proj: np.ndarray) -> pd.DataFrame:
         g = pd.concat(group)
         x, h = _units(g["vec"]), g["h"].to_numpy()
-        book, tree = int(g["book"].iloc[0]), int(g["tree"].iloc[0])
-        strings = hash_strings(_left_over(x, books[book][int(g["cell"].iloc[0])]), proj[book])
-        a, b, c = best_of(x, forest_pairs(strings if tree < 0 else strings[:, tree : tree + 1], need=k + 2), k + 2)
+        strings, words = hash_strings(_left_over(x, book.centre(int(g["leaf"].iloc[0]))), proj)
+        a, b, c = best_of(x, forest_pairs(strings, words), k + 2)
         return pd.DataFrame({"h": h[a], "o": h[b], "cosine": c.astype(np.float64)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        proj = [projection(books[0].shape[1], SEED + 100 + g) for g in range(len(books))]
+        proj = projection(book.first.shape[1])
         group: list[pd.DataFrame] = []
+        name = ["leaf", "depth", "bits", "slice"]
+        last = None
         for pdf in batches:
-            cuts = np.flatnonzero(pdf["part"].to_numpy()[1:] != pdf["part"].to_numpy()[:-1]) + 1
+            keys = pdf[name].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for piece in np.split(np.arange(len(pdf)), cuts):
-                piece = pdf.iloc[piece]
-                if group and len(piece) and group[0]["part"].iloc[0] != piece["part"].iloc[0]:
+                if not len(piece):
+                    continue
+                key = tuple(keys[piece[0]])
+                if group and key != last:
                     yield of(group, proj)
                     group = []
-                if len(piece):
-                    group.append(piece)
+                last = key
+                group.append(pdf.iloc[piece])
         if group:
             yield of(group, proj)
 
     return run
 
 
-def _spread(books: list[np.ndarray]):
-    """Rows of large cells once per tree, with the second symbol as part."""
+def _splits(vecs: DataFrame, book: Codebook) -> tuple[dict[int, set[tuple[int, int]]], dict]:
+    """(prefixes to descend per leaf, number of slices of prefixes that cannot be descended further).
 
+    What comes to the driver is prefixes with more than PART_ROWS entries only: at most ENTRIES * rows / PART_ROWS a level."""
+    splits: dict[int, set[tuple[int, int]]] = {}
+    slices: dict[tuple[int, int, int], int] = {}
+    only: frozenset | None = None
+    for d in range(0, DEPTH + 1, STEP):
+        if only is None:
+            e = vecs.mapInPandas(_leaf_counts(book), "leaf int, depth int, bits bigint, n bigint")
+            e = e.groupBy("leaf", "depth", "bits").agg(F.sum("n").alias("n"))
+        else:
+            e = vecs.mapInPandas(_entries(book, splits, only), "leaf int, depth int, bits bigint, h bigint")
+            e = e.groupBy("leaf", "depth", "bits").agg(F.count(F.lit(1)).alias("n"))
+        large = e.filter((F.col("n") > PART_ROWS) & (F.col("depth") == d)).collect()
+        if not large:
+            break
+        for leaf, depth, bits, n in large:
+            if d == DEPTH:
+                slices[(leaf, depth, bits)] = -(-n // PART_ROWS)
+            else:
+                splits.setdefault(leaf, set()).add((depth, bits))
+        only = frozenset(r[0] for r in large)
+    return splits, slices
+
+
+def _leaf_counts(book: Codebook):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        proj = [projection(books[0].shape[1], SEED + 100 + g) for g in range(len(books))]
         for pdf in batches:
-            for (book, cell), g in pdf.groupby(["book", "cell"]):
-                s = hash_strings(_left_over(_units(g["vec"]), books[book][cell]), proj[book])
-                for t in range(TREES):
-                    yield pd.DataFrame({"book": np.int32(book), "cell": np.int32(cell), "tree": np.int32(t), "sym": s[:, t, 0].astype(np.int32), "h": g["h"].to_numpy(), "vec": g["vec"].to_numpy()})
+            for lo in range(0, len(pdf), 1000):
+                leaf, n = np.unique(book.leaves(_units(pdf["vec"].iloc[lo : lo + 1000])), return_counts=True)
+                yield pd.DataFrame({"leaf": leaf.astype(np.int32), "depth": np.int32(0), "bits": np.int64(0), "n": n.astype(np.int64)})[leaf >= 0]
 
     return run
 
@@ -237,33 +357,17 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "vector", k: int = 3,
     packed = v.select("h", "v").mapInPandas(_pack_rows, "h bigint, vec binary").groupBy("h").agg(F.min("vec").alias("vec"))
     vecs = materialize(packed.join(ids.select("h").distinct(), "h", "left_semi"))
     n_vecs = vecs.count()
-    step = max(1, n_vecs // SAMPLE)  # about SAMPLE rows, spread evenly by hash
-    sample = [r[0] for r in vecs.filter(F.pmod(F.xxhash64("h"), F.lit(step)) == 0).select("h", "vec").limit(2 * SAMPLE).select("vec").collect()]
+    size = min(SAMPLE, max(8192, 4 * n_vecs * PER_LEAF // CELL_MEAN))
+    step = max(1, -(-n_vecs // size))  # rows are taken by hash, `size` at most
+    sample = [r[0] for r in vecs.filter(F.pmod(F.xxhash64("h"), F.lit(step)) == 0).orderBy("h").limit(size).select("vec").collect()]
     if not sample:
         return df.sparkSession.createDataFrame([], "id string, rank bigint, neighbour string, cosine double")
-    x = _units(sample)
-    cells = max(1, min(CELLS, n_vecs // CELL_LEAST))  # a cell holds CELL_LEAST vectors or more on average
-    books = [centroids(x, cells, SEED + g) for g in range(CODEBOOKS)]
-    cells = vecs.mapInPandas(_assign(books), "book int, cell int, h bigint")
-    sizes = materialize(cells.groupBy("book", "cell").count())  # CODEBOOKS * CELLS rows at most
-    large = {(r[0], r[1]) for r in sizes.filter(F.col("count") > CELL_ROWS).collect()}
-
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                u = _units(part["vec"])
-                for g, c in enumerate(books):
-                    at = (u @ c.T).argmax(1).astype(np.int32)
-                    yield pd.DataFrame({"book": np.int32(g), "cell": at, "tree": np.int32(-1), "sym": np.int32(0), "h": part["h"].to_numpy(), "vec": part["vec"].to_numpy(), "large": [(g, int(i)) in large for i in at]})
-
-    kind = "book int, cell int, tree int, sym int, h bigint, vec binary"
-    p = vecs.mapInPandas(placed, kind + ", large boolean")
-    parts = p.filter("not large").drop("large")
-    if large:
-        parts = parts.unionByName(p.filter("large").select("book", "cell", "h", "vec").mapInPandas(_spread(books), kind))
-    parts = parts.withColumn("part", F.concat_ws("/", "book", "cell", "tree", "sym")).repartition(max(n, 24), "part").sortWithinPartitions("part", "h")
-    both = parts.mapInPandas(_search_cells(books, k), "h bigint, o bigint, cosine double").groupBy("h", "o").agg(F.max("cosine").alias("cosine"))
+    book = Codebook(_units(sample), n_vecs)
+    splits, slices = _splits(vecs, book)
+    parts = vecs.mapInPandas(_entries(book, splits, slices=slices), "leaf int, depth int, bits bigint, h bigint, slice int, vec binary")
+    key = ["leaf", "depth", "bits", "slice"]
+    parts = parts.repartition(max(n, 24), *key).sortWithinPartitions(*key, "h")
+    both = parts.mapInPandas(_search_parts(book, k), "h bigint, o bigint, cosine double").groupBy("h", "o").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("h").orderBy("id")
     # ids: at most k + 1 of any class can be someone's neighbour
     few = ids.select("h", "id").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= k + 1).select("h", "id")

@@ -182,15 +182,37 @@ def test_packing_has_no_loss():
         assert (neighbours.unpack(neighbours.pack(v)) == v).all()
 
 
-def test_large_cells_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_ROWS", 50)
+@pytest.mark.parametrize("cell_mean,part_rows,hot", [(20, 20_000, False), (500, 300, False), (500, 300, True)])
+def test_many_leaves_and_descended_parts(spark, monkeypatch, cell_mean, part_rows, hot):
+    """Two levels of symbols; prefixes descended bit by bit; a third of all rows crowded together."""
+    monkeypatch.setattr(neighbours, "CELL_MEAN", cell_mean)
+    monkeypatch.setattr(neighbours, "PART_ROWS", part_rows)
     rng = np.random.default_rng(5)
-    base = np.repeat(rng.standard_normal((60, 16)), 4, axis=0)
-    x = (base + 0.3 * rng.standard_normal(base.shape)).astype(np.float32)
-    df = spark.createDataFrame([(f"{i:04d}", v.tolist(), 0, 0) for i, v in enumerate(x)], VEC)
-    got = {(r["id_a"], r["id_b"]) for r in neighbours.near_pairs(df, dim=16).collect()}
-    want = brute([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], dim=16)
-    assert len(got & want) / len(want) > 0.8
+    base = np.repeat(rng.standard_normal((750, 32)), 4, axis=0)
+    if hot:
+        base[:1000] = 0.3 * base[:1000] + rng.standard_normal(32)
+    x = (base + 0.1 * rng.standard_normal(base.shape)).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", v.tolist(), 0, 0) for i, v in enumerate(x)], VEC)
+    got = {(r["id_a"], r["id_b"]) for r in neighbours.near_pairs(df, dim=32).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(f"{min(i, j):05d}", f"{max(i, j):05d}") for i in range(len(x)) for j in np.argsort(-s[i])[:3]}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_forest_of_one_part():
+    rng = np.random.default_rng(6)
+    base = np.repeat(rng.standard_normal((1500, 64)), 4, axis=0)
+    x = base + 0.5 * rng.standard_normal(base.shape)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pairs = neighbours.forest_pairs(*neighbours.hash_strings(x, neighbours.projection(64)))
+    have = set(map(tuple, pairs.tolist()))
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    want = [(i, int(j)) for i in range(len(x)) for j in np.argsort(-s[i])[:3]]
+    assert sum((i, j) in have or (j, i) in have for i, j in want) / len(want) >= 0.95
+    assert len(pairs) <= len(x) * neighbours.COMPARED  # far from all pairs
 
 
 def test_rank_and_cosine(spark):
