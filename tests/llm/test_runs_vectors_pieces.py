@@ -50,15 +50,90 @@ def test_one_session_over_many_tasks(spark):
     assert found(rec(spark, rows)) == {("hot", 1000, 699000, 699), ("hot", 700000, 1499000, 800)}
 
 
+def run_cost(keys):
+    """By definition, over all pairs within reach."""
+    d, n = runs.title_dissimilarity, len(keys)
+    return sum(d(keys[i], keys[j]) * (1 if j == i + 1 else 1 / runs.REACH) for i in range(n) for j in range(i + 1, min(n, i + runs.REACH + 1)))
+
+
+def least_cost(keys, penalty):
+    f = [0.0]
+    for j in range(1, len(keys) + 1):
+        f.append(min(f[i] + run_cost(keys[i:j]) + penalty for i in range(j)))
+    return f[-1]
+
+
+TITLES = [runs.title_key(x) for x in ("alpha plan", "alpha plan two", "beta", "alp…", "alpha pl…")]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(TITLES), min_size=1, max_size=14), st.sampled_from([0.2, 0.7, 1.5, 3.0]))
+def test_pruned_programme_is_optimal(keys, penalty):
+    got = runs.best_segmentation(keys, penalty)
+    assert [a for a, _ in got] == [0] + [z + 1 for _, z in got[:-1]] and got[-1][1] == len(keys) - 1
+    assert abs(sum(run_cost(keys[a : z + 1]) + penalty for a, z in got) - least_cost(keys, penalty)) < 1e-9
+
+
+def test_programme_weighs_the_run_not_only_neighbours():
+    a, b = TITLES[0], TITLES[1]
+    cut = [i for i in range(1, 9) if [a, a, a, b, a, a, a, b, b][i] != [a, a, a, b, a, a, a, b, b][i - 1]]
+    assert cut == [3, 4, 7]
+    # one event between is bridged, a lasting change is not
+    assert runs.best_segmentation([a, a, a, b, a, a, a] + [b] * 9, 1.4) == [(0, 6), (7, 15)]
+    # with the default penalty every change of the window ends the run
+    assert runs.best_segmentation([a, a, a, b, a, a, a, b, b], runs.PENALTY) == [(0, 2), (3, 3), (4, 6), (7, 8)]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from([0.0, 0.2, 0.4, 0.6, 1.0, 3.0]), max_size=9), st.sampled_from([0.3, 0.5, 1.0]))
-def test_pruned_programme_is_optimal(costs, penalty):
-    got = runs.best_segmentation(costs, penalty)
-    n = len(costs) + 1
-    assert [i for a, z in got for i in range(a, z + 1)] == list(range(n))
-    price = lambda cuts: penalty * (len(cuts) + 1) + sum(c for i, c in enumerate(costs) if i not in cuts)
-    best = min(price({i for i in range(len(costs)) if m >> i & 1}) for m in range(1 << len(costs)))
-    assert math.isclose(price({a - 1 for a, _ in got if a}), best)
+@given(st.lists(st.tuples(st.sampled_from(["alpha plan", "Alpha Plan*", "alpha plan two", "beta", "alp…"]), st.integers(0, 3), st.booleans()), min_size=1, max_size=24), st.sampled_from([0.2, 0.7, 1.5]), st.integers(1, 5))
+def test_tasks_are_joined_by_the_programme(events, penalty, parts):
+    import pandas as pd
+
+    t, rows = 0, []
+    for title, step, gap in events:
+        t += 5000 if gap and step == 0 else step
+        rows.append(("s", t, t, "a", title, 1, False))
+    cols = ["e", "t", "z", "app", "title", "n", "begins"]
+
+    def go(pieces):
+        settled, ends = [], []
+        for p in pieces:
+            r = pd.concat(list(runs._segment(1000, penalty, runs.title_dissimilarity, False)(iter([p]))) or [pd.DataFrame(columns=runs.COLUMNS)])
+            done = r["settled"].astype(bool)
+            settled += r[done][["start_ms", "end_ms", "n"]].values.tolist()
+            ends.append(r[~done].sort_values("place"))
+        e = pd.concat(ends)[["session_id", "start_ms", "end_ms", "app_name", "window_title", "n", "begins"]].set_axis(cols, axis=1).astype({"n": int, "begins": bool, "t": int, "z": int})
+        for r in runs._segment(1000, penalty, runs.title_dissimilarity, True)(iter([e])):
+            settled += r[["start_ms", "end_ms", "n"]].values.tolist()
+        return sorted(settled)
+
+    df = pd.DataFrame(rows, columns=cols)
+    size = max(1, -(-len(df) // parts))
+    cut, one = go([df.iloc[i : i + size] for i in range(0, len(df), size)]), go([df])
+    assert sum(x[2] for x in cut) == len(rows) == sum(x[2] for x in one)
+    if penalty == runs.PENALTY:
+        assert cut == one
+
+
+def test_memory_of_a_long_run_is_flat():
+    import tracemalloc
+
+    import pandas as pd
+
+    def batches(n):
+        for lo in range(0, n, 10_000):
+            t = np.arange(lo, lo + 10_000)
+            yield pd.DataFrame({"e": "s", "t": t, "z": t, "app": "a", "title": np.where(t % 2, "(1) Inbox", "Inbox"), "n": 1, "begins": False})
+
+    def peak(n):
+        tracemalloc.start()
+        rows = sum(len(x) for x in runs._segment(1000, runs.PENALTY, runs.title_dissimilarity, False)(batches(n)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 1
+        return most
+
+    assert peak(400_000) < 1.5 * peak(50_000)
 
 
 # pieces
