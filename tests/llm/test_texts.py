@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from mnemolake.llm import boilerplate, leakage, ocr_repair, pii, spans
 
@@ -121,6 +123,67 @@ def test_paraphrases(spark):
     assert (0, 0, False) in got and all(d == 0 for d, _, _ in got)
 
 
+def test_candidates_find_planted_runs():
+    """Recall of the latent candidates against a scan, over leaks at any place of the passages and of the items."""
+    import numpy as np
+
+    rng = random.Random(11)
+    common = ["".join(rng.choice("abcde") for _ in range(3)) for _ in range(60)]
+    rare = ["".join(rng.choice("fghijklmnop") for _ in range(7)) for _ in range(900)]
+    words = lambda n: [rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n)]
+    texts = [words(rng.choice([20, 26, 40, 90])) for _ in range(60)]
+    items = leakage.Items([(i, " ".join(t), "") for i, t in enumerate(texts)])
+    docs, planted = [], []
+    for d in range(600):
+        w = words(150)
+        if d % 2:
+            k = rng.randrange(60)
+            a = rng.randrange(len(texts[k]) - 12)
+            at = rng.randrange(138)
+            w[at : at + 13] = texts[k][a : a + 13]
+            planted.append((d, k))
+        docs.append(np.array([items.vocab.get(x, -1) for x in w], np.int32))
+    p = leakage.Passages(docs, items.size, 13)
+    n = np.bincount(p.known, minlength=items.size)
+    idf = np.log1p(p.n_segs / (1 + n)) ** leakage.SHARP + 0.05
+    q = np.linalg.qr(rng_matrix := np.random.default_rng(3).standard_normal((items.size, 192)))[0]
+    acc = np.zeros_like(rng_matrix)
+    s = p.sums(np.concatenate([q * idf[:, None], (idf**2)[:, None]], axis=1).astype(np.float32))
+    p.spread(s[:, :-1] / s[:, -1:], acc, idf.astype(np.float32))
+    slow = np.zeros_like(acc)  # the same product passage by passage
+    for a, z in zip(p.at, p.to):
+        w = p.flat[a:z]
+        w = w[w >= 0]
+        np.add.at(slow, w, idf[w, None] * (q[w] * idf[w, None]).sum(0) / (idf[w] ** 2).sum())
+    assert np.allclose(acc, slow, rtol=1e-3, atol=1e-3 * np.abs(slow).max())
+    space = leakage.LatentSpace(idf, np.linalg.qr(acc)[0])
+    index = leakage.ProbeIndex(items, space, [d for d in docs[::2]])
+    row, item, _ = index.candidates(leakage._unit(p.sums(space.table)))
+    exact = leakage._verbatim(items, p, row, item)
+    found = set(zip(p.doc[row[exact]].tolist(), item[exact].tolist()))
+    assert sum(x in found for x in planted) / len(planted) >= 0.99
+    assert len(row) < 0.5 * len(p) * len(texts)
+
+
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(-1, 4), max_size=14))
+def test_bit_parallel_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diag = 0
+        for j, y in enumerate(b, 1):
+            diag, row[j] = row[j], diag + 1 if x == y else max(row[j], row[j - 1])
+    assert leakage.lcs_length(a, b) == row[-1]
+
+
+def test_items_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "VOCABULARY", 40)
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 3)
+    rng = random.Random(8)
+    items = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(15)) for _ in range(8)]
+    got = leaks(spark, [f"so {x} it goes" for x in items], items)
+    assert got == {(i, i, True) for i in range(8)}
+
+
 # personal data
 
 
