@@ -1,12 +1,15 @@
 """Lines that come back in many texts of one group (source), and the texts without them.
 
-Copies are collapsed first: rows of a group with the same text are one cluster, so a republished text counts once
-however often it was captured.  Then every line is counted over distinct clusters, and over distinct dates of capture.
-Two lines are the same if equal without white space, decimal digits and letter case.
+Copies are collapsed first: a text stands in the cluster as its digest, is moved once whatever the number of its rows, and
+is split into lines once for each group that has it.  So a republished text counts once however often it was captured.
+Then every line is counted over distinct clusters and over the distinct dates on which its clusters were first captured.
+A line is removed from MIN_TEXTS clusters and MIN_DAYS dates on (one date by default, as all that is asked for is
+different texts; a greater number spares what one day repeats).  Two lines are the same if equal without white space,
+decimal digits and letter case.
 
-All counting is in the JVM.  A line of a hot group is reduced to one row per (group, line, cluster) and task before the
-shuffle, and finding the rows of a line again is a salted join, so neither a source nor a line with a third of all rows
-meets in one task.
+All counting is in the JVM.  The lines of a cluster are put together where its text lies, a line of a hot group is counted
+in every task before the shuffle, and finding the clusters of a line again is a salted join, so neither a source nor a
+line nor a text with a third of all rows meets in one task.
 
 Null and empty texts have no lines to remove and come out as they are; rows repeated under one id count once; groups
 that are null (or whose app is null or empty) take no part; unknown dates (null or 0) count as no date.
@@ -17,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.session import once_per_id
+from mnemolake.session import materialize, once_per_id
 
-MIN_TEXTS = 8
+MIN_TEXTS, MIN_DAYS = 8, 1
 MIN_LETTERS = 8
 SALTS = 16
 DAY_MS = 86_400_000
@@ -31,51 +34,67 @@ def line_key(line: Column) -> Column:
     return F.regexp_replace(folded, r"(?U)[\p{IsWhite_Space}\p{Nd}]+", "")
 
 
-def corpus_texts(corpus: DataFrame) -> DataFrame:
-    """origin, row_key, grp, day, text of the corpus; the group is the source."""
-    c = once_per_id(corpus, "id", "source", "captured_at_ms", "text")
+def _digest(df: DataFrame) -> DataFrame:
+    return df.withColumn("_d", F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(7)).alias("b")))
+
+
+def _day() -> Column:
+    return F.when(F.col("captured_at_ms") > 0, F.floor(F.col("captured_at_ms") / DAY_MS)).alias("day")
+
+
+def corpus_texts(corpus: DataFrame, *more: str) -> DataFrame:
+    """origin, row_key, source, app, day, takes_part, d (digest of the text) of the corpus; the group is the source."""
+    c = once_per_id(_digest(corpus), "id", "source", "captured_at_ms", "_d", *more)
     return c.select(
-        F.lit("corpus_records").alias("origin"), F.col("id").cast("string").alias("row_key"), F.struct(F.col("source"), F.lit("").alias("app")).alias("grp"),
-        F.when(F.col("captured_at_ms") > 0, F.floor(F.col("captured_at_ms") / DAY_MS)).alias("day"), "text", (F.col("source") != "").alias("takes_part"),
+        F.lit("corpus_records").alias("origin"), F.col("id").cast("string").alias("row_key"), "source", F.lit("").alias("app"), _day(),
+        (F.col("source") != "").alias("takes_part"), F.col("_d").alias("d"), *more,
     )
 
 
-def chunk_texts(chunks: DataFrame, records: DataFrame) -> DataFrame:
+def chunk_texts(chunks: DataFrame, records: DataFrame, *more: str) -> DataFrame:
     """The same of pending chunks; the group is the source with the app of the record, without case and outer spaces."""
-    p = once_per_id(chunks, "chunk_id", "record_id", "source", "captured_at_ms", "text")
+    p = once_per_id(_digest(chunks), "chunk_id", "record_id", "source", "captured_at_ms", "_d", *more)
     app = F.lower(F.regexp_replace(F.col("app_name"), r"(?U)^\s+|\s+$", ""))
-    wanted = p.select(F.col("record_id").alias("id")).distinct()
+    wanted = chunks.select(F.col("record_id").alias("id")).distinct()
     r = once_per_id(records.select("id", "app_name").join(wanted, "id", "left_semi"), "id", "app_name").select(F.col("id").alias("record_id"), app.alias("app"))
-    # texts stay where the ids put them; only ids and apps travel again
-    apps = chunks.select("chunk_id", "record_id").distinct().join(r, "record_id").groupBy("chunk_id").agg(F.min(F.struct("record_id", "app")).alias("_a"))
-    p = p.join(apps.select("chunk_id", F.col("_a.app").alias("app")), "chunk_id", "left")
+    p = p.join(r, "record_id", "left")
     return p.select(
-        F.lit("pending_chunks").alias("origin"), F.col("chunk_id").alias("row_key"), F.struct("source", "app").alias("grp"),
-        F.when(F.col("captured_at_ms") > 0, F.floor(F.col("captured_at_ms") / DAY_MS)).alias("day"), "text",
-        ((F.col("source") != "") & (F.col("app") != "")).alias("takes_part"),
-    )
+        F.lit("pending_chunks").alias("origin"), F.col("chunk_id").alias("row_key"), "source", "app", _day(),
+        (F.coalesce(F.col("source"), F.lit("")) != "") & (F.coalesce(F.col("app"), F.lit("")) != ""), F.col("_d").alias("d"), *more,
+    ).toDF("origin", "row_key", "source", "app", "day", "takes_part", "d", *more)
+
+
+def bodies(*tables: DataFrame) -> DataFrame:
+    """d, text: every distinct text once."""
+    one = [_digest(t.select("text").filter(F.col("text") != "")).select(F.col("_d").alias("d"), "text") for t in tables]
+    both = one[0]
+    for t in one[1:]:
+        both = both.unionByName(t)
+    return both.groupBy("d").agg(F.first("text").alias("text"))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """origin, row_key, line_no, lk (128 bits of the line within its group), cluster, day of lines that may be cases."""
-    t = texts.filter(F.col("takes_part") & (F.col("text") != ""))
-    # distinct texts of a group; md5 keeps the shuffled rows small
-    t = t.select("origin", "row_key", "grp", "day", F.xxhash64("text").alias("cluster"), F.posexplode(F.split("text", "\n", -1)).alias("_i", "_line"))
-    key = line_key(F.col("_line"))
-    t = t.withColumn("_k", key).filter(F.length(F.regexp_replace("_k", r"\P{L}+", "")) >= MIN_LETTERS)
-    lk = F.struct(F.xxhash64("origin", "grp.source", "grp.app", "_k").alias("a"), F.xxhash64("_k", F.lit(7), "grp.app", "grp.source").alias("b"))
-    return t.select("origin", "row_key", (F.col("_i") + 1).cast("bigint").alias("line_no"), lk.alias("lk"), "cluster", "day")
+def _lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row per cluster and distinct line: origin, source, app, d, lk (128 bits of the line within its group), at (line numbers), day."""
+    group = ["origin", "source", "app"]
+    clusters = rows.filter("takes_part").groupBy(*group, "d").agg(F.min("day").alias("day"))
+    t = texts.join(clusters, "d").select(*group, "d", "day", F.posexplode(F.split("text", "\n", -1)).alias("_i", "_line"))
+    t = t.withColumn("_k", line_key(F.col("_line"))).filter(F.length(F.regexp_replace("_k", r"\P{L}+", "")) >= MIN_LETTERS)
+    lk = F.struct(F.xxhash64(*group, "_k").alias("a"), F.xxhash64("_k", F.lit(7), *group[::-1]).alias("b"))
+    return t.withColumn("lk", lk).groupBy(*group, "d", "day", "lk").agg(F.collect_list((F.col("_i") + 1).cast("bigint")).alias("at"))
 
 
-def repeated_lines(texts: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+def repeated_lines(rows: DataFrame, texts: DataFrame, min_texts: int = MIN_TEXTS, min_days: int = MIN_DAYS) -> DataFrame:
     """origin, row_key, line_no, n_texts, n_days of the lines to remove."""
-    lines = _lines(texts)
-    # the day of a cluster is its first: copies that come later are no new publication
-    seen = lines.groupBy("lk", "cluster").agg(F.min("day").alias("day"))
-    common = seen.groupBy("lk").agg(F.count(F.lit(1)).alias("n_texts"), F.countDistinct("day").alias("n_days")).filter(F.col("n_texts") >= min_texts)
+    rows = materialize(rows.select("origin", "row_key", "source", "app", "day", "takes_part", "d").filter(F.col("d").isNotNull()))
+    lines = materialize(_lines(rows, texts))
+    by_day = lines.groupBy("lk", "day").agg(F.count(F.lit(1)).alias("n"))
+    common = by_day.groupBy("lk").agg(F.sum("n").alias("n_texts"), F.count("day").alias("n_days")).filter((F.col("n_texts") >= min_texts) & ((F.col("n_days") >= min_days) | (F.lit(min_days) <= 1)))
     salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = lines.select("origin", "row_key", "line_no", "lk", F.pmod(F.xxhash64("row_key"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(salted, ["lk", "salt"]).select("origin", "row_key", "line_no", "n_texts", "n_days")
+    group = ["origin", "source", "app", "d"]
+    gone = lines.select(*group, "lk", "at", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["lk", "salt"])
+    gone = gone.groupBy(*group).agg(F.collect_list(F.struct("at", "n_texts", "n_days")).alias("gone"))
+    found = rows.filter("takes_part").select("row_key", *group).join(gone, group).select("origin", "row_key", F.explode("gone").alias("x"))
+    return found.select("origin", "row_key", F.explode("x.at").alias("line_no"), "x.n_texts", "x.n_days")
 
 
 def without_lines(texts: DataFrame, found: DataFrame) -> DataFrame:

@@ -34,18 +34,21 @@ def p4_found(spark, d):
     return splitting.split_texts(table(spark, d, "record_chunks", True)).filter("n_pieces > 1 and piece = 0").select("id").distinct()
 
 
-def _p5_texts(spark, d):
-    chunks = boilerplate.chunk_texts(table(spark, d, "pending_chunks", True), table(spark, d, "memory_records"))
-    return boilerplate.corpus_texts(table(spark, d, "corpus_records", True)).unionByName(chunks)
+def _p5_tables(spark, d):
+    return table(spark, d, "corpus_records", True), table(spark, d, "pending_chunks", True), table(spark, d, "memory_records")
 
 
 def p5_found(spark, d):
-    return boilerplate.repeated_lines(_p5_texts(spark, d)).select("origin", "row_key", "line_no").distinct()
+    corpus, chunks, records = _p5_tables(spark, d)
+    rows = boilerplate.corpus_texts(corpus).unionByName(boilerplate.chunk_texts(chunks, records))
+    return boilerplate.repeated_lines(rows, boilerplate.bodies(corpus, chunks)).select("origin", "row_key", "line_no").distinct()
 
 
 def p5_clean_texts(spark, d):
-    texts = _p5_texts(spark, d)
-    return boilerplate.without_lines(texts, boilerplate.repeated_lines(texts))
+    corpus, chunks, records = _p5_tables(spark, d)
+    texts = boilerplate.corpus_texts(corpus, "text").unionByName(boilerplate.chunk_texts(chunks, records, "text"))
+    rows = boilerplate.corpus_texts(corpus).unionByName(boilerplate.chunk_texts(chunks, records))
+    return boilerplate.without_lines(texts, boilerplate.repeated_lines(rows, boilerplate.bodies(corpus, chunks)))
 
 
 def _p6_tables(spark, d):
@@ -107,17 +110,24 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdi
 _KEY = r"regexp_replace(replace(replace(lower(x), 'ß', 'ss'), 'ς', 'σ'), '[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\p{Nd}]+', '', 'g')"
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
-#: the queries that SQL can express; the others are tested against brute force and exact round trips
-SQL: dict[str, str] = {
-    "p4_found": "SELECT DISTINCT id FROM record_chunks WHERE length(text) > 1200",
-    "p5_found": f"""WITH c AS (SELECT 'corpus_records' AS origin, id::VARCHAR AS row_key, min(source) AS a, 'c' AS b, min(text) AS text FROM corpus_records GROUP BY id),
+_P5 = f"""WITH c AS (SELECT 'corpus_records' AS origin, id::VARCHAR AS row_key, min(source) AS a, 'c' AS b, min(text) AS text FROM corpus_records GROUP BY id),
         r AS (SELECT id, lower(trim(min(app_name))) AS app FROM memory_records GROUP BY id),
         p AS (SELECT 'pending_chunks' AS origin, chunk_id AS row_key, min(source) AS a, min(app) AS b, min(text) AS text FROM pending_chunks LEFT JOIN r ON r.id = record_id GROUP BY chunk_id),
         t AS (SELECT * FROM c UNION ALL SELECT * FROM p),
         l AS (SELECT origin, row_key, a, b, text, unnest(range(1, len(s) + 1)) AS line_no, unnest(s) AS x FROM (SELECT *, string_split(text, chr(10)) AS s FROM t WHERE a <> '' AND b <> '' AND text <> '')),
         k AS (SELECT *, {_KEY} AS k FROM l),
-        g AS (SELECT origin, a, b, k FROM k WHERE length(regexp_replace(k, '\\P{{L}}+', '', 'g')) >= 8 GROUP BY ALL HAVING count(DISTINCT text) >= 8)
-        SELECT DISTINCT origin, row_key, line_no FROM k JOIN g USING (origin, a, b, k)""",
+        g AS (SELECT origin, a, b, k FROM k WHERE length(regexp_replace(k, '\\P{{L}}+', '', 'g')) >= 8 GROUP BY ALL HAVING count(DISTINCT text) >= 8),
+        f AS (SELECT DISTINCT origin, row_key, line_no FROM k JOIN g USING (origin, a, b, k))"""
+
+#: the queries that SQL can express; the others are tested against brute force and exact round trips
+SQL: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT id FROM record_chunks WHERE length(text) > 1200",
+    "p5_found": _P5 + " SELECT DISTINCT origin, row_key, line_no FROM f",
+    "p5_clean_texts": _P5
+    + """, n AS (SELECT origin, row_key, list(DISTINCT line_no) AS ls FROM f GROUP BY ALL)
+        SELECT origin, row_key, CASE WHEN ls IS NULL THEN text WHEN len(ls) = len(string_split(text, chr(10))) THEN '' ELSE
+        array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ls, i)), chr(10)) END AS text, coalesce(len(ls), 0) AS n_removed
+        FROM t LEFT JOIN n USING (origin, row_key)""",
     "p9_found": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items), j AS (SELECT item_id, w, least(13, len(w)) AS k FROM i WHERE len(w) > 0),
         n AS (SELECT DISTINCT item_id, k, array_to_string(w[p : p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM j)),
         d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text <> ''), s AS (SELECT DISTINCT k FROM n),

@@ -15,9 +15,9 @@ CHUNKS = "chunk_id string, record_id string, ord bigint, text string, source str
 RECS = "id string, app_name string"
 
 
-def removed(spark, rows):
+def removed(spark, rows, **kw):
     df = spark.createDataFrame([(*r, "x", 1, 1) for r in rows], CORPUS)
-    return {(r["row_key"], r["line_no"]) for r in boilerplate.repeated_lines(boilerplate.corpus_texts(df)).collect()}
+    return {(r["row_key"], r["line_no"]) for r in boilerplate.repeated_lines(boilerplate.corpus_texts(df), boilerplate.bodies(df), **kw).collect()}
 
 
 def test_lines_over_different_texts_only(spark):
@@ -32,6 +32,21 @@ def test_lines_over_different_texts_only(spark):
     assert removed(spark, []) == set()
 
 
+def test_dates_of_first_capture_decide_if_asked(spark):
+    day = 86_400_000
+    rows = [(i, "s", day * (20 + i % 3) + 5, f"own words of text {chr(97 + i) * 5}\nAll rights reserved here\nAll rights reserved here") for i in range(9)]
+    assert removed(spark, rows, min_days=3) == {(str(i), n) for i in range(9) for n in (2, 3)}
+    assert removed(spark, rows, min_days=4) == set()
+    copies = [(100 + i, "s", day * (40 + i), rows[0][3]) for i in range(5)]  # captured again later: no new date
+    assert removed(spark, rows + copies, min_days=4) == set()
+
+
+def test_one_text_in_many_groups(spark):
+    body = "shared body line of all\nsecond common line here"
+    rows = [(i, f"s{i % 3}", 0, body) for i in range(30)] + [(50 + i, "s1", 0, f"second common line here\n{chr(97 + i) * 9}") for i in range(7)]
+    assert removed(spark, rows) == {(str(i), 2) for i in range(30) if i % 3 == 1} | {(str(50 + i), 1) for i in range(7)}
+
+
 def test_short_lines_are_no_cases(spark):
     assert removed(spark, [(i, "s", 0, f"abc 1234567 def\nbody {chr(97 + i) * 6}") for i in range(9)]) == set()
 
@@ -39,8 +54,9 @@ def test_short_lines_are_no_cases(spark):
 def test_chunk_groups_and_cleaning(spark):
     chunks = [(f"c{i}", f"r{i}", 0, f"Print  Export  Copy link\nbody {chr(97 + i) * 6}", "screen", 5) for i in range(10)]
     recs = [(f"r{i}", " App " if i % 2 else "app") for i in range(8)] + [("r8", None), ("r9", "")]
-    t = boilerplate.chunk_texts(spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(recs, RECS))
-    f = boilerplate.repeated_lines(t)
+    c, r = spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(recs, RECS)
+    t = boilerplate.chunk_texts(c, r, "text")
+    f = boilerplate.repeated_lines(boilerplate.chunk_texts(c, r), boilerplate.bodies(c))
     assert {r["row_key"] for r in f.collect()} == {f"c{i}" for i in range(8)}
     out = {r["row_key"]: (r["text"], r["n_removed"]) for r in boilerplate.without_lines(t, f).collect()}
     assert out["c0"] == ("body aaaaaa", 1) and out["c8"][1] == 0 and len(out) == 10
