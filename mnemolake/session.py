@@ -54,8 +54,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The same as a table in buckets by key: a later join or aggregation by the key does not move it again.
+
+    df should come from a shuffle by the key (it then already lies as the buckets do, and each bucket is one file)."""
+    spark = df.sparkSession
+    name = "stored_" + uuid.uuid4().hex
+    df.write.bucketBy(partitions(spark), key).option("compression", "zstd").option("path", stored_path(spark)).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def release(spark: SparkSession) -> None:
     """Remove the stored tables of this application; frames made from them can't be read any more."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("stored_"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemolake-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
