@@ -3,13 +3,13 @@
 1. Exact copies are collapsed into classes (md5 of the text); all else runs over one text per class.
 2. Of every text phrases of PHRASE characters are chosen by winnowing: of each window of neighbouring phrases the one
    with the least hash.  Any shared span of SPAN characters contains a whole window, hence a phrase chosen in both.
-3. Phrases chosen in two classes or more are confirmed as recurring; they are sharded by the first class that has them,
-   and every shard compiles an Aho-Corasick automaton.  All texts with a recurring phrase of the shard are streamed
-   through it, which locates every occurrence.  A shard with more texts than usual is salted: its
-   phrases go to every salt, each text to one.
+3. Phrases chosen in two classes or more are confirmed as recurring.  The texts lie in shards (buckets of one table) and
+   stay there; each shard compiles Aho-Corasick automata of the recurring phrases of its texts and streams the texts
+   through them, which locates every occurrence.  (A text without a recurring phrase of its own shares no span.)
 4. Two occurrences of a phrase belong to a shared span of SPAN characters if the equal context to the left and right
-   together makes up the rest.  Phrases with many occurrences are matched by an equi-join on the hash of every possible
-   span around the phrase instead of pair by pair, so that the work follows the result.
+   together makes up the rest.  For pairs, phrases with at most MANY occurrences are compared pair by pair; beyond that
+   equal spans around the phrase meet by their digest.  The coverage makes no pairs at all: it asks which spans around a
+   phrase two classes hold, on a grid of places first, and is linear in the occurrences.
 
 Null texts and texts shorter than SPAN share nothing.  Rows repeated under one id count once.  Tables without rows give
 no rows.  Comparison is exact, by Unicode characters.
@@ -21,15 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.session import materialize, once_per_id, partitions
+from mnemolake.session import bucketed, materialize, once_per_id, partitions
 
 SPAN = 300
-PHRASE = 200
-MANY = 64
-MOST_SALTS, LEAST_TEXTS = 256, 50
+PHRASE = 100
+MANY, GRID = 64, 25
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,44 +103,23 @@ def _select(span: int, phrase: int):
     return run
 
 
-def _route(phrase: int):
-    """Phrase rows from the class that owns them, and the text once for each shard that it has phrases in."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for rep, text, marks in zip(pdf["rep"], pdf["text"], pdf["marks"]):
-                shards = set()
-                for m in marks:
-                    if m["owner"] == rep:
-                        out.append((int(m["shard"]), 0, None, int(m["h"]), text[m["pos"] : m["pos"] + phrase]))
-                    shards.add(int(m["shard"]))
-                out += [(s, 1, rep, None, text) for s in shards]
-            yield pd.DataFrame(out, columns=["shard", "kind", "rep", "h", "text"]).astype({"rep": "Int64", "h": "Int64"})
-
-    return run
-
-
 def _locate(span: int, phrase: int):
+    """A task is a shard: it compiles the automaton of the recurring phrases of its texts and streams all its texts through it.
+
+    Texts that come without marks are held back in no way: they cannot share a span, as a shared span has a phrase chosen in both."""
     rest = span - phrase
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        auto, shard, ready = None, None, False
-        for pdf in batches:
+        for pdf in batches:  # an automaton for each batch of texts, so that memory is bounded by the batch
+            auto = ahocorasick.Automaton()
+            for text, marks in zip(pdf["text"], pdf["marks"]):
+                for m in marks:
+                    auto.add_word(text[m["pos"] : m["pos"] + phrase], int(m["h"]))
+            auto.make_automaton()
             out = []
-            for s, kind, rep, h, text in zip(pdf["shard"], pdf["kind"], pdf["rep"], pdf["h"], pdf["text"]):
-                if s != shard:
-                    auto, shard, ready = ahocorasick.Automaton(), s, False
-                if kind == 0:
-                    auto.add_word(text, int(h))
-                    continue
-                if not ready:
-                    auto.make_automaton()
-                    ready = True
-                if len(auto) == 0:
-                    continue
+            for rep, text in zip(pdf["rep"], pdf["text"]):
                 for end, found in auto.iter(text):
                     a = end + 1 - phrase
                     out.append((found, int(rep), a, text[max(0, a - rest) : a], text[end + 1 : end + 1 + rest]))
@@ -197,64 +175,80 @@ def _pairs(span: int, phrase: int):
 
 
 def _classes(df: DataFrame, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
-    """(members: doc, cls), (one text per class: rep, cls, text)."""
-    d = once_per_id(df.filter(F.col(text).isNotNull()), key, text).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    d = materialize(d.filter(F.length("text") >= span).withColumn("cls", F.md5(F.col("text").cast("binary"))))
-    reps = d.groupBy("cls").agg(F.min("doc").alias("rep"))
-    texts = d.join(reps.withColumnRenamed("rep", "doc").drop("cls"), "doc", "left_semi").select(F.col("doc").alias("rep"), "cls", "text")
-    return d.select("doc", "cls"), texts
+    """(members: doc, cls, n_chars), (one text per class: rep, text, as a table in buckets by rep).
+
+    Of rows repeated under one id the one with the smallest digest counts.  Only digests travel to find the members and the
+    representative of a class; the texts travel once, to the bucket where the later join by rep finds them."""
+    d = df.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).withColumn("cls", F.md5(F.col("text").cast("binary")))
+    members = once_per_id(d.withColumn("n_chars", F.length("text")), "doc", "cls", "n_chars").filter((F.col("n_chars") >= span) & F.col("doc").isNotNull())
+    members = materialize(members)
+    reps = members.groupBy("cls").agg(F.min("doc").alias("doc")).select("doc", F.col("cls").alias("_c"))
+    one = d.filter(F.length("text") >= span).join(reps, "doc").filter(F.col("cls") == F.col("_c"))
+    return members, bucketed(one.groupBy("doc").agg(F.first("text").alias("text")).withColumnRenamed("doc", "rep"), "rep")
 
 
-def shared_links(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, phrase: int = PHRASE) -> tuple[DataFrame, DataFrame]:
-    """(members: doc, cls), (links between classes: rep_a, rep_b and the equal stretch of each around one phrase)."""
+def recurring_phrases(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, phrase: int = PHRASE) -> tuple[DataFrame, DataFrame]:
+    """(members: doc, cls, n_chars), (found: h, rep, pos, lft, rgt of every occurrence of a recurring phrase)."""
     if not 16 <= phrase < span:
         raise ValueError("the phrase must be shorter than the span")
-    spark = df.sparkSession
-    n = partitions(spark)
     members, texts = _classes(df, key, text, span)
-    texts = materialize(texts)
     chosen = materialize(texts.select("rep", "text").mapInPandas(_select(span, phrase), "rep bigint, h bigint, pos int"))
-    again = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("owner")).filter("n > 1")
-    shard = F.pmod(F.xxhash64("owner"), F.lit(4 * n))
-    marks = chosen.join(again.select("h", "owner", shard.alias("shard")), "h")
-    # a shard with more texts than usual is dealt to so many salts; there are 4 * n shards at most
-    sizes = marks.select("rep", "shard").distinct().groupBy("shard").agg(F.count(F.lit(1)).alias("c"))
-    usual = max((sizes.agg(F.sum("c")).first()[0] or 0) / (4 * n), LEAST_TEXTS)
-    salts = sizes.select("shard", F.least(F.lit(MOST_SALTS), F.ceil(F.col("c") / F.lit(2.0 * usual))).cast("int").alias("salts"))
-    marks = marks.groupBy("rep").agg(F.collect_list(F.struct("h", "pos", "owner", "shard")).alias("marks"))
-    routed = texts.select("rep", "text").join(marks, "rep").mapInPandas(_route(phrase), "shard bigint, kind int, rep bigint, h bigint, text string")
-    routed = routed.join(F.broadcast(salts), "shard")
-    salt = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.col("rep"), F.col("salts")).cast("int")))
-    routed = routed.withColumn("salt", F.explode(salt)).withColumn("shard", F.col("shard") * MOST_SALTS + F.col("salt")).drop("salt", "salts")
-    routed = routed.repartition(n, "shard").sortWithinPartitions("shard", "kind")
-    found = materialize(routed.mapInPandas(_locate(span, phrase), "h bigint, rep bigint, pos int, lft string, rgt string"))
+    again = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    marks = chosen.join(again, "h").groupBy("rep").agg(F.collect_list(F.struct("h", "pos")).alias("marks"))
+    found = texts.join(marks, "rep").select("rep", "text", "marks").mapInPandas(_locate(span, phrase), "h bigint, rep bigint, pos int, lft string, rgt string")
+    return members, materialize(found)
+
+
+def shared_links(found: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+    """Links between classes: rep_a, rep_b and the equal stretch of each around one phrase."""
+    n = partitions(found.sparkSession)
     sizes = found.groupBy("h").agg(F.count(F.lit(1)).alias("_m"))
-    few = found.join(sizes.filter(F.col("_m") <= MANY).select("h"), "h", "left_semi").repartition(n, "h").sortWithinPartitions("h", "rep", "pos")
+    few = found.join(sizes.filter((F.col("_m") <= MANY) & (F.col("_m") > 1)).select("h"), "h", "left_semi").repartition(n, "h").sortWithinPartitions("h", "rep", "pos")
     links = few.mapInPandas(_pairs(span, phrase), _LINK)
     # many occurrences: equal spans around the phrase meet by their hash
-    rest = span - phrase
-    many = found.join(sizes.filter(F.col("_m") > MANY).select("h"), "h", "left_semi")
-    offs = F.sequence(F.greatest(F.lit(0), rest - F.length("rgt")), F.least(F.lit(rest), F.length("lft")))
-    many = many.filter(F.length("lft") + F.length("rgt") >= rest).withColumn("o", F.explode(offs))
-    around = F.concat(F.expr("right(lft, o)"), F.lit("\x00"), F.expr(f"left(rgt, {rest} - o)"))
-    many = many.select("h", "o", F.md5(around.cast("binary")).alias("w"), "rep", (F.col("pos") - F.col("o")).alias("at")).distinct()
+    many = shared_windows(found.join(sizes.filter(F.col("_m") > MANY).select("h"), "h", "left_semi"), span, phrase)
     x, y = many.alias("x"), many.alias("y")
     cond = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("h", "o", "w")]
     hot = x.join(y, [*cond, F.col("x.rep") < F.col("y.rep")]).select(
         F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b"), F.col("x.at").alias("a_from"), (F.col("x.at") + span).alias("a_to"),
         F.col("y.at").alias("b_from"), (F.col("y.at") + span).alias("b_to"),
     )
-    return members, links.unionByName(hot)
+    return links.unionByName(hot)
+
+
+def _around(o: str, width: int) -> Column:
+    """Digest of `o` characters before the phrase and the rest of `width` behind it."""
+    return F.md5(F.concat(F.expr(f"right(lft, {o})"), F.lit("\x00"), F.expr(f"left(rgt, {width} - {o})")).cast("binary"))
+
+
+def shared_windows(found: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+    """h, o, w, rep, at: the spans around phrases that two classes or more hold; linear in the occurrences.
+
+    First on a grid: whoever shares a span with `o` characters before the phrase shares, for the grid place g below o, g
+    characters before it and rest - GRID - g behind.  Only near grid places that two classes share is every o tried."""
+    rest = span - phrase
+    grid = F.sequence(F.lit(0), F.lit(max(0, rest - GRID)), F.lit(GRID))
+    c = found.filter(F.length("lft") + F.length("rgt") >= rest).select("h", "rep", "pos", "lft", "rgt")
+    near = c.select("h", "rep", "pos", "lft", "rgt", F.explode(grid).alias("g"))
+    near = near.filter((F.length("lft") >= F.col("g")) & (F.length("rgt") >= F.lit(max(0, rest - GRID)) - F.col("g")))
+    near = near.withColumn("w", _around("g", max(0, rest - GRID)))
+    two = near.groupBy("h", "g", "w").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("h", "g", "w")
+    near = near.join(two, ["h", "g", "w"], "left_semi")
+    o = F.sequence(F.greatest(F.col("g"), rest - F.length("rgt")), F.least(F.col("g") + GRID, F.lit(rest), F.length("lft")))
+    ok = F.greatest(F.col("g"), rest - F.length("rgt")) <= F.least(F.col("g") + GRID, F.lit(rest), F.length("lft"))
+    every = near.filter(ok).select("h", "rep", "pos", "lft", "rgt", F.explode(o).alias("o"))
+    every = every.select("h", "o", _around("o", rest).alias("w"), "rep", (F.col("pos") - F.col("o")).alias("at")).distinct()
+    two = every.groupBy("h", "o", "w").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("h", "o", "w")
+    return every.join(two, ["h", "o", "w"], "left_semi")
 
 
 def shared_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """doc_a < doc_b: all pairs of documents with a common substring of at least `span` characters."""
-    members, links = shared_links(df, key, text, span)
-    reps = links.select("rep_a", "rep_b").distinct()
-    of = members.join(members.select(F.col("doc").alias("rep"), F.col("cls")), "cls").select("rep", "doc")
-    one = of.join(members.groupBy("cls").agg(F.min("doc").alias("rep")).select("rep"), "rep", "left_semi")
-    a = one.select(F.col("rep").alias("rep_a"), F.col("doc").alias("da"))
-    b = one.select(F.col("rep").alias("rep_b"), F.col("doc").alias("db"))
+    members, found = recurring_phrases(df, key, text, span)
+    reps = shared_links(found, span).select("rep_a", "rep_b").distinct()
+    of = members.join(members.groupBy("cls").agg(F.min("doc").alias("rep")), "cls").select("rep", "doc")
+    a = of.select(F.col("rep").alias("rep_a"), F.col("doc").alias("da"))
+    b = of.select(F.col("rep").alias("rep_b"), F.col("doc").alias("db"))
     across = reps.join(a, "rep_a").join(b, "rep_b")
     m = members.select("cls", F.col("doc").alias("db"))
     inside = members.select("cls", F.col("doc").alias("da")).join(m, "cls").filter("da < db")
@@ -263,27 +257,24 @@ def shared_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
 
 def shared_coverage(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """One row per document that shares a span: doc_id, class_id, n_links (classes it shares with), copies, shared_chars, n_chars."""
-    members, links = shared_links(df, key, text, span)
-    links = materialize(links)
-    side = lambda s, o: links.select(F.col(f"rep_{s}").alias("rep"), F.col(f"rep_{o}").alias("other"), F.col(f"{s}_from").alias("f"), F.col(f"{s}_to").alias("t"))
-    both = side("a", "b").unionByName(side("b", "a"))
-    n_links = both.groupBy("rep").agg(F.countDistinct("other").alias("n_links"))
-    # union of intervals, by folding the sorted distinct stretches of one text
-    cut = both.groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("f", "t"))).alias("iv"))
+    """One row per document that shares a span: doc_id, class_id, copies (documents with the same text), n_sharing (the
+    most other texts that hold one and the same span of it), shared_chars, n_chars.
+
+    No pairs are made: a text gives its own stretches around a phrase, and the work is linear in the occurrences."""
+    members, found = recurring_phrases(df, key, text, span)
+    w = materialize(shared_windows(found, span))
+    n = w.select("h", "o", "w", "rep").distinct().groupBy("h", "o", "w").agg((F.count(F.lit(1)) - 1).alias("n"))
+    # union of intervals, by folding the sorted distinct places of one text
+    cut = w.join(n, ["h", "o", "w"]).groupBy("rep").agg(F.array_sort(F.collect_set("at")).alias("iv"), F.max("n").alias("n_sharing"))
     fold = F.aggregate(
         "iv",
         F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("end")),
-        lambda acc, x: F.struct(
-            (acc["sum"] + F.greatest(F.lit(0), x["t"] - F.greatest(x["f"], acc["end"]))).alias("sum"), F.greatest(acc["end"], x["t"]).alias("end")
-        ),
+        lambda acc, x: F.struct((acc["sum"] + span - F.greatest(F.lit(0), acc["end"] - x)).alias("sum"), (x + span).alias("end")),
     )
-    cut = cut.select("rep", fold["sum"].alias("cov")).join(n_links, "rep")
+    cut = cut.select("rep", fold["sum"].alias("cov"), "n_sharing")
     size = members.groupBy("cls").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    d = members.join(size, "cls").join(cut, "rep", "left")
-    lens = once_per_id(df.filter(F.col(text).isNotNull()), key, text).select(F.col(key).cast("bigint").alias("doc"), F.length(text).alias("n_chars"))
-    d = d.join(lens, "doc").filter((F.col("copies") > 1) | F.col("cov").isNotNull())
+    d = members.join(size, "cls").join(cut, "rep", "left").filter((F.col("copies") > 1) | F.col("cov").isNotNull())
     return d.select(
-        F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "copies",
+        F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("n_sharing", F.lit(0)).cast("bigint").alias("n_sharing"),
         F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("cov")).cast("bigint").alias("shared_chars"), F.col("n_chars").cast("bigint").alias("n_chars"),
     )

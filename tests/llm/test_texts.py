@@ -106,6 +106,31 @@ def test_phrase_hashes():
             assert any(i <= p < i + w for p in places)
 
 
+def coverage_by_hand(texts, n):
+    out = {}
+    for a, t in enumerate(texts):
+        others = {u[i : i + n] for u in {x for b, x in enumerate(texts) if b != a and x} for i in range(len(u) - n + 1)} if t else set()
+        hit = set()
+        for i in range(len(t or "") - n + 1):
+            if t[i : i + n] in others:
+                hit |= set(range(i, i + n))
+        if hit:
+            out[a] = len(hit)
+    return out
+
+
+def test_coverage_equals_brute_force(spark):
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    licence, long = own(310), own(900)
+    texts = [own(rng.choice([0, 50, 400])) + licence + own(rng.choice([0, 30, 500])) for _ in range(90)]  # above MANY
+    texts += [own(200) + long[a : a + n] + own(200) for a, n in ((0, 900), (100, 420), (300, 299), (350, 300), (500, 400))]
+    texts += [own(700), own(700), None, "", texts[3], texts[3], own(60) + licence[:299], licence[5:]]
+    got = {r["doc_id"]: r["shared_chars"] for r in spans.shared_coverage(texts_df(spark, texts)).collect()}
+    assert got == coverage_by_hand(texts, 300)
+    assert {tuple(r) for r in spans.shared_pairs(texts_df(spark, texts)).collect()} == shared_by_hand(texts, 300)
+
+
 # leaks
 
 
