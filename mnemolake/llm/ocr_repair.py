@@ -5,15 +5,20 @@ title; a running header or footer is a line with such a number, or one that come
 letter up to misread characters) without being a sentence.  A line is hyphenated if it ends within a word and the next
 line that is no page furniture goes on in lower case.
 
-Words: the frequency lexicon of all texts is counted in the cluster.  A symmetric-delete index (every word with up to
-two characters removed, on both sides of an equi-join) gives candidate pairs; a weighted edit distance, in which pairs of
+Each text is laid out once, in Python, into a stored table: the kinds of its lines and its words with their places.  All
+else is counted and joined from there in the JVM, but for the distance of two words.
+
+Words: the frequency lexicon of all texts is counted in the cluster.  A symmetric-delete index (the first PREFIX characters
+of every word with up to two removed, on both sides of an equi-join; words within two deletions of each other always meet
+in it) gives candidate pairs; short keys, which many words have, are salted.  A weighted edit distance, in which pairs of
 characters that recognition confuses are cheap and all else is dear, keeps the plausible ones; frequency and the counts
-of the two bigrams around the word pick the repair.  A word broken across lines is judged whole and the fault laid to
-the line that holds it.
+of the two bigrams around the word pick the repair, for every place by itself.  A word broken across lines is judged whole
+and the fault laid to the line that holds it.  Words of one or two characters are not repaired, and a repair is a word of
+letters that the corpus has LEAST times; these bounds hold for corpora of every size.
 
 The lexicon and the index are tables, joined by word; the corrections are broadcast only below CORRECTIONS_BROADCAST
 rows and joined by shuffle beyond.  Null and empty texts have no faults and come out as they are; rows repeated under
-one id count once.
+one id count once.  A word may be of any length.
 """
 
 from __future__ import annotations
@@ -38,15 +43,17 @@ CONFUSIONS = [
     ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
 ]
 CONFUSED, OTHER, MOST = 0.3, 1.0, 0.65
-RATIO = 20
+RATIO, LEAST = 20, 3
+PREFIX, SALTS = 10, 16
 CORRECTIONS_BROADCAST = 200_000
 HYPHENS = "-‐‑¬\xad"
 
 _NUM = r"(?:\d{1,5}|(?=[ivxlc])(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
 _NUMBER = re.compile(rf"\s*(?:[-–—~]\s*{_NUM}\s*[-–—~]|[\[(]\s*{_NUM}\s*[\])]|(?:page|pg|p|seite|s)\.?\s*{_NUM}(?:\s*(?:of|von|/)\s*{_NUM})?|{_NUM}\s*(?:/|of)\s*{_NUM}|{_NUM})\s*", re.I)
-_APART = re.compile(rf"\s*(?:{_NUM}\s{{2,}}(?P<a>\S.*?)|(?P<b>\S.*?)\s{{2,}}{_NUM})\s*", re.I)
+_NUMERAL = re.compile(_NUM, re.I)
 _SENTENCE_END = re.compile(r"[.,;:?!…][\"'”’)]*$")
-_BROKEN = re.compile(rf"([^\W\d_][^\s\{HYPHENS}]*)[\{HYPHENS}]\s*$")
+_LETTER = re.compile(r"[^\W\d_]")
+_AFTER_HYPHENS = re.compile(rf"[\{HYPHENS}]")
 _EDGE = ".,;:?!\"'()[]{}…“”‘’«»"
 _FOLD = str.maketrans({"0": "o", "1": "l", "|": "l", "!": "l", "i": "l", "5": "s", "6": "b", "9": "g", "@": "a", "†": "t", "c": "e", "v": "y"})
 
@@ -61,16 +68,57 @@ def _near(a: str, b: str) -> bool:
     """At most two edits apart; long lines only."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 8:
+    n, m = len(a), len(b)
+    if abs(n - m) > 2 or min(n, m) < 8:
         return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diag, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (x != y))
-        if min(row) > 2:
+    row = {j: j for j in range(3)}
+    for i in range(1, n + 1):  # a band of two around the diagonal
+        new = {}
+        for j in range(max(0, i - 2), min(m, i + 2) + 1):
+            if j == 0:
+                new[j] = i
+                continue
+            new[j] = min(row.get(j, 9) + 1, new.get(j - 1, 9) + 1, row.get(j - 1, 9) + (a[i - 1] != b[j - 1]))
+        if min(new.values()) > 2:
             return False
-    return row[-1] <= 2
+        row = new
+    return row.get(m, 9) <= 2
+
+
+class _Titles:
+    """Keys of title-like lines; those near a key are found by the deletions of its beginning."""
+
+    def __init__(self):
+        self.by: dict[str, list[str]] = {}
+        self.keys: set[str] = set()
+
+    def add(self, key: str) -> None:
+        if key not in self.keys:
+            self.keys.add(key)
+            if len(key) >= 8:
+                for d in deletes(key, prefix=6):
+                    self.by.setdefault(d, []).append(key)
+
+    def near(self, key: str) -> set[str]:
+        """All keys equal to it or near it."""
+        out = {key} & self.keys
+        if len(key) >= 8:
+            out |= {k for k in {k for d in deletes(key, prefix=6) for k in self.by.get(d, ())} if _near(key, k)}
+        return out
+
+
+def _apart(line: str) -> str | None:
+    """The title beside a number that stands apart from it."""
+    body = line.strip()
+    first = body.split(None, 1)
+    if len(first) < 2:
+        return None
+    if _NUMERAL.fullmatch(first[0]) and body[len(first[0]) : len(first[0]) + 2].isspace():
+        return first[1]
+    rest, last = body.rsplit(None, 1)
+    if _NUMERAL.fullmatch(last) and len(body) - len(last) - len(rest) >= 2:
+        return rest
+    return None
 
 
 def layout(text: str) -> tuple[list[str], list[set[str]], list[str]]:
@@ -80,58 +128,61 @@ def layout(text: str) -> tuple[list[str], list[set[str]], list[str]]:
     body = [x.strip() for x in lines]
     titles: list[int] = []
     for i, line in enumerate(lines):
-        if not body[i]:
+        x = body[i]
+        if not x:
             continue
-        if _NUMBER.fullmatch(line):
+        if len(x) <= 64 and _NUMBER.fullmatch(x) or len(x) > 64 and x.count(" ") > 32 and _NUMBER.fullmatch(" ".join(x.split())):
             kinds[i].add("page_no")
             body[i] = ""
             continue
-        m = _APART.fullmatch(line)
-        if m and not _SENTENCE_END.search(m["a"] or m["b"]) and sum(c.isalpha() for c in m["a"] or m["b"]) > 3:
+        title = _apart(line)
+        if title is not None and not _SENTENCE_END.search(title[-8:]) and sum(c.isalpha() for c in title) > 3:
             kinds[i] |= {"header", "page_no"}
-            body[i] = m["a"] or m["b"]
+            body[i] = title
             titles.append(i)
-        elif not _SENTENCE_END.search(body[i]) and not body[i][0].islower() and body[i][0] not in "-–•*" and " " in body[i] and sum(c.isalpha() for c in body[i]) > 7:
+        elif not _SENTENCE_END.search(x[-8:]) and not x[0].islower() and x[0] not in "-–•*" and " " in x and sum(c.isalpha() for c in x) > 7:
             titles.append(i)
-    keys = {i: _folded(re.sub(r"\d+$", "", body[i])) for i in titles}
+    keys = {i: _folded(re.sub(r"\d+$", "", body[i][-400:] if len(body[i]) > 4000 else body[i])) for i in titles}
     groups = Counter(keys.values())
-    known = {k for i, k in keys.items() if kinds[i] or groups[k] > 1}
+    known = _Titles()
+    for i in titles:
+        if kinds[i] or groups[keys[i]] > 1:
+            known.add(keys[i])
     for i in titles:
-        if not kinds[i] and (keys[i] in known or any(_near(keys[i], k) for k in known)):
+        if not kinds[i] and known.near(keys[i]):
             kinds[i].add("header")
             known.add(keys[i])
-    for a in range(len(titles)):  # titles that are misread each time differently
-        for b in range(a + 1, len(titles)):
-            i, j = titles[a], titles[b]
-            if not (kinds[i] and kinds[j]) and _near(keys[i], keys[j]):
-                kinds[i].add("header")
-                kinds[j].add("header")
+    every = _Titles()  # titles that are misread each time differently
+    for i in titles:
+        every.add(keys[i])
+    for i in titles:
+        if not kinds[i] and every.near(keys[i]) - {keys[i]}:
+            kinds[i].add("header")
     return lines, kinds, body
 
 
 def word_tokens(lines: list[str], kinds: list[set[str]], body: list[str]):
-    """([word, line, line of its second part or -1, length of its first part], ...), set of hyphenated lines."""
+    """([word, line, line of its second part or -1, length of its first part, its place in the line], ...), set of hyphenated lines."""
     out: list[list] = []
     hyphenated: set[int] = set()
     flow = [i for i in range(len(lines)) if body[i] and not kinds[i]]
     carry = None
     for at, i in enumerate(flow):
         parts = lines[i].split()
+        skipped = 0
         if carry is not None:
-            head, line = carry
-            rest = parts[0]
-            out.append([(head + rest).strip(_EDGE).lower(), line, i, len(head.lstrip(_EDGE))])
-            parts = parts[1:]
-            carry = None
-        m = _BROKEN.search(lines[i])
-        if m and parts and at + 1 < len(flow) and lines[flow[at + 1]].lstrip()[:1].islower():
+            head, line, place = carry
+            out.append([(head + parts[0]).strip(_EDGE).lower(), line, i, len(head.lstrip(_EDGE)), place])
+            parts, skipped, carry = parts[1:], 1, None
+        last = parts[-1] if parts else ""
+        if last and last[-1] in HYPHENS and at + 1 < len(flow) and lines[flow[at + 1]].lstrip()[:1].islower() and _LETTER.search(_AFTER_HYPHENS.split(last[:-1])[-1]):
             hyphenated.add(i)
-            carry = (parts[-1].rstrip(HYPHENS), i)
+            carry = (last.rstrip(HYPHENS), i, skipped + len(parts) - 1)
             parts = parts[:-1]
-        out += [[p.strip(_EDGE).lower(), i, -1, 0] for p in parts]
+        out += [[p.strip(_EDGE).lower(), i, -1, 0, skipped + k] for k, p in enumerate(parts)]
     for i, k in enumerate(kinds):
         if "header" in k:
-            out += [[p.strip(_EDGE).lower(), i, -1, 0] for p in body[i].split()]
+            out += [[p.strip(_EDGE).lower(), i, -1, 0, -1] for p in body[i].split()]
     return out, hyphenated
 
 
@@ -142,23 +193,12 @@ def _is_word(w: str) -> bool:
     return len(w) > 2 and sum(c.isalpha() for c in w) >= 2 and not any(c in "/\\_-–—=<>#" for c in w)
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words (b is null) and bigrams of a task."""
-    n: Counter = Counter()
-    for pdf in batches:
-        for text in pdf["text"]:
-            t = [x[0] for x in word_tokens(*layout(text))[0]]
-            ok = [w if _is_word(w) else None for w in t]
-            n.update((w, None) for w in ok if w)
-            n.update((a, b) for a, b in zip(ok, ok[1:]) if a and b)
-        if len(n) > 500_000:
-            yield pd.DataFrame([(a, b, c) for (a, b), c in n.items()], columns=["a", "b", "n"])
-            n.clear()
-    yield pd.DataFrame([(a, b, c) for (a, b), c in n.items()], columns=["a", "b", "n"])
-
-
-def deletes(w: str, most: int = 2) -> set[str]:
-    """w with up to `most` characters removed."""
+def deletes(w: str, most: int = 2, prefix: int = PREFIX) -> set[str]:
+    """The first `prefix` characters of w with up to `most` removed.
+
+    Two words that are equal once `most` characters at most are removed from each have one of these in common: the
+    removals that fall into the beginning of the one leave at least as much as the other's."""
+    w = w[:prefix]
     out, level = {w}, {w}
     for _ in range(most):
         level = {x[:i] + x[i + 1 :] for x in level for i in range(len(x))}
@@ -178,26 +218,41 @@ for _seen, _true in CONFUSIONS:
 
 
 def weighted_distance(seen: str, true: str, most: float = MOST) -> float:
-    """Least cost of confusions and edits that turn `true` into `seen`; stops above `most`."""
-    n, m = len(seen), len(true)
-    inf = most + 1
-    cost = [[inf] * (m + 1) for _ in range(n + 1)]
-    cost[0][0] = 0.0
+    """Least cost of confusions and edits that turn `true` into `seen`; above `most` it is most + 1.
+
+    Only places that are reached within `most` are kept, so the work is a few steps per character."""
+    n, m, none = len(seen), len(true), most + 1
+    rows: list[dict[int, float]] = [{0: 0.0}, {}, {}]
+
+    def reach(row: dict[int, float], j: int, c: float) -> bool:
+        if c <= most and j <= m and c < row.get(j, none):
+            row[j] = c
+            return True
+        return False
+
     for i in range(n + 1):
-        for j in range(m + 1):
-            c = cost[i][j]
-            if c > most:
-                continue
+        row = rows[0]
+        todo = sorted(row)
+        while todo:
+            j = todo.pop(0)
+            c = row[j]
             if i < n and j < m and seen[i] == true[j]:
-                cost[i + 1][j + 1] = min(cost[i + 1][j + 1], c)
-            for k in (1, 2):
-                for t in _BY_SEEN.get(seen[i : i + k], ()) if i + k <= n else ():
-                    if true.startswith(t, j) and c + CONFUSED < cost[i + k][j + len(t)]:
-                        cost[i + k][j + len(t)] = c + CONFUSED
-            for a, b in ((1, 1), (1, 0), (0, 1)):
-                if i + a <= n and j + b <= m and c + OTHER < cost[i + a][j + b]:
-                    cost[i + a][j + b] = c + OTHER
-    return cost[n][m]
+                reach(rows[1], j + 1, c)
+            if c + CONFUSED <= most:
+                for k in (1, 2):
+                    for t in _BY_SEEN.get(seen[i : i + k], ()) if i + k <= n else ():
+                        if true.startswith(t, j):
+                            reach(rows[k], j + len(t), c + CONFUSED)
+            if c + OTHER <= most:
+                if i < n:
+                    reach(rows[1], j, c + OTHER)
+                    reach(rows[1], j + 1, c + OTHER)
+                if reach(row, j + 1, c + OTHER) and (not todo or todo[0] != j + 1):
+                    todo.insert(0, j + 1)
+        if i == n:
+            return row.get(m, none)
+        rows = [rows[1], rows[2], {}]
+    return none
 
 
 def first_fault(seen: str, true: str) -> int:
@@ -221,50 +276,39 @@ def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["w", "nw", "c", "nc", "dist", "odd"])
 
 
-def corrections(counts: DataFrame) -> DataFrame:
-    """w, c, nw, nc, dist, odd: plausible repairs of words; counts has a, b, n."""
-    vocab = counts.filter("b is null").select(F.col("a").alias("w"), "n")
-    vocab = materialize(vocab)
+def corrections(vocab: DataFrame) -> DataFrame:
+    """w, c, nw, nc, dist, odd: plausible repairs of words; vocab (w, n) is a stored table."""
     top = vocab.agg(F.max("n")).first()[0] or 0
-    pure = r"^\p{L}+$"
-    liga = "[ﬀ-ﬆ]"
-    odd = ~F.col("w").rlike(pure) | F.col("w").rlike(liga)
-    seen = vocab.filter((odd & (F.length("w") < 24)) | (F.col("n") * RATIO <= top)).mapInPandas(_index, "d string, w string, n bigint")
-    good = vocab.filter(~odd & (F.col("n") >= 3)).mapInPandas(_index, "d string, w string, n bigint")
-    good = good.select("d", F.col("w").alias("c"), F.col("n").alias("nc"))
-    seen = seen.select("d", "w", F.col("n").alias("nw"))
-    strange = ~F.col("w").rlike(pure) | F.col("w").rlike(liga)
-    pairs = seen.join(good, "d").filter((F.col("w") != F.col("c")) & (strange | (F.col("nc") >= F.col("nw") * RATIO)) & (F.abs(F.length("w") - F.length("c")) <= 2))
+    odd = ~F.col("w").rlike(r"^\p{L}+$") | F.col("w").rlike("[ﬀ-ﬆ]")
+    seen = vocab.filter(odd | (F.col("n") * RATIO <= top)).mapInPandas(_index, "d string, w string, n bigint")
+    good = vocab.filter(~odd & (F.col("n") >= LEAST)).mapInPandas(_index, "d string, w string, n bigint")
+    short = F.length("d") <= 2
+    seen = seen.select("d", F.when(short, F.pmod(F.xxhash64("w"), F.lit(SALTS))).otherwise(0).alias("salt"), "w", F.col("n").alias("nw"))
+    good = good.select("d", F.explode(F.when(short, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))).alias("salt"), F.col("w").alias("c"), F.col("n").alias("nc"))
+    pairs = seen.join(good, ["d", "salt"]).filter((F.col("w") != F.col("c")) & (odd | (F.col("nc") >= F.col("nw") * RATIO)) & (F.abs(F.length("w") - F.length("c")) <= 2))
     pairs = pairs.select("w", "nw", "c", "nc").distinct()
     return pairs.mapInPandas(_plausible, "w string, nw bigint, c string, nc bigint, dist double, odd boolean")
 
 
-_LINE = "origin string, row_key string, line_no bigint, kind string"
-_TOKEN = "origin string, row_key string, line_a bigint, line_b bigint, head int, w string, prv string, nxt string"
+_LAID = "origin string, row_key string, flags array<struct<line_no:bigint,kind:string>>, w array<string>, line_a array<int>, line_b array<int>, head array<int>"
+_COLS = ["origin", "row_key", "flags", "w", "line_a", "line_b", "head"]
 
 
-def _structure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lay_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every text as the kinds of its lines and its words ('' for what is none)."""
     for pdf in batches:
         rows = []
         for o, k, text in zip(pdf["origin"], pdf["row_key"], pdf["text"]):
             lines, kinds, body = layout(text)
-            rows += [(o, k, i + 1, x) for i, s in enumerate(kinds) for x in s]
-            rows += [(o, k, i + 1, "hyphen") for i in word_tokens(lines, kinds, body)[1]]
-        yield pd.DataFrame(rows, columns=["origin", "row_key", "line_no", "kind"])
-
+            tokens, hyphenated = word_tokens(lines, kinds, body)
+            flags = [{"line_no": i + 1, "kind": x} for i, s in enumerate(kinds) for x in s] + [{"line_no": i + 1, "kind": "hyphen"} for i in hyphenated]
+            rows.append((o, k, flags, [t[0] if _is_word(t[0]) else "" for t in tokens], [t[1] + 1 for t in tokens], [t[2] + 1 for t in tokens], [t[3] for t in tokens]))
+        yield pd.DataFrame(rows, columns=_COLS)
 
-def _suspects(known: frozenset | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for o, k, text in zip(pdf["origin"], pdf["row_key"], pdf["text"]):
-                t = word_tokens(*layout(text))[0]
-                for i, (w, a, b, head) in enumerate(t):
-                    if (w in known) if known is not None else _is_word(w):
-                        rows.append((o, k, a + 1, b + 1, head, w, t[i - 1][0] if i else "", t[i + 1][0] if i + 1 < len(t) else ""))
-            yield pd.DataFrame(rows, columns=["origin", "row_key", "line_a", "line_b", "head", "w", "prv", "nxt"])
 
-    return run
+def laid_out(texts: DataFrame) -> DataFrame:
+    """The stored layout of all texts that are not empty."""
+    return materialize(texts.filter(F.col("text") != "").mapInPandas(_lay_out, _LAID))
 
 
 def scanned_texts(recognized: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -274,88 +318,99 @@ def scanned_texts(recognized: DataFrame, corpus: DataFrame) -> DataFrame:
     return r.unionByName(c.select(F.lit("corpus_records").alias("origin"), F.col("id").cast("string").alias("row_key"), "text"))
 
 
-def misread_words(texts: DataFrame, ready: bool = False) -> DataFrame:
-    """origin, row_key, line_no, word, repair, dist: the repair chosen for every misread word.
-
-    ready: the texts are a stored table, which may be read several times."""
+def misread_words(laid: DataFrame) -> DataFrame:
+    """origin, row_key, place (number of the word in the text), line_no, word, repair, dist: the repair of every misread word."""
 
     @F.pandas_udf("int")
     def _fault_at(seen: pd.Series, true: pd.Series) -> pd.Series:
         return pd.Series([first_fault(a, b) for a, b in zip(seen, true)], dtype="int32")
 
-    texts = texts.filter(F.col("text") != "")
-    texts = texts if ready else materialize(texts)
-    counts = materialize(texts.select("text").mapInPandas(_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    fix = materialize(corrections(counts))
-    words = fix.select("w").distinct()
-    small = words.count() <= CORRECTIONS_BROADCAST
-    known = frozenset(r[0] for r in words.collect()) if small else None
-    t = texts.mapInPandas(_suspects(known), _TOKEN)
-    t = t.join(F.broadcast(fix) if small else fix, "w")
-    two = counts.filter("b is not null")
+    vocab = materialize(laid.select(F.explode("w").alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    fix = materialize(corrections(vocab))
+    small = fix.count() <= CORRECTIONS_BROADCAST
+    word = F.transform(
+        F.sequence(F.lit(0), F.size("w") - 1),
+        lambda i: F.struct(
+            i.alias("place"), F.get("w", i).alias("w"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("prv"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("nxt"),
+            F.get("line_a", i).alias("line_a"), F.get("line_b", i).alias("line_b"), F.get("head", i).alias("head"),
+        ),
+    )
+    t = laid.filter(F.size("w") > 0).select("origin", "row_key", F.explode(word).alias("x")).select("origin", "row_key", "x.*").filter("w <> ''")
+    t = materialize(t.join(F.broadcast(fix) if small else fix, "w"))
+    # only bigrams that a candidate would make are looked up
+    asked = t.select(F.col("prv").alias("a"), F.col("c").alias("b")).unionByName(t.select(F.col("c").alias("a"), F.col("nxt").alias("b"))).filter("a <> '' and b <> ''").distinct()
+    pair = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))
+    two = laid.filter(F.size("w") > 1).select(F.explode(pair).alias("x")).select("x.a", "x.b").filter("a <> '' and b <> ''")
+    two = two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(asked, ["a", "b"], "left_semi")
+    two = materialize(two)
     left = two.select(F.col("a").alias("prv"), F.col("b").alias("c"), F.col("n").alias("n_l"))
     right = two.select(F.col("a").alias("c"), F.col("b").alias("nxt"), F.col("n").alias("n_r"))
     t = t.join(left, ["prv", "c"], "left").join(right, ["c", "nxt"], "left")
     context = F.log1p(F.coalesce("n_l", F.lit(0)) + F.coalesce("n_r", F.lit(0)))
     t = t.withColumn("score", F.log("nc") + 2 * context - 4 * F.col("dist"))
-    key = ["origin", "row_key", "line_a", "line_b", "head", "w", "prv", "nxt"]
-    best = t.groupBy(*key).agg(F.max(F.struct("score", F.col("c").alias("repair"), "dist")).alias("x"))
+    best = t.groupBy("origin", "row_key", "place", "line_a", "line_b", "head", "w").agg(F.max(F.struct("score", F.col("c").alias("repair"), "dist")).alias("x"))
     line = F.when((F.col("line_b") > 0) & (_fault_at("w", "x.repair") >= F.col("head")), F.col("line_b")).otherwise(F.col("line_a"))
-    return best.select("origin", "row_key", line.alias("line_no"), F.col("w").alias("word"), F.col("x.repair").alias("repair"), F.col("x.dist").alias("dist"))
+    return best.select("origin", "row_key", "place", line.cast("bigint").alias("line_no"), F.col("w").alias("word"), F.col("x.repair").alias("repair"), F.col("x.dist").alias("dist"))
 
 
 def faulty_lines(texts: DataFrame) -> DataFrame:
     """origin, row_key, line_no, kind (hyphen, misread, header, page_no)."""
-    some = materialize(texts.filter(F.col("text") != ""))
-    words = misread_words(some, ready=True).select("origin", "row_key", "line_no", F.lit("misread").alias("kind"))
-    return some.mapInPandas(_structure, _LINE).unionByName(words.distinct())
+    laid = laid_out(texts)
+    words = misread_words(laid).select("origin", "row_key", "line_no", F.lit("misread").alias("kind"))
+    flags = laid.select("origin", "row_key", F.explode("flags").alias("x")).select("origin", "row_key", "x.line_no", "x.kind")
+    return flags.unionByName(words.distinct())
 
 
 def _match_case(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 2 else word[:1].upper() + word[1:] if like[:1].isupper() else word
 
 
-def repair_text(text: str | None, repairs: dict[str, str]) -> str | None:
-    """Continuous paragraphs: without page furniture, hyphenation undone, misread words replaced."""
+def repair_text(text: str | None, repairs: dict[int, str]) -> str | None:
+    """Continuous paragraphs: without page furniture, hyphenation undone, misread words replaced at their places."""
     if not text:
         return text
     lines, kinds, body = layout(text)
-    hyphenated = word_tokens(lines, kinds, body)[1]
-    out, para, glue = [], "", False
-    for i in range(len(lines)):
-        if kinds[i]:
-            continue
-        if not body[i]:
-            if para and not glue:
-                out.append(para)
-                para = ""
-            continue
-        line = " ".join(lines[i].split())
-        if i in hyphenated:
-            line = line.rstrip(HYPHENS)
-        para = line if not para else para + line if glue else para + " " + line
-        glue = i in hyphenated
-    if para:
-        out.append(para)
+    tokens, hyphenated = word_tokens(lines, kinds, body)
+    parts = {i: lines[i].split() for i in range(len(lines)) if body[i] and not kinds[i]}
+    moved: set[int] = set()
 
-    def fix(m: re.Match) -> str:
-        w = m[0].strip(_EDGE)
-        r = repairs.get(w.lower())
-        return m[0].replace(w, _match_case(r, w)) if r else m[0]
+    def fixed(part: str, repair: str | None) -> str:
+        w = part.strip(_EDGE)
+        return part.replace(w, _match_case(repair, w), 1) if repair and w else part
 
-    return "\n\n".join(re.sub(r"\S+", fix, p) for p in out)
+    for place, (_, a, b, _, k) in enumerate(tokens):
+        if k < 0:
+            continue
+        if b >= 0:  # the second part of a broken word joins the first
+            parts[a][k] = fixed(parts[a][k].rstrip(HYPHENS) + parts[b][0], repairs.get(place))
+            moved.add(b)
+        elif place in repairs:
+            parts[a][k] = fixed(parts[a][k], repairs[place])
+    out: list[str] = []
+    para: list[str] = []
+    glue = False
+    for i in range(len(lines)):
+        if i in parts:
+            para += parts[i][1 if i in moved else 0 :]
+            glue = i in hyphenated
+        elif not kinds[i] and not glue and para:
+            out.append(" ".join(para))
+            para = []
+    if para:
+        out.append(" ".join(para))
+    return "\n\n".join(out)
 
 
 def repaired_texts(texts: DataFrame) -> DataFrame:
     """origin, row_key, text (repaired), n_repairs."""
-    per = misread_words(texts).groupBy("origin", "row_key").agg(F.collect_set(F.struct("word", "repair")).alias("fixes"))
+    per = misread_words(laid_out(texts)).groupBy("origin", "row_key").agg(F.collect_list(F.struct("place", "repair")).alias("fixes"))
     t = texts.join(per, ["origin", "row_key"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for o, k, text, fixes in zip(pdf["origin"], pdf["row_key"], pdf["text"], pdf["fixes"]):
-                d = {x["word"]: x["repair"] for x in fixes} if fixes is not None else {}
+                d = {int(x["place"]): x["repair"] for x in fixes} if fixes is not None else {}
                 out.append((o, k, repair_text(text, d), len(d)))
             yield pd.DataFrame(out, columns=["origin", "row_key", "text", "n_repairs"])
 

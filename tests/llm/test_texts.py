@@ -288,7 +288,7 @@ def test_layout():
     lines, kinds, body = ocr_repair.layout(PAGE)
     assert [i for i, k in enumerate(kinds) if "header" in k] == [0, 2, 7] and [i for i, k in enumerate(kinds) if "page_no" in k] == [3, 8]
     tokens, hyph = ocr_repair.word_tokens(lines, kinds, body)
-    assert hyph == {1} and ["incident", 1, 4, 4] in tokens
+    assert hyph == {1} and ["incident", 1, 4, 4, 5] in tokens
     assert ocr_repair.repair_text(PAGE, {}) == "The quick library copied the incident beyond the grand sensor.\n\nItems: 17"
     _, kinds, _ = ocr_repair.layout("177    Chapter 8 The open morning\nSome sentence goes here and\nCh@pter 8 The open morning    178")
     assert kinds == [{"header", "page_no"}, set(), {"header", "page_no"}]
@@ -313,6 +313,50 @@ def test_deletes_meet():
     assert ocr_repair.deletes("modern") & ocr_repair.deletes("modem") and not ocr_repair.deletes("abc", 1) & {"c"}
 
 
+@given(st.text("abc", max_size=14), st.lists(st.tuples(st.integers(0, 13), st.integers(0, 13)), max_size=2))
+def test_words_two_deletions_apart_always_meet(word, gone):
+    a = "".join(c for i, c in enumerate(word) if i not in {x for x, _ in gone})
+    b = "".join(c for i, c in enumerate(word) if i not in {y for _, y in gone})
+    assert ocr_repair.deletes(a) & ocr_repair.deletes(b)
+
+
+@given(st.text("abcd", min_size=8, max_size=12), st.text("abcd", min_size=8, max_size=12), st.integers(0, 11), st.integers(0, 11))
+def test_near_titles_equal_plain_distance(a, c, i, j):
+    for b in (c, a[:i] + "x" + a[i + 1 :], a[:j] + a[j + 1 :] + "d", "c" + a, a[:i] + a[i + 2 :]):
+        row = list(range(len(b) + 1))
+        for n, x in enumerate(a, 1):
+            diag, row[0] = row[0], n
+            for k, y in enumerate(b, 1):
+                diag, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, diag + (x != y))
+        near = a == b or (row[-1] <= 2 and min(len(a), len(b)) >= 8)
+        t = ocr_repair._Titles()
+        t.add(b)
+        assert ocr_repair._near(a, b) == near == bool(t.near(a))
+
+
+def test_places_get_their_own_repairs():
+    text = "the rnodem case and the rnodem\ncase of a rno-\ndem line"
+    assert ocr_repair.repair_text(text, {1: "modern", 5: "modem", 9: "model"}) == "the modern case and the modem case of a model line"
+
+
+def test_one_word_in_two_contexts(spark):
+    base = ["fine house stands here"] * 40 + ["warm horse runs fast"] * 40 + ["fine hou5e stands here. warm hou5e runs fast"]
+    df = spark.createDataFrame([("recognized_texts", str(i), t) for i, t in enumerate(base)], "origin string, row_key string, text string")
+    vocab = {r["word"]: r["repair"] for r in ocr_repair.misread_words(ocr_repair.laid_out(df)).collect()}
+    assert vocab == {"hou5e": "house"}
+    df = spark.createDataFrame([("recognized_texts", str(i), t) for i, t in enumerate(["old soit here"] * 40 + ["new solt there"] * 40 + ["old so1t here and new so1t there"])], "origin string, row_key string, text string")
+    out = {r["row_key"]: r["text"] for r in ocr_repair.repaired_texts(df).collect()}
+    assert out["80"] == "old soit here and new solt there"
+
+
+def test_words_without_end(spark):
+    long = "ab" * 50_000
+    texts = [long, "日本語" * 2000, long + "\n" + "plain words here now\n" * 5, "x-" * 20_000, "-" * 5000, "Title A\n" * 400]
+    df = spark.createDataFrame([("recognized_texts", str(i), t) for i, t in enumerate(texts)], "origin string, row_key string, text string")
+    assert {r["row_key"]: r["text"] for r in ocr_repair.repaired_texts(df).collect()}["0"] == long
+    assert ocr_repair.weighted_distance(long, long[:-1] + "h") == pytest.approx(0.3)
+
+
 def test_misread_words_and_repair(spark):
     rng = random.Random(8)
     words = "modern gateway button adjusted station library picture morning captain general".split()
