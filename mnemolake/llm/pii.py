@@ -2,17 +2,21 @@
 
 One pass over all texts emits spans: such as have an unmistakable form (seeds: addresses of mail, formatted telephone
 numbers, labelled identity numbers, streets with house numbers) and such as may be personal (pairs of capitalised words,
-numbers of some length), each with the lexical pattern around it.  From the seeds the graph of patterns and instances is
-scored in rounds by joins and aggregates: a pattern is as good as the share of its distinct instances that are trusted,
-an instance is worth the mean of its patterns and of its parts (given name, family name; the two parts of a mail address
-are the first trusted names).  Patterns of high confidence then decide about names and numbers not seen before.
-
-The lexicons stay tables and are joined, nothing is collected.  Null and empty texts hold nothing.  Rows repeated under
-one id count once.  Placeholders replace whole spans; the rest of a text stays as it is, character by character.
+numbers of some length, numbers beside capitalised words), each with the lexical pattern around it.  From the seeds the
+graph of patterns and instances is scored in rounds by joins and aggregates: a pattern is as good as the share of its
+distinct instances that are trusted, an instance is worth the mean of its patterns.  Patterns of high confidence then
+decide about candidates not seen before; a candidate that names a seed in another form is found as well.  Names have no
+form of their own: the parts of mail addresses and names behind a form of address are the first trusted given and family
+names.  The column `by` tells what was found by form and what was learned.
+
+The lexicons stay tables and are joined, nothing is collected.  Null and empty texts hold nothing and come out as they
+are.  Rows repeated under one id count once.  Placeholders replace whole spans; the rest of a text stays as it is,
+character by character.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -24,6 +28,7 @@ from mnemolake.session import materialize, once_per_id
 
 ROUNDS = 3
 TRUST = 0.5
+SUPPORT, SURE, LEAST_INSTANCE = 5, 0.9, 9
 _S = r"[^\S\n]"
 _WORD = r"[^\W\d_]"
 
@@ -77,6 +82,9 @@ PAIR = re.compile(
 )
 LOWER_PAIR = re.compile(rf"(?<![\w@.+\-/])(?P<a>{_WORD}{{3,}}(?:-{_WORD}+)*)(?P<c>,)?{_S}+(?:{_WORD}\.{_S}*)?(?=(?P<b>{_WORD}{{4,}}(?:-{_WORD}+)*)(?![\w@]|-\w))")
 NUMBER = re.compile(r"(?<![\w.\-/+@])(?:[A-Z]{1,3}[ \-]?)?\d(?:[ \-./]?\d){5,14}(?:[ \-]?[A-Z])?(?![\w\-/@])")
+#: A number beside one or two capitalised words: perhaps a street without a word that says so.
+PLACE = re.compile(rf"(?<![\w.+\-/@:])(?:\d{{1,4}}[a-z]?,?{_S}+{_CAP}(?:{_S}+{_CAP})?|{_CAP}(?:{_S}+{_CAP})?{_S}+\d{{1,4}}[a-z]?)(?![\w.\-/@:]*\d|\w)")
+_HONORIFIC = re.compile(r"(?:Dr|Mr|Mrs|Ms|Prof|DR|MR|MRS|MS|PROF|Herr|Frau|Mme|Sr|Sra)\b")
 # cheap signs without which the patterns above cannot match
 _AT = re.compile(r"[\[(]\s*at\s*[\])]", re.I)
 _SIX_DIGITS = re.compile(r"\d(?:\D{0,3}\d){5}")
@@ -85,20 +93,46 @@ _STREET_FIRST = re.compile(r"(?i:stra(?:ß|ss)e|str\.|weg|allee|platz|gasse|damm
 _LOCAL = re.compile(r"^(?:<?mailto:)?([^\W\d_]{3,})[._]([^\W\d_]{4,})(?:-?\d+)?\s*[@\[(]", re.I)
 _DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
 _DNI = re.compile(r"(?<![\w\-])(\d{8})-?([A-Z])(?!\w)")
-_LEFT = re.compile(r"(\S+)[^\S\n]+(\S+)[^\S\n]*$|(\S+)[^\S\n]*$")
-_RIGHT = re.compile(r"[^\S\n]*(\S+)(?:[^\S\n]+(\S+))?")
+_RIGHT = re.compile(r"[^\S\n]*(\S+)")
 
 _SPAN = "origin string, row_key string, kind string, seed boolean, start int, end int, a string, b string, rev boolean, cap boolean, lft string, rgt string"
 _COLS = [c.split()[0] for c in _SPAN.split(", ")]
 
 
+def _word_before(text: str, at: int) -> tuple[str, int]:
+    """(the word that ends before `at` on its line, where it begins); '' at the line's begin."""
+    z = at
+    while z and text[z - 1] != "\n" and text[z - 1].isspace():
+        z -= 1
+    a = z
+    while a and not text[a - 1].isspace():
+        a -= 1
+    return text[a:z], a
+
+
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    """Two words to the left, one to the right, without numbers and case."""
-    m = _LEFT.search(text[max(0, start - 40) : start])
-    left = " ".join(x for x in m.groups() if x) if m else "^"
-    n = _RIGHT.match(text[end : end + 30])
-    right = (n[1] if n else None) or "$"
-    return re.sub(r"\d+", "9", left.lower()), re.sub(r"\d+", "9", right.lower())
+    """Two words to the left, one to the right, on the same line, without numbers and case."""
+    w, a = _word_before(text, start)
+    v, _ = _word_before(text, a) if w else ("", 0)
+    left = f"{v} {w}" if v else w or "^"
+    m = _RIGHT.match(text, end)
+    return re.sub(r"\d+", "9", left.lower()), re.sub(r"\d+", "9", (m[1] if m else "$").lower())
+
+
+_NUMBER_STREET = re.compile(r"(\d+)[a-z]?,?\s+([^\d,.]+)")
+_STREET_NUMBER = re.compile(r"([^\d,]+?),?\s+(?:n[ºo°]\.?\s*)?(\d+)")
+
+
+def _instance(kind: str, span: str) -> tuple[str | None, str | None]:
+    """(what is named, whatever its form; its form): digits of a number, house number and whole street name of an address."""
+    if kind in ("phone", "id_number", "number"):
+        return re.sub(r"\D", "", span), re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", span))
+    if kind in ("address", "place"):
+        if m := _NUMBER_STREET.match(span):
+            return f"{m[1]} {' '.join(m[2].lower().split())}", None
+        if m := _STREET_NUMBER.match(span):
+            return f"{m[2]} {' '.join(m[1].lower().split())}", None
+    return None, None
 
 
 _DIGIT = re.compile(r"\d")
@@ -118,14 +152,15 @@ def _in_lines(pattern: re.Pattern, text: str, sign) -> Iterator[re.Match]:
 def find_spans(text: str, titles: bool = False) -> list[tuple]:
     """(kind, seed, start, end, a, b, rev, cap, left, right) of a text: certain spans (seed) and candidates."""
     out: list[tuple] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, without overlap
 
     def free(a: int, z: int) -> bool:
-        return all(z <= x or a >= y for x, y in taken)
+        i = bisect.bisect_left(taken, (z, -1))
+        return i == 0 or taken[i - 1][1] <= a
 
     def add(kind: str, a: int, z: int) -> None:
-        taken.append((a, z))
-        out.append((kind, True, a, z, None, None, False, True, *_context(text, a, z)))
+        bisect.insort(taken, (a, z))
+        out.append((kind, True, a, z, *_instance(kind, text[a:z]), False, True, *_context(text, a, z)))
 
     if "@" in text or _AT.search(text):
         for m in _in_lines(EMAIL, text, lambda x: "@" in x or _AT.search(x)):
@@ -154,7 +189,10 @@ def find_spans(text: str, titles: bool = False) -> list[tuple]:
                 add("phone", *m.span())
         for m in NUMBER.finditer(text):
             if free(*m.span()):
-                out.append(("number", False, *m.span(), re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", m[0])), None, False, True, *_context(text, *m.span())))
+                out.append(("number", False, *m.span(), *_instance("number", m[0]), False, True, *_context(text, *m.span())))
+        for m in PLACE.finditer(text):
+            if free(*m.span()):
+                out.append(("place", False, *m.span(), *_instance("place", m[0]), False, True, *_context(text, *m.span())))
     for cap, pattern in ((True, PAIR), (False, LOWER_PAIR)):
         if not cap and not titles:
             continue
@@ -163,6 +201,8 @@ def find_spans(text: str, titles: bool = False) -> list[tuple]:
             if len(a) > 2 and len(b) > 2 and free(m.start(), z):
                 if cap and (a.isupper() != b.isupper()):
                     continue
+                if cap and _HONORIFIC.match(m[0]):
+                    out.append(("titled", True, m.start(), z, a.lower(), b.lower(), False, True, "", ""))
                 out.append(("pair", False, m.start(), z, a.lower(), b.lower(), bool(m["c"]), cap, *_context(text, m.start(), z)))
     return out
 
@@ -176,7 +216,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def personal_texts(corpus: DataFrame, records: DataFrame, chunks: DataFrame) -> DataFrame:
-    """origin, row_key, text of the three fields; of titles each distinct one, with the title as key."""
+    """origin, row_key, text of the three fields; of titles each distinct one, with the title as key.  Null and empty texts hold nothing."""
     return (
         corpus.select(F.lit("corpus_records").alias("origin"), F.col("id").cast("string").alias("row_key"), "text")
         .unionByName(chunks.select(F.lit("pending_chunks").alias("origin"), F.col("chunk_id").alias("row_key"), "text"))
@@ -185,18 +225,27 @@ def personal_texts(corpus: DataFrame, records: DataFrame, chunks: DataFrame) ->
     )
 
 
+def all_texts(corpus: DataFrame, records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """origin, row_key, text of every row of the three tables, once per id; null and empty texts included."""
+    c = once_per_id(corpus, "id", "text").select(F.lit("corpus_records").alias("origin"), F.col("id").cast("string").alias("row_key"), "text")
+    p = once_per_id(chunks, "chunk_id", "text").select(F.lit("pending_chunks").alias("origin"), F.col("chunk_id").alias("row_key"), "text")
+    r = once_per_id(records, "id", "window_title").select(F.lit("memory_records").alias("origin"), F.col("id").alias("row_key"), F.col("window_title").alias("text"))
+    return c.unionByName(p).unionByName(r)
+
+
 def name_lexicon(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(given: w, score), (family: w, score), from mail addresses and the pattern-instance graph."""
-    mail = spans.filter("kind = 'mail'").select("a", "b").distinct()
+    mail = spans.filter("kind in ('mail', 'titled')").select("a", "b").distinct()
     given = mail.select(F.col("a").alias("w")).distinct().withColumn("g", F.lit(0.9))
     family = mail.select(F.col("b").alias("w")).distinct().withColumn("f", F.lit(0.9))
     pairs = spans.filter("kind = 'pair' and cap")
-    pairs = pairs.select(
-        F.when(F.col("rev"), F.col("b")).otherwise(F.col("a")).alias("given"), F.explode(F.split(F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")), "-")).alias("family"),
-        F.concat_ws("|", "lft", F.lit("L")).alias("l"), F.concat_ws("|", "rgt", F.lit("R")).alias("r"),
+    edges = pairs.select(
+        F.when(F.col("rev"), F.col("b")).otherwise(F.col("a")).alias("given"), F.split(F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")), "-").alias("families"),
+        F.array(F.concat_ws("|", "lft", F.lit("L")), F.concat_ws("|", "rgt", F.lit("R"))).alias("ps"),
     )
-    pairs = materialize(pairs.groupBy("given", "family").agg(F.collect_set("l").alias("ls"), F.collect_set("r").alias("rs")))
-    edges = pairs.select("given", "family", F.explode(F.array_distinct(F.concat("ls", "rs"))).alias("p"))
+    edges = edges.select("given", F.explode("families").alias("family"), "ps").select("given", "family", F.explode("ps").alias("p"))
+    edges = materialize(edges.distinct())
+    pairs = edges.select("given", "family").distinct()
     known_given = mail.select(F.col("a").alias("given")).distinct()
     known_family = mail.select(F.col("b").alias("given")).distinct().join(known_given, "given", "left_anti").withColumn("is_f", F.lit(True))
     trusted = None
@@ -218,31 +267,48 @@ def name_lexicon(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     return materialize(given.filter(F.col("g") >= 0.3)), materialize(family.filter(F.col("f") >= 0.3))
 
 
-def number_patterns(spans: DataFrame) -> DataFrame:
-    """lft, kind: words before a number that almost only precede one kind of personal number."""
-    seen = spans.filter("kind in ('phone', 'id_number', 'number') and lft <> '^'")
-    by = seen.groupBy("lft").agg(
-        *[F.sum((F.col("kind") == k).cast("int")).alias(k) for k in ("phone", "id_number", "number")], F.count(F.lit(1)).alias("n")
-    )
-    best = F.when(F.col("phone") >= F.col("id_number"), F.lit("phone")).otherwise(F.lit("id_number"))
-    return by.withColumn("found", best).filter((F.greatest("phone", "id_number") >= 5) & (F.greatest("phone", "id_number") / F.col("n") >= 0.9)).select("lft", "found")
+def learned(spans: DataFrame, candidate: str, kinds: tuple[str, ...], rounds: int = ROUNDS) -> DataFrame:
+    """origin, row_key, kind, start, end of candidates without certain form, by the graph of patterns and instances.
+
+    Seeds are the instances (digits of a number, house number and street) that have a certain form somewhere.  A pattern
+    (two words before, or the word before with the one behind) is as good for a kind as the share of its distinct instances
+    that are trusted; an instance is trusted for the mean of its patterns.  A candidate is found if it names a seed, or if
+    its pattern has SUPPORT trusted instances or more and nearly no others."""
+    one = spans.filter((F.col("kind") == candidate) | F.col("kind").isin(*kinds)).filter("a is not null")
+    pattern = F.array(F.concat_ws("|", "lft", F.lit("L")), F.concat_ws("|", F.element_at(F.split("lft", " "), -1), "rgt"))
+    edges = materialize(one.filter("lft <> '^'").select(F.col("a").alias("v"), F.explode(pattern).alias("p")).distinct())
+    seeds = materialize(one.filter("seed").select(F.col("a").alias("v"), "kind").distinct())
+    sizes = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    trust = seeds.withColumn("t", F.lit(1.0))
+    for i in range(rounds):
+        scored = edges.join(trust, "v").groupBy("p", "kind").agg(F.sum("t").alias("s")).join(sizes, "p")
+        if i + 1 < rounds:
+            lift = edges.join(scored.select("p", "kind", (F.col("s") / (F.col("n") + 3)).alias("ps")), "p").groupBy("v", "kind").agg(F.sum("ps").alias("t"))
+            own = edges.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+            lift = lift.join(own, "v").select("v", "kind", (F.col("t") / F.col("m")).alias("t")).filter(F.col("t") >= TRUST)
+            trust = materialize(seeds.withColumn("t", F.lit(1.0)).unionByName(lift).groupBy("v", "kind").agg(F.max("t").alias("t")))
+    good = scored.filter((F.col("s") >= SUPPORT) & (F.col("s") / F.col("n") >= SURE) & F.col("p").endswith("|L")).select("p", "kind")
+    c = spans.filter(F.col("kind") == candidate).drop("kind")
+    by_pattern = c.withColumn("p", F.concat_ws("|", "lft", F.lit("L"))).join(good, "p").select("origin", "row_key", "kind", "start", "end")
+    same = seeds.groupBy("v").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("k")).filter((F.col("k") == 1) & (F.length("v") >= LEAST_INSTANCE)).select(F.col("v").alias("a"), "kind")
+    return by_pattern.unionByName(c.join(same, "a").select("origin", "row_key", "kind", "start", "end")).distinct()
 
 
 def personal_spans(texts: DataFrame) -> DataFrame:
-    """origin, row_key, kind, start, end of all personal data in texts (origin, row_key, text)."""
+    """origin, row_key, kind, start, end, by (form, or learned) of all personal data in texts (origin, row_key, text)."""
     spans = materialize(texts.mapInPandas(_scan, _SPAN))
     given, family = name_lexicon(spans)
-    sure = spans.filter("seed and kind <> 'mail'").select("origin", "row_key", "kind", "start", "end")
-    more = spans.filter("kind = 'number'").join(number_patterns(spans), "lft").select("origin", "row_key", F.col("found").alias("kind"), "start", "end")
+    sure = spans.filter("seed and kind not in ('mail', 'titled')").select("origin", "row_key", "kind", "start", "end")
+    more = learned(spans, "number", ("phone", "id_number")).unionByName(learned(spans, "place", ("address",)))
     p = spans.filter("kind = 'pair'").select(
         "origin", "row_key", "start", "end", "cap", F.when(F.col("rev"), F.col("b")).otherwise(F.col("a")).alias("given"),
-        F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")).alias("both"), F.split(F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")), "-")[0].alias("family"),
+        F.split(F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")), "-")[0].alias("family"),
     )
     p = p.join(given.withColumnRenamed("w", "given"), "given", "left").join(family.withColumnRenamed("w", "family"), "family", "left")
     g, f = F.coalesce("g", F.lit(0.0)), F.coalesce("f", F.lit(0.0))
     ok = F.when(F.col("cap"), ((g >= TRUST) & (f >= 0.3)) | ((f >= 0.7) & (g >= 0.3))).otherwise((g >= 0.8) & (f >= 0.3))
     names = p.filter(ok).select("origin", "row_key", F.lit("name").alias("kind"), "start", "end")
-    return sure.unionByName(more).unionByName(names)
+    return sure.withColumn("by", F.lit("form")).unionByName(more.unionByName(names).withColumn("by", F.lit("learned")))
 
 
 def by_record(found: DataFrame, records: DataFrame) -> DataFrame:
@@ -263,11 +329,11 @@ def redacted(texts: DataFrame, found: DataFrame) -> DataFrame:
             rows = []
             for o, k, text, spans in zip(pdf["origin"], pdf["row_key"], pdf["text"], pdf["spans"]):
                 out, at, n = [], 0, 0
-                for x in sorted(spans, key=lambda x: (x["start"], -x["end"], x["kind"])) if spans is not None else ():
+                for x in sorted(spans, key=lambda x: (x["start"], -x["end"], x["kind"])) if text and spans is not None else ():
                     if x["start"] >= at:
                         out += [text[at : x["start"]], f"[{x['kind'].upper()}]"]
                         at, n = x["end"], n + 1
-                rows.append((o, k, "".join(out) + text[at:], n))
+                rows.append((o, k, "".join(out) + text[at:] if text else text, n))
             yield pd.DataFrame(rows, columns=["origin", "row_key", "text", "n_spans"])
 
     return t.mapInPandas(run, "origin string, row_key string, text string, n_spans bigint")

@@ -63,11 +63,14 @@ def p6_found(spark, d):
 
 def p6_redacted(spark, d):
     corpus, records, chunks = _p6_tables(spark, d)
-    texts = pii.personal_texts(corpus, records, chunks)
-    r = pii.redacted(texts, pii.personal_spans(texts))
-    titles = r.filter("origin = 'memory_records'").withColumnRenamed("row_key", "window_title")
-    ids = records.select(F.col("id").alias("row_key"), "window_title").distinct()
-    return r.filter("origin <> 'memory_records'").unionByName(ids.join(titles, "window_title").select(*r.columns))
+    found = pii.personal_spans(pii.personal_texts(corpus, records, chunks)).drop("by")
+    return pii.redacted(pii.all_texts(corpus, records, chunks), pii.by_record(found, records))
+
+
+def p6_kinds(spark, d):
+    corpus, records, chunks = _p6_tables(spark, d)
+    found = pii.personal_spans(pii.personal_texts(corpus, records, chunks))
+    return found.groupBy("kind", "by").agg(F.count(F.lit(1)).alias("spans"))
 
 
 def _p7_texts(spark, d):

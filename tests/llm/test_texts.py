@@ -271,6 +271,32 @@ def test_personal_tables(spark):
     assert empty.count() == 0
 
 
+def test_every_row_comes_out(spark):
+    c = spark.createDataFrame([(1, "mail a.b@c.example now"), (2, None), (3, ""), (3, "")], "id bigint, text string")
+    r = spark.createDataFrame([("r1", "plain"), ("r2", None), ("r3", ""), ("r4", "a.b@c.example"), ("r5", "a.b@c.example")], "id string, window_title string")
+    p = spark.createDataFrame([("p1", None), ("p2", "x"), ("p2", "x")], "chunk_id string, text string")
+    found = pii.by_record(pii.personal_spans(pii.personal_texts(c, r, p)).drop("by"), r)
+    out = {(x["origin"][0], x["row_key"]): (x["text"], x["n_spans"]) for x in pii.redacted(pii.all_texts(c, r, p), found).collect()}
+    assert out == {
+        ("c", "1"): ("mail [EMAIL] now", 1), ("c", "2"): (None, 0), ("c", "3"): ("", 0), ("m", "r1"): ("plain", 0), ("m", "r2"): (None, 0), ("m", "r3"): ("", 0),
+        ("m", "r4"): ("[EMAIL]", 1), ("m", "r5"): ("[EMAIL]", 1), ("p", "p1"): (None, 0), ("p", "p2"): ("x", 0),
+    }
+
+
+def test_forms_never_seen_are_learned_from_patterns(spark):
+    texts = [f"Please ring desk +44 20 7946 0{i:03d} today" for i in range(12)] + ["Please ring desk 8812045 today", "The batch number 8812046 today"]
+    texts += [f"They live at {i} Alder{chr(97 + i)} Street now" for i in range(12)] + ["They live at 7 Hollowbrook now", "Meeting at Hollowbrook 8 now"]
+    df = spark.createDataFrame([("corpus_records", str(i), t) for i, t in enumerate(texts)], "origin string, row_key string, text string")
+    got = {(r["row_key"], r["kind"]) for r in pii.personal_spans(df).filter("by = 'learned'").collect()}
+    assert got == {("12", "phone"), ("26", "address")}
+
+
+def test_very_long_texts(spark):
+    text = "word 12 " * 60_000 + "a.b@c.example " * 2000
+    df = spark.createDataFrame([("corpus_records", "1", text)], "origin string, row_key string, text string")
+    assert pii.personal_spans(df).filter("kind = 'email'").count() == 2000
+
+
 # scanned pages
 
 PAGE = """Melow reader, vol. 2
