@@ -1,16 +1,21 @@
 """The store: tables of truth as Parquet folders, and a derived chunk table that can be rebuilt from them.
 
-Every append is a folder `batch=N` of its table.  A record becomes visible with its own row, which is written last, so a
-capture that broke off between its tables leaves nothing that is read (chunks without record are invisible).  Flushing is
-at least once: batches are appended to the derived table first and stamped in an append-only flush log after.
+Everything goes through Hadoop's file systems, so the root may be any URI that Spark can write.  A table is a folder of
+batches and a manifest: `_manifest/N` names the live batches, and the greatest N counts.  Writing a batch shows nothing;
+creating the next manifest, which fails if someone else has created it, shows all of it at once.  So a replacement never
+shows old and new rows together, and batches that no manifest names are leftovers that `prune` deletes.
+
+A record becomes visible with its own row, which is written last, so a capture that broke off between its tables leaves
+nothing that is read (chunks without record are invisible).  Flushing is at least once: batches are appended to the
+derived table first and stamped in an append-only flush log after.  Rows are deleted from the batches that hold them; the
+other batches of a table stay as they are.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -20,6 +25,7 @@ from pyspark.sql import functions as F
 
 from mnemolake import schemas
 from mnemolake.functions import fixed as X
+from mnemolake.session import materialize
 
 
 class SchemaTooNew(RuntimeError):
@@ -52,86 +58,159 @@ class SineEmbedder:
         return [np.sin(len(t.encode()) + 1 + np.arange(self.spec.dim)).astype("float32").tolist() for t in texts]
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed the table in between; nothing of this change is visible."""
+
+
+class Files:
+    """The few operations on folders that the store needs, on the file system of a URI."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def read(self, path: str) -> str | None:
+        fs, p = self._at(path)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str, overwrite: bool = False) -> bool:
+        """False if the file is there already."""
+        fs, p = self._at(path)
+        if not overwrite and fs.exists(p):
+            return False
+        try:
+            stream = fs.create(p, overwrite)
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         self._migrate()
 
     # schema version
 
     def _version_file(self) -> str:
-        return os.path.join(self.root, "schema_version.json")
+        return f"{self.root}/schema_version.json"
 
     def schema_version(self) -> int:
-        try:
-            with open(self._version_file()) as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return 0
+        text = self.files.read(self._version_file())
+        return json.loads(text)["version"] if text else 0
 
     def _migrate(self) -> None:
         at = self.schema_version()
         if at > X.SCHEMA_VERSION:
             raise SchemaTooNew(f"the store has version {at}, this code knows {X.SCHEMA_VERSION}")
         if at < X.SCHEMA_VERSION:
-            for name in schemas.TABLES:
-                os.makedirs(os.path.join(self.root, name), exist_ok=True)
-            with open(self._version_file(), "w") as f:
-                json.dump({"version": X.SCHEMA_VERSION}, f)
+            self.files.write(self._version_file(), json.dumps({"version": X.SCHEMA_VERSION}), overwrite=True)
 
     # tables
 
     def path(self, name: str) -> str:
-        return os.path.join(self.root, name)
+        return f"{self.root}/{name}"
+
+    def _versions(self, name: str) -> list[int]:
+        return sorted(int(x) for x in self.files.names(f"{self.path(name)}/_manifest") if x.isdigit())
+
+    def _live(self, name: str) -> tuple[int, list[str]]:
+        """(version of the table, its live batches in order)."""
+        v = self._versions(name)
+        return (v[-1], json.loads(self.files.read(f"{self.path(name)}/_manifest/{v[-1]}"))) if v else (0, [])
 
     def batches(self, name: str) -> list[str]:
-        p = self.path(name)
-        return sorted((d for d in os.listdir(p) if d.startswith("batch=")), key=lambda d: int(d[6:])) if os.path.isdir(p) else []
+        return self._live(name)[1]
+
+    def _show(self, name: str, version: int, batches: list[str]) -> None:
+        if not self.files.write(f"{self.path(name)}/_manifest/{version + 1}", json.dumps(batches)):
+            raise ConcurrentWrite(f"version {version + 1} of {name} was written by someone else")
+
+    def _read(self, name: str, batches: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path(name)}/{b}" for b in batches]) if batches else self.spark.createDataFrame([], schema)
 
     def table(self, name: str, schema: str | None = None) -> DataFrame:
-        schema = schema or schemas.TABLES[name]
-        parts = [os.path.join(self.path(name), b) for b in self.batches(name)]
-        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+        return self._read(name, self.batches(name), schema or schemas.TABLES[name])
 
-    def append(self, name: str, df: DataFrame, schema: str | None = None, files: int | None = None) -> None:
-        """One batch, visible at once by renaming its folder."""
-        schema = schema or schemas.TABLES[name]
+    def _write(self, name: str, df: DataFrame, schema: str, files: int | None = None) -> str:
         cols = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], schema).schema]
-        n = int(self.batches(name)[-1][6:]) + 1 if self.batches(name) else 0
-        tmp = os.path.join(self.path(name), f"_staged-{n}")
+        batch = f"batch-{uuid.uuid4().hex}"
         out = df.select(*cols)
-        (out.coalesce(files) if files else out).write.mode("overwrite").parquet(tmp)
-        os.rename(tmp, os.path.join(self.path(name), f"batch={n}"))
-
-    def replace(self, name: str, df: DataFrame, schema: str | None = None) -> None:
-        """New content as one batch; the old ones go when it is written."""
-        old = self.batches(name)
-        self.append(name, df, schema)
-        for b in old:
-            shutil.rmtree(os.path.join(self.path(name), b))
+        (out.repartition(files) if files else out).write.parquet(f"{self.path(name)}/{batch}")
+        return batch
+
+    def append(self, name: str, df: DataFrame, schema: str | None = None) -> None:
+        """One batch more.  Appends of others in between are kept: only the manifest is tried again."""
+        batch = self._write(name, df, schema or schemas.TABLES[name])
+        for _ in range(20):
+            version, live = self._live(name)
+            try:
+                return self._show(name, version, [*live, batch])
+            except ConcurrentWrite:
+                continue
+        raise ConcurrentWrite(f"{name} is written by too many")
+
+    def replace(self, name: str, df: DataFrame, schema: str | None = None, files: int | None = None) -> None:
+        """New content as one batch, in place of all that is there, at once."""
+        version, _ = self._live(name)
+        self._show(name, version, [self._write(name, df, schema or schemas.TABLES[name], files)])
+
+    def rewrite(self, name: str, touched: DataFrame, column: str, change, schema: str | None = None) -> int:
+        """Batches that hold a key of `touched` (a column of the same name) are written anew as change(batch); returns their number."""
+        schema = schema or schemas.TABLES[name]
+        version, live = self._live(name)
+        if not live:
+            return 0
+        t = self._read(name, live, schema).withColumn("_b", F.regexp_extract(F.input_file_name(), r"(batch-[0-9a-f]{32})", 1))
+        hit = {r[0] for r in t.join(touched.select(column), column, "left_semi").select("_b").distinct().collect()}  # names of batches
+        if hit:
+            new = self._write(name, change(self._read(name, [b for b in live if b in hit], schema)), schema)
+            self._show(name, version, [*[b for b in live if b not in hit], new])
+        return len(hit)
 
     def compact(self, name: str, schema: str | None = None, files: int = 1) -> None:
-        old = self.batches(name)
-        if len(old) > 1:
-            self.append(name, self.table(name, schema), schema, files)
-            self._retired = [os.path.join(self.path(name), b) for b in old]
-            for p in self._retired:
-                os.rename(p, p.replace("batch=", "_old-"))
+        """All batches as one of `files` files."""
+        if len(self.batches(name)) > 1:
+            self.replace(name, self.table(name, schema), schema, files)
 
     def prune(self, name: str) -> int:
-        """Delete folders that compaction left; single writer only.  Returns their number."""
-        old = [d for d in os.listdir(self.path(name)) if d.startswith("_old-")]
-        for d in old:
-            shutil.rmtree(os.path.join(self.path(name), d))
+        """Delete batches and manifests that no reader of the last version needs; returns the number of batches."""
+        version, live = self._live(name)
+        old = [b for b in self.files.names(self.path(name)) if b.startswith("batch-") and b not in live]
+        for b in old:
+            self.files.delete(f"{self.path(name)}/{b}")
+        for v in self._versions(name):
+            if v < version:
+                self.files.delete(f"{self.path(name)}/_manifest/{v}")
         return len(old)
 
     def backup(self, target: str) -> None:
         """A copy of the truth; derived tables are left out."""
+        copy = Store(self.spark, target)
         for name in schemas.TABLES:
-            if name != "flush_log":
-                shutil.copytree(self.path(name), os.path.join(target, name), dirs_exist_ok=True)
-        shutil.copy(self._version_file(), target)
+            if name != "flush_log" and self.batches(name):
+                copy.replace(name, self.table(name))
 
     # captures
 
@@ -154,8 +233,8 @@ class Store:
         """Chunks not flushed, with source and time of their record; oldest first, in a total order."""
         p = self.table("chunks").join(self.flushed(), "id", "left_anti")
         r = self.table("memory_records").select(F.col("id").alias("record_id"), "source", "captured_at_ms")
-        p = p.join(r, "record_id").select("id", "record_id", "ord", "text", "source", "captured_at_ms").orderBy("captured_at_ms", "ord", "id")
-        return p if limit is None else p.limit(limit)
+        p = p.join(r, "record_id").select("id", "record_id", "ord", "text", "source", "captured_at_ms")
+        return p if limit is None else p.orderBy("captured_at_ms", "ord", "id").limit(limit)
 
     def mark_flushed(self, ids: DataFrame, now_ms: int | None = None) -> None:
         self.append("flush_log", ids.select("id", F.lit(now_ms or int(time.time() * 1000)).alias("flushed_at_ms"), F.lit(self._epoch()).alias("epoch")))
@@ -179,20 +258,17 @@ class Store:
 
     def flush_once(self, embedder: Embedder, batch: int | None = X.FLUSH_BATCH) -> dict:
         """Embed up to a batch of pending chunks, append, then stamp.  An empty flush writes nothing."""
-        pending = self.pending_chunks(batch).persist()
-        try:
-            n = pending.count()
-            if n:
-                os.makedirs(self.path(embedder.spec.table), exist_ok=True)
-                self.append(embedder.spec.table, embedded(pending, embedder), schemas.index_schema(embedder.spec.dim))
-                self.mark_flushed(pending)
-            return {"written": n, "batch_was_full": batch is not None and n == batch}
-        finally:
-            pending.unpersist()
+        pending = materialize(self.pending_chunks(batch))
+        n = pending.count()
+        if n:
+            self.append(embedder.spec.table, embedded(pending, embedder), schemas.index_schema(embedder.spec.dim))
+            self.mark_flushed(pending)
+        return {"written": n, "batch_was_full": batch is not None and n == batch}
 
     def rebuild(self, embedder: Embedder, batch: int = X.FLUSH_BATCH) -> dict:
-        """Drop the derived table and make it anew from the truth, in one distributed pass."""
-        shutil.rmtree(self.path(embedder.spec.table), ignore_errors=True)
+        """Make the derived table anew from the truth, in one distributed pass; it is empty until then."""
+        schema = schemas.index_schema(embedder.spec.dim)
+        self.replace(embedder.spec.table, self.spark.createDataFrame([], schema), schema)
         self.reset_flush_state()
         n = self.flush_once(embedder, None)["written"]
         return {"chunks": n, "batches": -(-n // batch)}
@@ -201,17 +277,19 @@ class Store:
 
     def delete_records(self, ids: DataFrame, index_specs: tuple[schemas.EmbeddingSpec, ...] = ()) -> None:
         """Remove records (id) and all that hangs on them; tasks and decisions stay without their record."""
-        gone = ids.select(F.col("id").alias("record_id")).distinct().persist()
-        chunk_ids = self.table("chunks").join(gone, "record_id", "left_semi").select("id")
+        gone = materialize(ids.select(F.col("id").alias("record_id")).distinct())
+        chunk_ids = materialize(self.table("chunks").join(gone, "record_id", "left_semi").select("id"))
+        without = lambda keys, column: lambda df: df.join(keys.select(column), column, "left_anti")
         for spec in index_specs:
-            self.replace(spec.table, self.index(spec).join(chunk_ids, "id", "left_anti"), schemas.index_schema(spec.dim))
-        self.replace("flush_log", self.table("flush_log").join(chunk_ids, "id", "left_anti"))
+            self.rewrite(spec.table, chunk_ids, "id", without(chunk_ids, "id"), schemas.index_schema(spec.dim))
+        self.rewrite("flush_log", chunk_ids, "id", without(chunk_ids, "id"))
         for name in ("memory_texts", "memory_scores", "chunks", "review_queue", "node_mentions"):
-            self.replace(name, self.table(name).join(gone, "record_id", "left_anti"))
+            self.rewrite(name, gone, "record_id", without(gone, "record_id"))
         for name, column in (("tasks", "source_record_id"), ("decision_ledger", "record_id")):
-            self.replace(name, null_missing(self.table(name), column, gone, "record_id"))
-        self.replace("memory_records", self.table("memory_records").join(gone.withColumnRenamed("record_id", "id"), "id", "left_anti"))
-        gone.unpersist()
+            keys = gone.withColumnRenamed("record_id", column)
+            self.rewrite(name, keys, column, lambda df, k=keys, c=column: null_missing(df, c, k, c))
+        own = gone.withColumnRenamed("record_id", "id")
+        self.rewrite("memory_records", own, "id", without(own, "id"))
 
     def delete_where(self, condition: Column, index_specs: tuple[schemas.EmbeddingSpec, ...] = ()) -> None:
         self.delete_records(self.table("memory_records").filter(condition).select("id"), index_specs)
@@ -229,22 +307,17 @@ class Store:
 
     def restore(self, source: str) -> None:
         """Truth from a backup; derived tables must be rebuilt."""
+        copy = Store(self.spark, source)
         for name in schemas.TABLES:
-            p = os.path.join(source, name)
-            if os.path.isdir(p):
-                shutil.rmtree(self.path(name), ignore_errors=True)
-                shutil.copytree(p, self.path(name))
+            if name != "flush_log" and (copy.batches(name) or self.batches(name)):
+                self.replace(name, copy.table(name))
 
     def delete_nodes(self, ids: DataFrame) -> None:
-        gone = ids.select("id").distinct().persist()
-        edges = self.table("graph_edges")
-        for end in ("src", "dst"):
-            edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
-        self.replace("graph_edges", edges)
-        for name in ("node_mentions", "entity_aliases"):
-            self.replace(name, self.table(name).join(gone.withColumnRenamed("id", "node_id"), "node_id", "left_anti"))
-        self.replace("graph_nodes", self.table("graph_nodes").join(gone, "id", "left_anti"))
-        gone.unpersist()
+        """Remove nodes with their edges, mentions and aliases."""
+        gone = materialize(ids.select("id").distinct())
+        for name, column in (("graph_edges", "src"), ("graph_edges", "dst"), ("node_mentions", "node_id"), ("entity_aliases", "node_id"), ("graph_nodes", "id")):
+            keys = gone.withColumnRenamed("id", column)
+            self.rewrite(name, keys, column, lambda df, k=keys, c=column: df.join(k, c, "left_anti"))
 
     def add_edges(self, edges: DataFrame) -> None:
         """Append edges; an edge to a node that is not there fails."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemolake import schemas
 from mnemolake.sources import readers
-from mnemolake.sources.store import SchemaTooNew, SineEmbedder, Store, changed_files, embedded, orphans
+from mnemolake.sources.store import ConcurrentWrite, SchemaTooNew, SineEmbedder, Store, changed_files, embedded, orphans
 
 RECORD = "id string, session_id string, source string, app_name string, window_title string, captured_at_ms bigint, created_at_ms bigint, lifecycle bigint"
 CHUNK = "id string, record_id string, ord bigint, text string"
@@ -103,8 +103,7 @@ def test_graph_integrity(spark, store):
 
 def test_versions(spark, store):
     assert store.schema_version() == 2 and Store(spark, store.root).schema_version() == 2
-    with open(store._version_file(), "w") as f:
-        json.dump({"version": 99}, f)
+    store.files.write(store._version_file(), json.dumps({"version": 99}), overwrite=True)
     with pytest.raises(SchemaTooNew):
         Store(spark, store.root)
 
@@ -118,6 +117,35 @@ def test_compaction_and_backup(spark, store, tmp_path):
     assert Store(spark, str(tmp_path / "copy")).record_count() == 4
 
 
+def test_batches_are_shown_at_once_and_only_by_manifest(spark, store):
+    capture(spark, store, "r1", 1)
+    version, live = store._live("chunks")
+    lost = store._write("chunks", spark.createDataFrame([("x-c0", "r1", 9, "never shown")], CHUNK), schemas.TABLES["chunks"])
+    assert store.table("chunks").count() == 1  # a writer that dies before its manifest shows nothing
+    capture(spark, store, "r2", 1)
+    with pytest.raises(ConcurrentWrite):
+        store._show("chunks", version, [*live, lost])
+    assert store.table("chunks").count() == 2 and store.prune("chunks") == 1 and store.table("chunks").count() == 2
+
+
+def test_deletion_rewrites_only_the_batches_that_hold_the_rows(spark, store):
+    for i in range(3):
+        capture(spark, store, f"r{i}", 2, at=1000 + i)
+    before = store.batches("chunks")
+    store.delete_where(F.col("id") == "r1")
+    after = store.batches("chunks")
+    assert [b for b in after if b in before] == [before[0], before[2]] and store.table("chunks").count() == 4
+    assert store.rewrite("chunks", spark.createDataFrame([("none",)], "record_id string"), "record_id", lambda d: d) == 0
+
+
+def test_store_on_a_uri(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/on/a/uri")
+    capture(spark, store, "r", 2)
+    assert store.flush_once(SineEmbedder(4))["written"] == 2 and Store(spark, f"file://{tmp_path}/on/a/uri").record_count() == 1
+    store.restore(f"file://{tmp_path}/empty")
+    assert store.record_count() == 0
+
+
 def test_lifecycle_codes(spark):
     df = spark.createDataFrame([(i,) for i in range(5)], "v bigint")
     names = [r[0] for r in df.select(schemas.lifecycle_name(F.col("v"))).collect()]
