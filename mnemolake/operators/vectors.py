@@ -83,10 +83,17 @@ def _nearest_of(names: list, values: list, k: int):
                 ids = pdf["id"].to_numpy()[lo : lo + 2000]
                 x = np.stack(pdf["v"].to_numpy()[lo : lo + 2000]).astype(np.float64)
                 d = np.maximum((x * x).sum(1)[None] - 2 * probes @ x.T + (probes * probes).sum(1)[:, None], 0)
-                few = min(len(ids), k + 8)  # some to spare, as the exact distances come next
-                at = np.argpartition(d, few - 1, axis=1)[:, :few]
-                exact = np.sqrt(((x[at] - probes[:, None, :]) ** 2).sum(2)) if len(names) * few * x.shape[1] < 50_000_000 else np.sqrt(np.stack([((x[a] - q) ** 2).sum(1) for a, q in zip(at, probes)]))
-                yield pd.DataFrame({"probe": np.repeat(names, few), "id": ids[at].ravel(), "distance": exact.ravel()})
+                # all rows at the k-th distance or below, as that is only near the exact one; of these the k best by distance and id
+                kth = np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                slack = 1e-9 * ((x * x).sum(1).max() + (probes * probes).sum(1))
+                out = []
+                for i, q in enumerate(probes):
+                    at = np.flatnonzero(d[i] <= kth[i] + slack[i])
+                    exact = np.sqrt(((x[at] - q) ** 2).sum(1))
+                    best = np.lexsort((ids[at], exact.round(9)))[:k]
+                    out.append((at[best], exact[best]))
+                sizes = [len(a) for a, _ in out]
+                yield pd.DataFrame({"probe": np.repeat(names, sizes), "id": ids[np.concatenate([a for a, _ in out])], "distance": np.concatenate([e for _, e in out])})
 
     return run
 

@@ -193,3 +193,11 @@ def test_streams(spark, tmp_path):
     q = r.writeStream.outputMode("append").format("memory").queryName("changes").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(x["value"], x["n"]) for x in spark.table("changes").collect()] == [("A", 1), ("B", 1), ("A", 2)]
+
+
+def test_many_equal_rows_go_to_the_smaller_ids(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(1, 3001)] + [(5000 + i, [1.0, 0.5]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>").repartition(3)
+    probe = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.6])], "id bigint, v array<double>")
+    got = [(r["probe"], r["rank"], r["id"]) for r in vectors.knn_batch(df, "id", "v", probe, "id", "v", 5).collect()]
+    assert sorted(got) == [(0, i, i) for i in range(1, 6)] + [(1, i, 4999 + i) for i in range(1, 6)]
