@@ -155,9 +155,11 @@ def hybrid(keyword: DataFrame, vector: DataFrame, k: int = 10, constant: int = X
     return rrf(both, "id", constant).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
-def rerank(hits: DataFrame, score: str, model=None, text: str = "text", k: int = 50) -> DataFrame:
-    """The k best hits in the order of a model (a function of a series of texts); without a model nothing changes."""
-    top = hits.orderBy(F.desc(score)).limit(k)
+def rerank(hits: DataFrame, score: str, model=None, text: str = "text", k: int = 50, key: str = "id") -> DataFrame:
+    """The k best hits in the order of a model (a function of a series of texts); without a model nothing changes.
+
+    Equal values of the model keep the order of the score, equal scores that of the key."""
+    top = hits.orderBy(F.desc(score), key).limit(k)
     if model is None:
         return top
 
@@ -165,7 +167,7 @@ def rerank(hits: DataFrame, score: str, model=None, text: str = "text", k: int =
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(model(s), dtype="float64")
 
-    return top.withColumn("model_score", run(F.col(text))).orderBy(F.desc("model_score"))
+    return top.withColumn("model_score", run(F.col(text))).orderBy(F.desc("model_score"), F.desc(score), key)
 
 
 def recall_kind(ledger: DataFrame, tasks: DataFrame, kind: str) -> DataFrame:

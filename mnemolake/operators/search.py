@@ -48,7 +48,10 @@ def _stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Index:
-    """postings: term, doc, tf, pos (array of places from 0); docs: doc, len.  fields as given."""
+    """postings: term, doc, tf, pos (array of places from 0), len (words of the document); docs: doc, len.
+
+    A stored index has its postings in `buckets` folders by a hash of the term, each sorted by term: a question reads
+    only the buckets of its terms, and there only the row groups that can hold them."""
 
     postings: DataFrame
     docs: DataFrame
@@ -56,6 +59,7 @@ class Index:
     n_docs: int | None = None
     avg_len: float | None = None
     meta: dict = field(default_factory=dict)
+    buckets: int | None = None
 
     def stats(self) -> tuple[int, float]:
         if self.n_docs is None:
@@ -63,22 +67,52 @@ class Index:
             self.n_docs, self.avg_len = n, (s / n if n else 0.0)
         return self.n_docs, self.avg_len
 
+    def rows(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms."""
+        r = self.postings.filter(F.col("term").isin(terms) if len(terms) > 1 else F.col("term") == terms[0])
+        if self.buckets:
+            at = [bucket_of(F.lit(t), self.buckets) for t in terms]  # constants: folders are chosen before anything is read
+            r = r.filter(F.col("bucket").isin(*at) if len(at) > 1 else F.col("bucket") == at[0])
+        return r
+
     def without(self, ids: DataFrame) -> Index:
         """The index after deletion of documents (a table with column doc)."""
-        return Index(self.postings.join(ids, "doc", "left_anti"), self.docs.join(ids, "doc", "left_anti"), self.stemmed)
+        return Index(self.postings.join(ids, "doc", "left_anti"), self.docs.join(ids, "doc", "left_anti"), self.stemmed, buckets=self.buckets)
 
 
 def build_index(df: DataFrame, key: str, text: str, stemmed: bool = True, diacritics: bool = True) -> Index:
     d = df.select(F.col(key).alias("doc"), tokens(F.col(text), diacritics).alias("w"))
     docs = d.select("doc", F.size("w").cast("bigint").alias("len"))
-    flat = d.select("doc", F.posexplode("w").alias("at", "term"))
+    flat = d.select("doc", F.size("w").cast("bigint").alias("len"), F.posexplode("w").alias("at", "term"))
     if stemmed:
         vocab = flat.select("term").distinct().mapInPandas(_stems, "term string, stem string")
-        flat = flat.join(vocab, "term").select("doc", "at", F.col("stem").alias("term"))
-    postings = flat.groupBy("term", "doc").agg(F.count(F.lit(1)).cast("bigint").alias("tf"), F.array_sort(F.collect_list("at")).alias("pos"))
+        flat = flat.join(vocab, "term").select("doc", "len", "at", F.col("stem").alias("term"))
+    postings = flat.groupBy("term", "doc").agg(F.count(F.lit(1)).cast("bigint").alias("tf"), F.array_sort(F.collect_list("at")).alias("pos"), F.first("len").alias("len"))
     return Index(postings, docs, stemmed)
 
 
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def store_index(index: Index, path: str, buckets: int = 16) -> Index:
+    """Write an index once; returns it as it is read back.
+
+    A term with very many postings is spread over the files of its bucket by a salt, so no task writes a bucket alone."""
+    spark = index.docs.sparkSession
+    n, avg = index.stats()
+    p = index.postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    p.repartition(buckets, "bucket", F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    spark.createDataFrame([(n, avg, index.stemmed, buckets)], "n_docs bigint, avg_len double, stemmed boolean, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    n, avg, stemmed, buckets = spark.read.parquet(f"{path}/stats").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs"), stemmed, n, avg, buckets=buckets)
+
+
 # query language
 
 
@@ -248,39 +282,53 @@ def phrase_hits(index: Index, p: Phrase) -> DataFrame:
     out = None
     for i, w in enumerate(p.words):
         last = p.prefix and i == len(p.words) - 1
-        rows = index.postings.filter(F.col("term").startswith(w) if last else F.col("term") == w)
+        rows = index.postings.filter(F.col("term").startswith(w)) if last else index.rows([w])
         if last:
-            rows = rows.groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("pos"))
-        rows = rows.select("doc", F.col("pos").alias("_p"))
+            rows = rows.groupBy("doc", "len").agg(F.array_sort(F.flatten(F.collect_list("pos"))).alias("pos"))
+        rows = rows.select("doc", "len", F.col("pos").alias("_p"))
         if out is None:
             out = rows.withColumnRenamed("_p", "pos")
         else:
-            out = out.join(rows, "doc").select("doc", F.filter("pos", _followed_at(i)).alias("pos"))
-    return out.filter(F.size("pos") > 0).select("doc", F.size("pos").cast("bigint").alias("tf"), "pos")
+            out = out.join(rows.drop("len"), "doc").select("doc", "len", F.filter("pos", _followed_at(i)).alias("pos"))
+    return out.filter(F.size("pos") > 0).select("doc", F.size("pos").cast("bigint").alias("tf"), "pos", "len")
+
+
+def _every_phrase(node) -> list[Phrase]:
+    if isinstance(node, Phrase):
+        return [node]
+    if isinstance(node, Near):
+        return list(node.phrases)
+    return _every_phrase(node.left) + _every_phrase(node.right)
+
+
+def _hits(index: Index, phrases: list[Phrase]) -> DataFrame:
+    """k (number of the phrase), doc, tf, pos, len: single words by one read of their buckets."""
+    single = {p.words[0]: k for k, p in enumerate(phrases) if len(p.words) == 1 and not p.prefix}
+    out = None
+    if single:
+        k = F.element_at(F.create_map(*[F.lit(x) for w, n in single.items() for x in (w, n)]), F.col("term"))
+        out = index.rows(list(single)).select(k.alias("k"), "doc", "tf", "pos", "len")
+    for k, p in enumerate(phrases):
+        if len(p.words) > 1 or p.prefix:
+            h = phrase_hits(index, p).select(F.lit(k).alias("k"), "doc", "tf", "pos", "len")
+            out = h if out is None else out.unionByName(h)
+    return out
 
 
-def _matches(index: Index, node) -> DataFrame:
-    """doc of all documents that satisfy the tree."""
+def _holds(node, number: dict[Phrase, int]) -> Column:
+    """The tree as a condition on m0, m1.. (whether a phrase matched) and p0, p1.. (its places)."""
     if isinstance(node, Phrase):
-        return phrase_hits(index, node).select("doc")
+        return F.coalesce(F.col(f"m{number[node]}"), F.lit(False))
     if isinstance(node, Near):
-        out = None
-        for k, p in enumerate(node.phrases):
-            h = phrase_hits(index, p).select("doc", F.col("pos").alias(f"p{k}"))
-            out = h if out is None else out.join(h, "doc")
+        found = _all(_holds(p, number) for p in node.phrases)
         if len(node.phrases) == 1:
-            return out.select("doc")
+            return found
         # every phrase within the distance of a place of the first; a span of the group is at most distance words
         first, reach = len(node.phrases[0].words), node.distance
-        near = [_near_to(k, first, len(node.phrases[k].words), reach) for k in range(1, len(node.phrases))]
-        ok = F.exists("p0", lambda x: _all(f(x) for f in near))
-        return out.filter(ok).select("doc")
-    a, b = _matches(index, node.left), _matches(index, node.right)
-    if node.op == "and":
-        return a.join(b, "doc", "left_semi")
-    if node.op == "or":
-        return a.unionByName(b).distinct()
-    return a.join(b, "doc", "left_anti")
+        near = [_near_to(number[p], first, len(p.words), reach) for p in node.phrases[1:]]
+        return found & F.coalesce(F.exists(f"p{number[node.phrases[0]]}", lambda x: _all(f(x) for f in near)), F.lit(False))
+    a, b = _holds(node.left, number), _holds(node.right, number)
+    return a & b if node.op == "and" else a | b if node.op == "or" else a & ~b
 
 
 def _all(conditions):
@@ -294,19 +342,25 @@ def ranked(index: Index, query: str, columns: tuple[str, ...] = ("text",)) -> Da
     """doc, rank: matching documents with their bm25 rank (lower is better)."""
     tree = parse_query(query, columns, index.stemmed)
     n, avg = index.stats()
-    docs = _matches(index, tree)
-    score = None
-    for p in dict.fromkeys(_phrases(tree)):
-        hits = phrase_hits(index, p).select("doc", "tf", F.lit(0).alias("_k"))
-        df = hits.groupBy("_k").agg(F.count(F.lit(1)).alias("df"))
-        part = hits.join(F.broadcast(df), "_k")  # one row
-        raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = part.select("doc", "tf", F.when(raw <= 0, X.BM25_IDF_FLOOR).otherwise(raw).alias("idf"))
-        score = part if score is None else score.unionByName(part)
-    s = docs.join(score, "doc").join(index.docs, "doc")
+    phrases = list(dict.fromkeys(_every_phrase(tree)))
+    number = {p: k for k, p in enumerate(phrases)}
+    scored = sorted({number[p] for p in _phrases(tree)})
+    hits = _hits(index, phrases)
+    df = hits.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = df.select("k", F.when(raw <= 0, X.BM25_IDF_FLOOR).otherwise(raw).alias("idf"))
     tf, k1, b = F.col("tf"), X.BM25_K1, X.BM25_B
-    gain = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(avg or 1.0)))
-    return s.groupBy("doc").agg((-F.sum(gain)).alias("rank"))
+    gain = F.when(F.col("k").isin(scored), F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(avg or 1.0))))
+    flags = [F.max(F.when(F.col("k") == k, F.lit(True))).alias(f"m{k}") for k in range(len(phrases))]
+    places = [F.first(F.when(F.col("k") == number[p], F.col("pos")), ignorenulls=True).alias(f"p{number[p]}") for p in phrases if _in_near(tree, p)]
+    s = hits.join(F.broadcast(idf), "k").groupBy("doc").agg((-F.sum(gain)).alias("rank"), *flags, *places)  # idf: one row per phrase
+    return s.filter(_holds(tree, number)).select("doc", "rank")
+
+
+def _in_near(node, p: Phrase) -> bool:
+    if isinstance(node, Near):
+        return p in node.phrases
+    return isinstance(node, Node) and (_in_near(node.left, p) or _in_near(node.right, p))
 
 
 def hit_limit(limit: int | None) -> int:
@@ -387,12 +441,12 @@ def search_many(index: Index, queries: DataFrame, k: int = 10, mode: str = "or")
         vocab = q.select("term").distinct().mapInPandas(_stems, "term string, stem string")
         q = q.join(vocab, "term").select("qid", F.col("stem").alias("term")).distinct()
     terms = q.select("term").distinct()
-    post = index.postings.select("term", "doc", "tf").join(terms, "term", "left_semi")
+    post = index.postings.select("term", "doc", "tf", "len").join(terms, "term", "left_semi")
     idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = idf.select("term", F.when(raw <= 0, X.BM25_IDF_FLOOR).otherwise(raw).alias("idf"))
     tf, k1, b = F.col("tf"), X.BM25_K1, X.BM25_B
-    s = post.join(idf, "term").join(index.docs, "doc")
+    s = post.join(idf, "term")
     s = s.select("term", "doc", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.lit(avg or 1.0)))).alias("gain"))
     s = q.join(s, "term").groupBy("qid", "doc").agg(F.sum("gain").alias("score"), F.count(F.lit(1)).alias("matched"))
     if mode == "and":

@@ -10,7 +10,7 @@ from mnemolake.functions import text as T
 from mnemolake.operators import activity, evaluate, graph, privacy, retrieval, search, sessions, vectors
 from mnemolake.plans import sql as S
 from mnemolake.plans import tools
-from mnemolake.session import once_per_id, table
+from mnemolake.session import once_per_id, stored_path, table
 from mnemolake.sources import store
 
 CORE: dict = {}
@@ -91,9 +91,10 @@ def drop_line_flags(spark, d):
     return lines.groupBy("doc_id", "test_app").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.should_drop(F.col("test_app"), F.col("x"))).alias("dropped"))
 
 
-@query(f"WITH {S.LINES} SELECT doc_id, pos, round({S.quality('app', 'x')}, 6) AS quality FROM lines")
+@query(f"WITH {S.LINES} SELECT doc_id, pos, round({S.quality('app', 'x', '(doc_id + pos) % 3 = 0')}, 6) AS quality FROM lines")
 def line_quality(spark, d):
-    return _lines(spark, d).select("doc_id", "pos", F.round(T.line_quality(F.col("app"), F.col("x"), F.lit(False)), 6).alias("quality"))
+    low = (F.col("doc_id") + F.col("pos")) % 3 == 0
+    return _lines(spark, d).select("doc_id", "pos", F.round(T.line_quality(F.col("app"), F.col("x"), low), 6).alias("quality"))
 
 
 def _docs(spark, d):
@@ -137,16 +138,26 @@ def high_signal_text(spark, d):
     )
 
 
+# a title of each kind: none, the app itself, a generic one, a web address, a telling one
+_TITLE = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN coalesce(app_name, '') WHEN 2 THEN 'New  Tab' WHEN 3 THEN 'https://' || source || '/p' ELSE 'Ledger of ' || source || ' ' || doc_id END"
+_SHORT = "CASE WHEN length({0}) > 220 THEN substring({0}, 1, 217) || '...' ELSE {0} END"
+
+
 @query(
-    f"""WITH {S.LINES}, u AS (SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY pos) AS nth FROM lines WHERE {S.useful('app', 'x')} AND NOT {S.inventory('x')} AND NOT {S.json_like('x')}),
+    f"""WITH {S.LINES}, h AS (SELECT doc_id, a, t, t <> '' AND {S.useful('a', 't')} AS good FROM (SELECT doc_id, coalesce(app_name, '') AS a, {S.inline(_TITLE)} AS t FROM documents)),
+    u AS (SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY pos) AS nth FROM lines JOIN h USING (doc_id)
+          WHERE {S.useful('app', 'x')} AND NOT {S.inventory('x')} AND NOT {S.json_like('x')} AND (NOT good OR lower(x) <> lower(t))),
     v AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM u WHERE nth = 1),
-    w AS (SELECT doc_id, string_agg(x, ' | ' ORDER BY k) AS t FROM v WHERE k <= 2 GROUP BY doc_id),
-    y AS (SELECT d.doc_id, CASE WHEN t IS NOT NULL THEN t WHEN {S.trim("coalesce(app_name, '')")} <> '' THEN 'Using ' || {S.trim("coalesce(app_name, '')")} ELSE '' END AS t, w.t IS NOT NULL AS cut FROM documents d LEFT JOIN w USING (doc_id))
-    SELECT doc_id, CASE WHEN cut AND length(t) > 220 THEN substring(t, 1, 217) || '...' ELSE t END AS snippet FROM y"""
+    w AS (SELECT doc_id, string_agg(x, ' | ' ORDER BY k) AS two FROM v WHERE k <= 2 GROUP BY doc_id),
+    y AS (SELECT doc_id, a, t, good, coalesce(two, '') AS two, CASE WHEN coalesce(two, '') = '' THEN t ELSE t || ': ' || two END AS whole FROM h LEFT JOIN w USING (doc_id))
+    SELECT doc_id, CASE WHEN good THEN {_SHORT.format('whole')} WHEN two <> '' THEN {_SHORT.format('two')} WHEN t <> '' THEN {_SHORT.format('t')}
+    WHEN {S.trim('a')} <> '' THEN 'Using ' || {S.trim('a')} ELSE '' END AS snippet FROM y"""
 )
 def fallback_snippet(spark, d):
     t, app, text = _docs(spark, d)
-    return t.select("doc_id", T.fallback_snippet(app, F.lit(""), text).alias("snippet"))
+    n = F.col("doc_id") % 5
+    title = F.when(n == 0, "").when(n == 1, app).when(n == 2, "New  Tab").when(n == 3, F.concat(F.lit("https://"), "source", F.lit("/p"))).otherwise(F.concat(F.lit("Ledger of "), "source", F.lit(" "), "doc_id"))
+    return t.select("doc_id", T.fallback_snippet(app, title, text).alias("snippet"))
 
 
 @query()
@@ -207,8 +218,17 @@ def text_volume(spark, d):
 # search
 
 
-def _index(spark, d, stemmed=False):
-    return search.build_index(table(spark, d, "documents", True), "doc_id", "text", stemmed=stemmed, diacritics=stemmed)
+_STORED: dict[tuple, search.Index] = {}
+
+
+def _index(spark, d, stemmed=False, name="documents", key="doc_id"):
+    """The stored index of the texts of a table; built once per application and read by every question after."""
+    at = (spark.sparkContext.applicationId, d, stemmed, name)
+    if at not in _STORED:
+        t = table(spark, d, name, True)
+        t = t if key == "doc_id" else once_per_id(t, key, "text")
+        _STORED[at] = search.store_index(search.build_index(t, key, "text", stemmed=stemmed, diacritics=stemmed), stored_path(spark, "index-"))
+    return _STORED[at]
 
 
 def _search_sql(terms: list[str], need: int) -> str:
@@ -259,7 +279,7 @@ def not_search(spark, d):
 
 @query(f"WITH {S.WORDS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, (SELECT docs FROM st) AS docs, round((SELECT avg_len FROM st), 6) AS avg_len FROM tf GROUP BY term")
 def postings_stats(spark, d):
-    i = _index(spark, d)
+    i = search.build_index(table(spark, d, "documents", True), "doc_id", "text", stemmed=False, diacritics=False)  # the build itself
     n, avg = i.stats()
     return i.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).withColumn("docs", big(F.lit(n))).withColumn("avg_len", F.round(F.lit(avg), 6))
 
@@ -267,7 +287,7 @@ def postings_stats(spark, d):
 @query()
 def stemmed_search(spark, d):
     docs = table(spark, d, "documents")
-    hits = search.search(search.build_index(docs, "doc_id", "text"), docs.select("doc_id", "source", "captured_at_ms", "text"), "doc_id", "lanterns recording")
+    hits = search.search(_index(spark, d, stemmed=True), docs.select("doc_id", "source", "captured_at_ms", "text"), "doc_id", "lanterns recording")
     return search.serving(search.with_snippets(hits, "text", "lanterns recording")).select("doc_id", "source", "captured_at_ms", "snippet")
 
 
@@ -275,9 +295,8 @@ def stemmed_search(spark, d):
 
 
 def _eval(spark, d):
-    corpus = once_per_id(table(spark, d, "corpus_records", True), "id", "text")
     q = once_per_id(table(spark, d, "eval_items"), "item_id", "query", "relevant").select(F.col("item_id").alias("qid"), "query", "relevant")
-    return evaluate.run_baseline(search.build_index(corpus, "id", "text", stemmed=False, diacritics=False), q, mode="or")
+    return evaluate.run_baseline(_index(spark, d, name="corpus_records", key="id"), q, mode="or")
 
 
 @query(
@@ -393,45 +412,21 @@ def block_url(spark, d):
     return privacy.block_urls(u, "url", privacy.domain_list(spark, _BLOCKED_DOMAINS)).select("url", "blocked")
 
 
-@query(
-    r"""SELECT doc_id, CASE WHEN lower(coalesce(app_name, '')) = 'termite' THEN 'SkipStorage' WHEN regexp_matches(coalesce(text, ''), '(?i)\b(?:password|passwd|pwd)\s*[:=]\s*\S+') OR regexp_matches(coalesce(text, ''), '(?i)\bcursor\b') THEN 'Redact' ELSE 'Allow' END AS decision FROM documents"""
-)
-def safety_gate(spark, d):
-    gates = {"password": privacy.SECRETS["password"], "word": r"(?i)\bcursor\b"}
-    return privacy.safety_gate(table(spark, d, "documents"), "text", F.lower(T.col("app_name")) == "termite", gates).select("doc_id", "decision")
-
-
-# store
+_GATES = {**privacy.SECRETS, "word": r"(?i)\bcursor\b"}
+_RED = "coalesce(text, '')"
+for _name, _pattern in _GATES.items():
+    _RED = f"regexp_replace({_RED}, '{_pattern}', '[{_name}]', 'g')"
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT id, record_id, ord, text FROM record_chunks), r AS (SELECT DISTINCT id, source, captured_at_ms FROM memory_records)
-    SELECT c.id, c.record_id, c.ord, r.source, r.captured_at_ms FROM c JOIN r ON r.id = c.record_id WHERE c.id NOT IN (SELECT id FROM chunk_index) ORDER BY r.captured_at_ms NULLS FIRST, c.ord, c.id LIMIT 256"""
+    f"""WITH r AS (SELECT doc_id, lower(coalesce(app_name, '')) = 'termite' AS skip, coalesce(text, '') AS t, {_RED} AS red FROM documents)
+    SELECT doc_id, CASE WHEN skip THEN 'SkipStorage' WHEN red <> t THEN 'Redact' ELSE 'Allow' END AS decision, CASE WHEN NOT skip THEN red END AS stored_text FROM r"""
 )
-def pending_chunks(spark, d):
-    c = table(spark, d, "record_chunks").select("id", "record_id", "ord", "text").distinct()
-    r = table(spark, d, "memory_records").select(F.col("id").alias("record_id"), "source", "captured_at_ms").distinct()
-    p = c.join(table(spark, d, "chunk_index").select("id").distinct(), "id", "left_anti").join(r, "record_id")
-    return p.orderBy(F.asc_nulls_first("captured_at_ms"), "ord", "id").limit(X.FLUSH_BATCH).select("id", "record_id", "ord", "source", "captured_at_ms")
-
-
-@query("SELECT count(*) AS n_rows, count(DISTINCT id) AS ids, count(*) - count(DISTINCT id) AS repeats, ceil(count(DISTINCT id) / 256.0)::BIGINT AS batches FROM chunk_index")
-def rebuild_converges(spark, d):
-    i = table(spark, d, "chunk_index").groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n_rows"), F.count(F.lit(1)).alias("ids"))
-    return i.select("n_rows", "ids", (F.col("n_rows") - F.col("ids")).alias("repeats"), F.ceil(F.col("ids") / X.FLUSH_BATCH).alias("batches"))
+def safety_gate(spark, d):
+    return privacy.safety_gate(table(spark, d, "documents"), "text", F.lower(T.col("app_name")) == "termite", _GATES).select("doc_id", "decision", "stored_text")
 
 
-@query(
-    """WITH gone AS (SELECT DISTINCT id FROM memory_records WHERE source = 'meeting') SELECT 'record_chunks' AS tab, count(*) AS kept FROM record_chunks WHERE record_id NOT IN (SELECT id FROM gone)
-    UNION ALL SELECT 'chunk_index', count(*) FROM chunk_index WHERE record_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'pending_chunks', count(*) FROM pending_chunks WHERE record_id NOT IN (SELECT id FROM gone)"""
-)
-def cascade_delete(spark, d):
-    gone = table(spark, d, "memory_records").filter("source = 'meeting'").select(F.col("id").alias("record_id")).distinct()
-    out = None
-    for name in ("record_chunks", "chunk_index", "pending_chunks"):
-        n = table(spark, d, name).select("record_id").join(gone, "record_id", "left_anti").agg(F.count(F.lit(1)).alias("kept")).select(F.lit(name).alias("tab"), "kept")
-        out = n if out is None else out.unionByName(n)
-    return out
+# store
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
@@ -650,13 +645,18 @@ def record_insight(spark, d):
     return i.select("doc_id", "i.cleaned_text", "i.summary", F.round("i.noise", 6).alias("noise"), "i.embedding_text")
 
 
+_TITLE_BODY = f"(CASE WHEN strlen({S.inline('t')}) >= 7 AND NOT {S.drop('a', S.inline('t'))} THEN {S.inline('t')} ELSE '' END)"
+
+
 @query(
-    f"""WITH c AS (SELECT id, window_title AS t, app_name AS a FROM (SELECT id, min(window_title) AS window_title, min(app_name) AS app_name FROM memory_records GROUP BY id))
-    SELECT id, CASE WHEN regexp_matches({S.trim("coalesce(t, '')")}, '^$') THEN 'empty' END AS reason FROM c WHERE {S.trim("coalesce(t, '')")} = ''"""
+    f"""WITH c AS (SELECT id, coalesce(min(window_title), '') AS t, coalesce(min(app_name), '') AS a FROM memory_records GROUP BY id), x AS (SELECT DISTINCT t, a FROM c),
+    y AS (SELECT t, a, CASE WHEN {S.trim('t')} = '' THEN 'empty' WHEN regexp_matches({S.trim('t')}, '^(?:https?://)?[0-9A-Za-z_.\\-]+\\.[a-z]{{2,}}(?:/\\S*)?$') THEN 'url_only'
+    WHEN {S.generic_title('a', S.inline('t'))} AND strlen({_TITLE_BODY}) < 80 THEN 'navigation' END AS reason FROM x)
+    SELECT id, reason, reason IS NULL AS admitted FROM c JOIN y USING (t, a)"""
 )
 def capture_admission(spark, d):
     r = table(spark, d, "memory_records").groupBy("id").agg(F.min("window_title").alias("window_title"), F.min("app_name").alias("app_name"))
-    return activity.capture_admission(r, "window_title", "window_title", "app_name").filter("reason = 'empty'").select("id", "reason")
+    return activity.capture_admission(r, "window_title", "window_title", "app_name").select("id", "reason", "admitted")
 
 
 @query(

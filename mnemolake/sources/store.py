@@ -153,6 +153,10 @@ class Store:
     def table(self, name: str, schema: str | None = None) -> DataFrame:
         return self._read(name, self.batches(name), schema or schemas.TABLES[name])
 
+    def get(self, name: str, key, column: str = "id") -> DataFrame:
+        """The row of a key: a filter that reaches the files' statistics."""
+        return self.table(name).filter(F.col(column) == F.lit(key))
+
     def _write(self, name: str, df: DataFrame, schema: str, files: int | None = None) -> str:
         cols = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], schema).schema]
         batch = f"batch-{uuid.uuid4().hex}"
@@ -161,8 +165,8 @@ class Store:
         return batch
 
     def append(self, name: str, df: DataFrame, schema: str | None = None) -> None:
-        """One batch more.  Appends of others in between are kept: only the manifest is tried again."""
-        batch = self._write(name, df, schema or schemas.TABLES[name])
+        """One batch more; a table without schema of its own takes that of the derived chunk tables.  Appends of others in between are kept: only the manifest is tried again."""
+        batch = self._write(name, df, schema or schemas.TABLES.get(name) or schemas.index_schema())
         for _ in range(20):
             version, live = self._live(name)
             try:

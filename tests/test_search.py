@@ -96,3 +96,17 @@ def test_baseline_run_and_gate(spark, index, tmp_path):
 def test_agreement(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 1), (2, "b", 0)], "item int, rater string, rating int")
     assert evaluate.agreement(df, "item", "rater", "rating").first()["agreement"] == 0.5
+
+
+def test_stored_index_equals_the_built_one_and_reads_its_buckets(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * k) % 23}" for k in range(1, 9)) + " Straße café") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    for stemmed in (True, False):
+        built = search.build_index(df, "id", "text", stemmed=stemmed)
+        kept = search.store_index(built, f"{tmp_path}/{stemmed}", 8)
+        for q in ("w3 OR w7", "w3 w7", '"w1 w2"', "w1*", "w5 NOT w2", "NEAR(w1 w4, 2)", "cafe", "nothing OR w9"):
+            get = lambda i, q=q: {r["doc"]: round(r["rank"], 9) for r in search.ranked(i, q).collect()}
+            assert get(kept) == get(built)
+    plan = kept.rows(["w3"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "term" in plan.split("PushedFilters")[1]
+    assert search.open_index(spark, f"{tmp_path}/True").stats() == (60, 10.0)
