@@ -146,10 +146,10 @@ SQL: dict[str, str] = {
     "p10_coverage": """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
         c AS (SELECT text, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n FROM d GROUP BY text),
         g AS (SELECT rep, i, hash(s) AS a, md5_number_lower(s) AS b FROM (SELECT rep, i, substring(text, i, 300) AS s FROM (SELECT rep, text, unnest(range(1, n - 298)) AS i FROM c))),
-        k AS (SELECT a, b, count(DISTINCT rep) - 1 AS m FROM g GROUP BY a, b HAVING count(DISTINCT rep) > 1),
-        v AS (SELECT rep, i, max(m) AS m FROM g JOIN k USING (a, b) GROUP BY rep, i),
-        u AS (SELECT rep, m, least(300, coalesce(lead(i) OVER (PARTITION BY rep ORDER BY i) - i, 300)) AS x FROM v),
-        s AS (SELECT rep, sum(x)::BIGINT AS cov, max(m) AS ms FROM u GROUP BY rep)
-        SELECT d.doc_id, c.rep AS class_id, copies, coalesce(ms, 0) AS n_sharing, CASE WHEN copies > 1 THEN d.n ELSE cov END AS shared_chars, d.n AS n_chars
+        k AS (SELECT a, b FROM g GROUP BY a, b HAVING count(DISTINCT rep) > 1),
+        v AS (SELECT DISTINCT rep, i FROM g JOIN k USING (a, b)),
+        u AS (SELECT rep, least(300, coalesce(lead(i) OVER (PARTITION BY rep ORDER BY i) - i, 300)) AS x FROM v),
+        s AS (SELECT rep, sum(x)::BIGINT AS cov FROM u GROUP BY rep)
+        SELECT d.doc_id, c.rep AS class_id, copies, CASE WHEN copies > 1 THEN d.n ELSE cov END AS shared_chars, d.n AS n_chars
         FROM d JOIN c USING (text) LEFT JOIN s USING (rep) WHERE copies > 1 OR cov IS NOT NULL""",
 }

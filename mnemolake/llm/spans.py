@@ -217,29 +217,64 @@ def shared_links(found: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> Da
 
 
 def _around(o: str, width: int) -> Column:
-    """Digest of `o` characters before the phrase and the rest of `width` behind it."""
-    return F.md5(F.concat(F.expr(f"right(lft, {o})"), F.lit("\x00"), F.expr(f"left(rgt, {width} - {o})")).cast("binary"))
+    """A digest of `o` characters before the phrase and the rest of `width` behind it; it is compared for one phrase and place only."""
+    return F.xxhash64(F.expr(f"right(lft, {o})"), F.expr(f"left(rgt, {width} - {o})"))
 
 
-def shared_windows(found: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
-    """h, o, w, rep, at: the spans around phrases that two classes or more hold; linear in the occurrences.
+def _held_twice(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key two classes or more have."""
+    two = rows.groupBy(*key).agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select(*key)
+    return rows.join(two, list(key), "left_semi")
+
+
+def _near_shared(found: DataFrame, span: int, phrase: int) -> DataFrame:
+    """Occurrences that may belong to a shared span, with the grid places `gs` near which it may lie.
+
+    Whoever shares a span with `o` characters before the phrase shares, for the grid place g at or below o, g characters
+    before it and rest - GRID - g behind.  Eight or so small rows per occurrence; the contexts travel once, for the rest."""
+    wide = max(0, span - phrase - GRID)
+    c = found.filter(F.length("lft") + F.length("rgt") >= span - phrase)
+    near = c.select("h", "rep", "pos", "lft", "rgt", F.explode(F.sequence(F.lit(0), F.lit(wide), F.lit(GRID))).alias("g"))
+    near = near.filter((F.length("lft") >= F.col("g")) & (F.length("rgt") >= wide - F.col("g"))).select("h", "rep", "pos", "g", _around("g", wide).alias("w"))
+    gs = _held_twice(near, "h", "g", "w").groupBy("h", "rep", "pos").agg(F.array_sort(F.collect_list("g")).alias("gs"))
+    return c.join(gs, ["h", "rep", "pos"])
 
-    First on a grid: whoever shares a span with `o` characters before the phrase shares, for the grid place g below o, g
-    characters before it and rest - GRID - g behind.  Only near grid places that two classes share is every o tried."""
+
+def _places(span: int, phrase: int, gs: Column) -> Column:
+    """All o near some grid places that the contexts allow."""
     rest = span - phrase
-    grid = F.sequence(F.lit(0), F.lit(max(0, rest - GRID)), F.lit(GRID))
-    c = found.filter(F.length("lft") + F.length("rgt") >= rest).select("h", "rep", "pos", "lft", "rgt")
-    near = c.select("h", "rep", "pos", "lft", "rgt", F.explode(grid).alias("g"))
-    near = near.filter((F.length("lft") >= F.col("g")) & (F.length("rgt") >= F.lit(max(0, rest - GRID)) - F.col("g")))
-    near = near.withColumn("w", _around("g", max(0, rest - GRID)))
-    two = near.groupBy("h", "g", "w").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("h", "g", "w")
-    near = near.join(two, ["h", "g", "w"], "left_semi")
-    o = F.sequence(F.greatest(F.col("g"), rest - F.length("rgt")), F.least(F.col("g") + GRID, F.lit(rest), F.length("lft")))
-    ok = F.greatest(F.col("g"), rest - F.length("rgt")) <= F.least(F.col("g") + GRID, F.lit(rest), F.length("lft"))
-    every = near.filter(ok).select("h", "rep", "pos", "lft", "rgt", F.explode(o).alias("o"))
-    every = every.select("h", "o", _around("o", rest).alias("w"), "rep", (F.col("pos") - F.col("o")).alias("at")).distinct()
-    two = every.groupBy("h", "o", "w").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("h", "o", "w")
-    return every.join(two, ["h", "o", "w"], "left_semi")
+    every = F.array_distinct(F.flatten(F.transform(gs, lambda g: F.sequence(g, F.least(g + GRID, F.lit(rest))))))
+    return F.filter(every, lambda o: (o <= F.length("lft")) & (rest - o <= F.length("rgt")))
+
+
+def shared_windows(found: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+    """h, o, w, rep, at: all spans around phrases that two classes or more hold."""
+    c = _near_shared(found, span, phrase).select("h", "rep", "pos", "lft", "rgt", F.explode(_places(span, phrase, F.col("gs"))).alias("o"))
+    return _held_twice(c.select("h", "o", _around("o", span - phrase).alias("w"), "rep", (F.col("pos") - F.col("o")).alias("at")), "h", "o", "w").distinct()
+
+
+def shared_stretches(found: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+    """rep, f, t: the stretch around each occurrence of a phrase that is covered by shared spans.
+
+    All spans around one phrase overlap, so the first and the last shared one say it all: the places near the outermost
+    grid places are asked first, everything in between only of occurrences where that finds none."""
+    occ = materialize(_near_shared(found, span, phrase))
+
+    def verified(asked: DataFrame) -> DataFrame:
+        """h, rep, pos, lo, hi of the shared spans at the asked (h, os), which every occurrence of the phrase answers."""
+        o = F.filter("os", lambda x: (x <= F.length("lft")) & (span - phrase - x <= F.length("rgt")) & F.exists("gs", lambda g: (g <= x) & (x <= g + GRID)))
+        rows = occ.join(asked, "h").select("h", "rep", "pos", "lft", "rgt", F.explode(o).alias("o")).select("h", "o", _around("o", span - phrase).alias("w"), "rep", "pos")
+        return _held_twice(rows, "h", "o", "w").groupBy("h", "rep", "pos").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))
+
+    def asked_of(rows: DataFrame, gs: Column) -> DataFrame:
+        return rows.select("h", F.explode(_places(span, phrase, gs)).alias("o")).groupBy("h").agg(F.collect_set("o").alias("os"))
+
+    first = materialize(verified(asked_of(occ, F.array_distinct(F.array(F.element_at("gs", 1), F.element_at("gs", -1))))))
+    at = occ.select("h", "rep", "pos", F.element_at("gs", 1).alias("g1"), F.element_at("gs", -1).alias("g2")).join(first, ["h", "rep", "pos"], "left")
+    open_ = at.filter(F.col("lo").isNull() | (F.col("hi") < F.col("g2")) | (F.col("lo") > F.col("g1") + GRID)).select("h", "rep", "pos")
+    more = verified(asked_of(occ.join(open_, ["h", "rep", "pos"], "left_semi"), F.col("gs")))
+    both = first.unionByName(more).groupBy("h", "rep", "pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return both.select("rep", (F.col("pos") - F.col("hi")).alias("f"), (F.col("pos") - F.col("lo") + span).alias("t"))
 
 
 def shared_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -257,24 +292,20 @@ def shared_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", span: i
 
 
 def shared_coverage(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """One row per document that shares a span: doc_id, class_id, copies (documents with the same text), n_sharing (the
-    most other texts that hold one and the same span of it), shared_chars, n_chars.
+    """One row per document that shares a span: doc_id, class_id, copies (documents with the same text), shared_chars, n_chars.
 
     No pairs are made: a text gives its own stretches around a phrase, and the work is linear in the occurrences."""
     members, found = recurring_phrases(df, key, text, span)
-    w = materialize(shared_windows(found, span))
-    n = w.select("h", "o", "w", "rep").distinct().groupBy("h", "o", "w").agg((F.count(F.lit(1)) - 1).alias("n"))
-    # union of intervals, by folding the sorted distinct places of one text
-    cut = w.join(n, ["h", "o", "w"]).groupBy("rep").agg(F.array_sort(F.collect_set("at")).alias("iv"), F.max("n").alias("n_sharing"))
+    cut = shared_stretches(found, span).groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("f", "t"))).alias("iv"))
     fold = F.aggregate(
         "iv",
         F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("end")),
-        lambda acc, x: F.struct((acc["sum"] + span - F.greatest(F.lit(0), acc["end"] - x)).alias("sum"), (x + span).alias("end")),
+        lambda acc, x: F.struct((acc["sum"] + F.greatest(F.lit(0), x["t"] - F.greatest(x["f"], acc["end"]))).alias("sum"), F.greatest(acc["end"], x["t"]).alias("end")),
     )
-    cut = cut.select("rep", fold["sum"].alias("cov"), "n_sharing")
+    cut = cut.select("rep", fold["sum"].alias("cov"))
     size = members.groupBy("cls").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     d = members.join(size, "cls").join(cut, "rep", "left").filter((F.col("copies") > 1) | F.col("cov").isNotNull())
     return d.select(
-        F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("n_sharing", F.lit(0)).cast("bigint").alias("n_sharing"),
+        F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "copies",
         F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("cov")).cast("bigint").alias("shared_chars"), F.col("n_chars").cast("bigint").alias("n_chars"),
     )
