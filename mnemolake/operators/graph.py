@@ -117,7 +117,9 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, component (the smallest node): alternating large-star and small-star, a logarithmic number of rounds."""
+    """node, component (the smallest node): alternating large-star and small-star, a logarithmic number of rounds.
+
+    It is an error if `most` rounds do not suffice: what has not converged is never given out as a result."""
     e = materialize(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct())
     for _ in range(most):
         two = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -131,6 +133,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         e = new
         if old_n == new_n:
             break
+    else:
+        raise RuntimeError(f"components have not converged in {most} rounds")
     out = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
     roots = e.select(F.col("a").alias("node"), F.col("a").alias("component"))
     alone = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(out.select("node"), "node", "left_anti")
@@ -147,26 +151,53 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(d2)).select((F.col("i") / F.col("m") - F.col("d2") / (4 * F.col("m") * F.col("m"))).alias("modularity"))  # one row each
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """node, label: greedy moves to the neighbouring community of greatest modularity gain (first level of Louvain).
+def communities(edges: DataFrame, rounds: int = 12, levels: int = 8) -> DataFrame:
+    """node, label (the smallest node of the community): Louvain, level after level.
 
-    Half of the nodes, by a hash of node and round, move at a time, so that neighbours do not swap for ever."""
-    e = edges.select("src", "dst", (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).alias("w")).filter("src <> dst")
+    A level moves nodes to the neighbouring community of greatest modularity gain; then communities become nodes, with
+    what lies inside them as loops, and the next level begins, until a level joins nothing."""
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    e = edges.select("src", "dst", weight.alias("w")).filter("src <> dst")
     two = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    deg = materialize(two.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     total = two.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0] or 1.0
+    labels = two.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+    n = labels.count()
+    for _ in range(levels):
+        level = materialize(_one_level(two, total, rounds))
+        names = level.groupBy("label").agg(F.min("node").alias("name"))  # a community is called by its smallest node
+        level = materialize(level.join(names, "label").select("node", F.col("name").alias("label")))
+        fewer = level.select("label").distinct().count()
+        labels = materialize(labels.join(level.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label")))
+        if fewer == n:
+            break
+        n = fewer
+        name = lambda c: level.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+        two = materialize(two.join(name("src"), "src").join(name("dst"), "dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("w").alias("w")))
+    return labels
+
+
+def _one_level(two: DataFrame, total: float, rounds: int) -> DataFrame:
+    """node, label after the moves of one level; `two` has every edge in both directions, loops once with both ends counted.
+
+    Half of the nodes, by a hash of node and round, move at a time, so that neighbours do not swap for ever."""
+    deg = materialize(two.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")))
     labels = deg.select("node", "k", F.col("node").alias("label"))
+    out = two.filter("src <> dst")
     for r in range(rounds):
         tot = labels.groupBy("label").agg(F.sum("k").alias("tot"))
-        near = two.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy("src", "to").agg(F.sum("w").alias("kin"))
+        near = out.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("to")), "dst").groupBy("src", "to").agg(F.sum("w").alias("kin"))
         own = labels.select(F.col("node").alias("src"), "k", "label")
         gain = near.join(own, "src").join(tot.select(F.col("label").alias("to"), "tot"), "to")
         rest = F.col("tot") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0.0)
         gain = gain.select("src", "label", "to", (F.col("kin") - F.col("k") * rest / F.lit(float(total))).alias("g"))
-        best = gain.groupBy("src").agg(F.max(F.struct(F.round("g", 9).alias("g"), (F.col("to") == F.col("label")).alias("stay"), F.col("to").alias("to"))).alias("b"))
-        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        new = labels.join(best.select(F.col("src").alias("node"), F.col("b.to").alias("to")), "node", "left")
-        moved = materialize(new.select("node", "k", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
+        best = gain.groupBy("src").agg(
+            F.max(F.struct(F.round("g", 9).alias("g"), (F.col("to") == F.col("label")).alias("stay"), F.col("to").alias("to"))).alias("b"),
+            F.coalesce(F.max(F.when(F.col("to") == F.col("label"), F.round("g", 9))), F.lit(None).cast("double")).alias("here"),
+        )
+        # alone again, a node gains nothing: it leaves its community only for a better one
+        turn = (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0) & (F.col("b.g") > F.greatest(F.coalesce("here", F.lit(0.0)), F.lit(0.0)))
+        new = labels.join(best.select(F.col("src").alias("node"), "b", "here"), "node", "left")
+        moved = materialize(new.select("node", "k", F.when(turn, F.col("b.to")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")))
         changed = moved.filter("label <> was").limit(1).count()
         labels = moved.select("node", "k", "label")
         if not changed and r > 2:
@@ -175,13 +206,27 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
 
 
 def cycles(edges: DataFrame, most: int = 6) -> DataFrame:
-    """node, length: nodes on a directed cycle of at most `most` edges."""
-    reach = edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
+    """node, length: nodes on a directed cycle of at most `most` edges.
+
+    Nodes that no edge enters or none leaves are trimmed first, again and again; walks then start and stay within the
+    strongly bound rest and hold each (start, node) once."""
+    e = materialize(edges.select("src", "dst").distinct())
+    n = e.count()
+    while True:
+        kept = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        m = kept.count()
+        e = kept
+        if m == n:
+            break
+        n = m
+    # a cycle stays within a component of what is left
+    reach = e.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     found = reach.filter("start = node").select("node", F.lit(1).alias("length"))
-    step = edges.select("src", "dst")
-    for n in range(2, most + 1):
-        reach = materialize(reach.filter("start <> node").join(step.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct())
-        found = found.unionByName(reach.filter("start = node").select("node", F.lit(n).alias("length")))
+    step = e.select(F.col("src").alias("node"), "dst")
+    for k in range(2, most + 1):
+        done = materialize(found.select(F.col("node").alias("start")).distinct())
+        reach = materialize(reach.join(done, "start", "left_anti").join(step, "node").select("start", F.col("dst").alias("node")).distinct())
+        found = found.unionByName(reach.filter("start = node").select("node", F.lit(k).alias("length")))
     return found.groupBy("node").agg(F.min("length").alias("length"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake import schemas
@@ -20,11 +20,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """file, line, text of the lines that are not records, for diagnosis of small files."""
-    raw = spark.read.text(path).withColumn("file", F.input_file_name()).coalesce(1).withColumn("line", F.monotonically_increasing_id() + 1)
+    """file, line (from 1), text of the lines that are not records.
+
+    Lines are numbered within each split of a file by the tasks that read it; what the splits before hold is one row per split."""
+    at = ["file", "start"]
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+    splits = raw.groupBy(*at).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select(*at, "first", F.coalesce(before, F.lit(0)).alias("before"))
     parsed = raw.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    first = schema.split()[0]
-    return parsed.filter((F.trim("value") != "") & (F.col("r").isNull() | F.col(f"r.{first}").isNull())).select("file", "line", F.col("value").alias("text"))
+    key = schema.split()[0]
+    bad = parsed.filter((F.trim("value") != "") & (F.col("r").isNull() | F.col(f"r.{key}").isNull()))
+    return bad.join(splits, at).select("file", (F.col("before") + F.col("i") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
 
 
 def load_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

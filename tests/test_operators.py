@@ -201,3 +201,17 @@ def test_many_equal_rows_go_to_the_smaller_ids(spark):
     probe = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.6])], "id bigint, v array<double>")
     got = [(r["probe"], r["rank"], r["id"]) for r in vectors.knn_batch(df, "id", "v", probe, "id", "v", 5).collect()]
     assert sorted(got) == [(0, i, i) for i in range(1, 6)] + [(1, i, 4999 + i) for i in range(1, 6)]
+
+
+def test_communities_of_a_ring_of_cliques(spark):
+    edges = [(10 * c + a, 10 * c + b) for c in range(6) for a in range(5) for b in range(a + 1, 5)] + [(10 * c, 10 * ((c + 1) % 6) + 1) for c in range(6)]
+    got = {r["node"]: r["label"] for r in graph.communities(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert all(len({got[10 * c + i] for i in range(5)}) == 1 for c in range(6))
+    q = graph.modularity(spark.createDataFrame(edges, "src bigint, dst bigint"), graph.communities(spark.createDataFrame(edges, "src bigint, dst bigint"))).first()[0]
+    assert q > 0.6
+
+
+def test_cycles_among_trees(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (2, 3), (3, 1), (3, 100), (50, 1), (7, 7)]
+    got = {r["node"]: r["length"] for r in graph.cycles(spark.createDataFrame(edges, "src bigint, dst bigint"), 4).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 7: 1}

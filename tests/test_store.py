@@ -181,3 +181,14 @@ def test_changes_and_orphans(spark):
     b = spark.createDataFrame([("q", "2"), ("r", "1")], "path string, hash string")
     assert {(r["path"], r["state"]) for r in changed_files(a, b).collect()} == {("p", "removed"), ("q", "changed"), ("r", "added")}
     assert orphans(a, "path", b, "path").count() == 1
+
+
+def test_bad_lines_are_numbered_per_file(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.jsonl").write_text("".join('{"id":1,"source":"s","captured_at_ms":1,"text":"x"}\n' if i % 50 else "broken\n" for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {(r["file"][-7], r["line"]) for r in readers.bad_lines(spark, str(tmp_path), schemas.CORPUS_RECORDS).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {(str(n), i + 1) for n in range(3) for i in range(0, 400, 50)}
