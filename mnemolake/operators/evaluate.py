@@ -87,3 +87,30 @@ def ablation(a: DataFrame, b: DataFrame, key: str = "qid", measure: str = "recal
 def feedback_labels(feedback: DataFrame) -> DataFrame:
     """Append-only feedback (query, record_id, useful) as labelled pairs; ranking is not touched."""
     return feedback.groupBy("query", "record_id").agg(F.count(F.lit(1)).alias("votes"), F.sum(F.col("useful").cast("bigint")).alias("useful"))
+
+
+def scale_probe(spark, path: str, rows: int, questions: int = 20) -> dict:
+    """Latencies in milliseconds of keyword and exact vector questions over generated rows: index seconds, p50 and p95 of each."""
+    import time
+
+    from mnemolake.operators import search, vectors
+    from mnemolake.sources.readers import synthetic_rows
+
+    synthetic_rows(spark, rows, 64).write.mode("overwrite").parquet(f"{path}/rows")
+    df = spark.read.parquet(f"{path}/rows")
+    began = time.perf_counter()
+    index = search.store_index(search.build_index(df, "id", "text"), f"{path}/index")
+    out = {"rows": rows, "index_s": round(time.perf_counter() - began, 3)}
+    probe = df.filter("id = 1").select("vector").first()[0]
+    for name, ask in (
+        ("keyword", lambda i: search.ranked(index, f"topic{i % 10} rec{i}").orderBy("rank", "doc").limit(10).collect()),
+        ("vector", lambda i: vectors.knn(df, "id", "vector", [x + i / 1000 for x in probe]).collect()),
+    ):
+        took = []
+        for i in range(questions):
+            began = time.perf_counter()
+            ask(i)
+            took.append((time.perf_counter() - began) * 1000)
+        took.sort()
+        out |= {f"{name}_p{p}_ms": round(took[int((questions - 1) * p / 100 + 0.5)], 2) for p in (50, 95)}
+    return out

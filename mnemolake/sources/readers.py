@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+import sqlite3
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +88,63 @@ def synthetic_rows(spark: SparkSession, n: int, dim: int = 768, topics: int = 10
 def write_digest(df: DataFrame, path: str, *by: str) -> None:
     """One folder of text per project: line by line, for export."""
     df.select(*by, F.to_json(F.struct(*[c for c in df.columns if c not in by])).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
+# importers of what other programs keep: id, source, captured_at_ms, title, text
+
+IMPORTED = "id string, source string, captured_at_ms bigint, title string, text string"
+
+
+def import_shell_history(spark: SparkSession, path: str) -> DataFrame:
+    """Commands of a shell: plain lines, lines after `#seconds`, or `: seconds:duration;command`; unknown times are 0."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, raw in zip(pdf["path"], pdf["content"]):
+                at = 0
+                for n, line in enumerate(raw.decode("utf-8", "replace").split("\n"), 1):
+                    if m := re.fullmatch(r"#(\d{9,12})", line):
+                        at = int(m[1]) * 1000
+                        continue
+                    if m := re.match(r": (\d{9,12}):\d+;(.*)", line):
+                        at, line = int(m[1]) * 1000, m[2]
+                    if line.strip():
+                        rows.append((f"{file}#{n}", "shell", at, line.split()[0], line))
+                    at = 0
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMPORTED.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, IMPORTED)
+
+
+def import_git_log(spark: SparkSession, path: str) -> DataFrame:
+    """Commits of the output of `git log --format=raw` or the default format with dates in seconds (--date=unix)."""
+    t = spark.read.text(path, lineSep="\ncommit ").select(F.regexp_replace("value", r"^commit ", "").alias("c"))
+    body = F.trim(F.regexp_replace(F.regexp_extract("c", r"(?s)\n\n(.*)\z", 1), r"(?m)^ {4}", ""))
+    seconds = F.regexp_extract("c", r"(?m)^(?:committer .*> |author .*> |Date:\s+)(\d{9,12})", 1)
+    return t.filter(F.col("c").rlike(r"^[0-9a-f]{7,64}")).select(
+        F.regexp_extract("c", r"^([0-9a-f]+)", 1).alias("id"), F.lit("git").alias("source"), (F.coalesce(seconds.try_cast("bigint"), F.lit(0)) * 1000).alias("captured_at_ms"),
+        F.split(body, "\n")[0].alias("title"), body.alias("text"),
+    )
+
+
+def import_browser_history(spark: SparkSession, path: str) -> DataFrame:
+    """Visits of history databases: tables urls and visits (microseconds since 1601), or moz_places and moz_historyvisits (since 1970)."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, raw in zip(pdf["path"], pdf["content"]):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(bytes(raw))
+                names = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+                if {"urls", "visits"} <= names:
+                    q, off = "SELECT v.id, v.visit_time, u.title, u.url FROM visits v JOIN urls u ON u.id = v.url", 11_644_473_600_000
+                elif {"moz_places", "moz_historyvisits"} <= names:
+                    q, off = "SELECT v.id, v.visit_date, p.title, p.url FROM moz_historyvisits v JOIN moz_places p ON p.id = v.place_id", 0
+                else:
+                    raise LineError(f"{file} is no history database")
+                rows = [(f"{file}#{i}", "browser", t // 1000 - off if t else 0, title or "", url) for i, t, title, url in db.execute(q)]
+                db.close()
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in IMPORTED.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, IMPORTED)

@@ -47,14 +47,14 @@ def consecutive_stream(events: DataFrame, entity: str, time: str, what: str) ->
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, n = state.get if state.exists else (None, 0)
         out = []
-        for pdf in frames:
-            for v in pdf.sort_values(time)[what]:
-                if v == value:
-                    n += 1
-                else:
-                    if n:
-                        out.append((key[0], value, n))
-                    value, n = v, 1
+        arrived = list(frames)  # a micro-batch may come in several parts, which are in no order
+        for v in pd.concat(arrived).sort_values(time, kind="stable")[what] if arrived else ():
+            if v == value:
+                n += 1
+            else:
+                if n:
+                    out.append((key[0], value, n))
+                value, n = v, 1
         state.update((value, n))
         yield pd.DataFrame(out, columns=["entity", "value", "n"])
 

@@ -126,3 +126,48 @@ def test_rerank_probe_rows_and_repeats(spark, tmp_path):
     assert [r["id"] for r in vectors.semantic_repeats(v, "id", "t", "v", 100, 0.99).collect()] == ["b"]
     readers.write_digest(hits, str(tmp_path / "d"), "id")
     assert spark.read.text(str(tmp_path / "d")).count() == 2
+
+
+def test_importers(spark, tmp_path):
+    import sqlite3
+
+    from mnemolake.sources import readers
+
+    (tmp_path / "sh").mkdir()
+    (tmp_path / "sh" / "a").write_text("#1700000000\nmake mill\nls\n: 1700000005:3;turn wheel\n\n")
+    got = {(r["text"], r["captured_at_ms"], r["title"]) for r in readers.import_shell_history(spark, str(tmp_path / "sh")).collect()}
+    assert got == {("make mill", 1_700_000_000_000, "make"), ("ls", 0, "ls"), ("turn wheel", 1_700_000_005_000, "turn")}
+    (tmp_path / "log").write_text("commit abcdef12\nAuthor: A <a@b.example>\nDate:   1700000000\n\n    Weigh sacks\n\n    All of them.\n\ncommit 99887766\nAuthor: B\nDate:   1700000100\n\n    Second\n")
+    got = {(r["id"], r["title"], r["captured_at_ms"]) for r in readers.import_git_log(spark, str(tmp_path / "log")).collect()}
+    assert got == {("abcdef12", "Weigh sacks", 1_700_000_000_000), ("99887766", "Second", 1_700_000_100_000)}
+    (tmp_path / "db").mkdir()
+    db = sqlite3.connect(tmp_path / "db" / "History")
+    db.executescript("CREATE TABLE urls (id, url, title); CREATE TABLE visits (id, url, visit_time); INSERT INTO urls VALUES (1, 'https://mill.example', 'Mill'); INSERT INTO visits VALUES (5, 1, 13344473600000000)")
+    db.commit()
+    db.close()
+    r = readers.import_browser_history(spark, str(tmp_path / "db")).first()
+    assert (r["title"], r["text"], r["captured_at_ms"]) == ("Mill", "https://mill.example", 1_700_000_000_000)
+
+
+def test_gate_command(spark, tmp_path):
+    import json
+
+    from mnemolake.plans import gate
+
+    (tmp_path / "records.jsonl").write_text('{"id":1,"source":"screen","captured_at_ms":5,"text":"nine sacks of rye"}\n{"id":2,"source":"screen","captured_at_ms":6,"text":"the ferry"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"query":"rye","relevant":[1]}\n')
+    report = tmp_path / "r.json"
+    assert gate.main([str(tmp_path), "--report", str(report)], spark) == 0
+    assert json.loads(report.read_text())["recall_at_5"] == 1.0
+    assert gate.main([str(tmp_path), "--baseline", str(report)], spark) == 0
+    (tmp_path / "better.json").write_text(json.dumps({"recall_at_5": 1.0, "mrr_at_10": 1.1}))
+    assert gate.main([str(tmp_path), "--baseline", str(tmp_path / "better.json")], spark) == 1
+    assert gate.main([str(tmp_path), "--baseline", str(tmp_path / "none.json")], spark) == 1
+    assert gate.main([str(tmp_path / "nowhere")], spark) == 2 and gate.main(["--what"], spark) == 2
+
+
+def test_scale_probe(spark, tmp_path):
+    from mnemolake.operators import evaluate
+
+    r = evaluate.scale_probe(spark, str(tmp_path), 500, 3)
+    assert r["rows"] == 500 and 0 < r["keyword_p50_ms"] <= r["keyword_p95_ms"] and 0 < r["vector_p50_ms"]
