@@ -15,6 +15,7 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,10 +119,14 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocab_path: str = DEFAULT_VOCAB) -> DataFrame:
-    """key and ids (array<int>) of every row; rows keep their number, repeated ids included."""
+    """key and ids (array<int>) of every row; rows keep their number, repeated ids included.
+
+    The vocabulary is read where the driver has it and shipped to the workers as a file of the job."""
+    df.sparkSession.sparkContext.addFile(vocab_path)
+    name = vocab_path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = vocabulary(vocab_path).encode
+        encode = vocabulary(SparkFiles.get(name)).encode
         for pdf in batches:
             yield pd.DataFrame({"k": pdf["k"], "ids": pdf["t"].map(lambda t: encode(t if isinstance(t, str) else None))})
 
