@@ -167,6 +167,22 @@ def salient_spans(spark, d):
     return s.select("doc_id", F.size("s").alias("spans"), F.round(T.concentration(F.col("s")), 6).alias("concentration"), T.compress_evidence(F.col("s"), F.col("text"), 320).alias("evidence"))
 
 
+# every third line recognised badly
+@query(
+    f"""WITH {_REDUCED}, q AS (SELECT doc_id, pos, x, pos % 3 = 0 AS low, {S.drop('app', 'x')} AS dropped, {S.quality('app', 'x', 'pos % 3 = 0')} AS q FROM lines),
+    k AS (SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY pos) AS nth FROM q WHERE NOT dropped AND q >= 0.36 AND strlen(x) >= 7),
+    o AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY pos) AS t, count(*) AS kept FROM k WHERE nth = 1 GROUP BY doc_id),
+    s AS (SELECT doc_id, count(*) AS total, count(*) FILTER (low) AS lows, avg(q) AS score FROM q GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(o.t, r.t, '') AS signal_text, coalesce(total, 0) AS total_lines, coalesce(kept, 0) AS kept_lines, coalesce(lows, 0) AS low_conf_lines, round(coalesce(score, 0.0), 6) AS avg_line_score
+    FROM documents d LEFT JOIN o USING (doc_id) LEFT JOIN reduced r USING (doc_id) LEFT JOIN s USING (doc_id)"""
+)
+def high_signal_low_conf(spark, d):
+    t, app, text = _docs(spark, d)
+    marked = F.array_join(F.transform(T.text_lines(text), lambda x, i: F.when((i + 1) % 3 == 0, F.concat(F.lit(X.LOW_CONF + " "), x)).otherwise(x)), "\n")
+    h = t.select("doc_id", app.alias("app"), marked.alias("m")).select("doc_id", T.high_signal(F.col("app"), F.col("m")).alias("h"))
+    return h.select("doc_id", F.col("h.text").alias("signal_text"), "h.total_lines", "h.kept_lines", "h.low_conf_lines", F.round("h.avg_line_score", 6).alias("avg_line_score"))
+
+
 # recognised text
 
 _CONF = "((doc_id * 31 + pos * 17) % 100)"
@@ -614,7 +630,12 @@ def staleness(spark, d):
     return t.select("doc_id", F.round(retrieval.staleness(F.col("captured_at_ms"), 1_700_000_000_000, F.col("lang") == "en"), 6).alias("weight"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, i, x, strlen(x) AS n FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+$') AS a FROM documents)) WHERE x <> ''),
+    c AS (SELECT doc_id, i, x, n AS size, 0 AS ord, 0 AS start, n AS upto FROM l WHERE i = 1
+    UNION ALL SELECT l.doc_id, l.i, l.x, CASE WHEN size + n <= 1500 THEN size + n ELSE n END, CASE WHEN size + n <= 1500 THEN ord ELSE ord + 1 END, CASE WHEN size + n <= 1500 THEN start ELSE upto END, upto + n FROM c JOIN l ON l.doc_id = c.doc_id AND l.i = c.i + 1)
+    SELECT doc_id AS record_id, ord::BIGINT AS ord, any_value(start)::BIGINT AS span_start, max(upto)::BIGINT AS span_end, string_agg(x, '' ORDER BY i) AS text FROM c GROUP BY doc_id, ord"""
+)
 def chunk_lines(spark, d):
     return retrieval.chunk_lines(table(spark, d, "documents"), "doc_id", "text")
 
@@ -730,9 +751,9 @@ def graph_modularity(spark, d):
     return graph.modularity(e, graph.communities(e))
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey AS src, s_suppkey * 3 % 64 AS dst FROM supplier), r AS (SELECT src AS a, dst AS b, 1 AS n FROM e UNION SELECT a, dst, n + 1 FROM r JOIN e ON src = b WHERE n < 5 AND a <> b) SELECT a AS node, min(n)::BIGINT AS length FROM r WHERE a = b GROUP BY 1")
 def graph_cycles(spark, d):
-    return graph.cycles(_small(spark, d), 5)
+    return graph.cycles(_small(spark, d), 5).select("node", big(F.col("length")).alias("length"))
 
 
 def queries() -> dict:

@@ -396,3 +396,73 @@ def reindexed_rows(spark, d):
     c = table(spark, d, "record_chunks").select("id", F.col("record_id").alias("path"), F.md5(T.col("text").cast("binary")).alias("hash")).distinct()
     gone = table(spark, d, "pending_chunks").select(F.col("record_id").alias("path")).distinct().withColumn("state", F.lit("removed"))
     return store.reindexed(c.filter("path is not null"), gone, c.limit(0)).select("id", "path", "hash")
+
+
+# sentences and spans
+
+_PARTS = r"string_split(regexp_replace(regexp_replace(t, '([.!?])([ \n]|$)', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1))"
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT doc_id, {S.trim("coalesce(text, '')")} AS t FROM documents), p AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS p FROM (SELECT doc_id, {_PARTS} AS a FROM b)),
+    r AS (SELECT doc_id, i, p AS buf, regexp_matches(p, '[.!?\\n]$') AND length({S.trim('p')}) >= 12 AS cut FROM p WHERE i = 1
+    UNION ALL SELECT p.doc_id, p.i, (CASE WHEN cut THEN '' ELSE buf END) || p.p, regexp_matches(p.p, '[.!?\\n]$') AND length({S.trim("(CASE WHEN cut THEN '' ELSE buf END) || p.p")}) >= 12 FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+    l AS (SELECT *, max(i) OVER (PARTITION BY doc_id) AS m FROM r)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS nth, {S.trim('buf')} AS sentence FROM l WHERE cut OR (i = m AND {S.trim('buf')} <> '')"""
+)
+def span_sentences(spark, d):
+    s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(T.col("text"))).alias("nth", "sentence"))
+    return s.select("doc_id", big(F.col("nth")).alias("nth"), "sentence")
+
+
+def _share(cond: str, cap: float) -> str:
+    return f"least(len(list_filter({S.words('x')}, lambda w: {cond}))::DOUBLE / greatest(len({S.words('x')}), 1), {cap}) / {cap}"
+
+
+_CUES = " + ".join(f"contains(lower(x), {S.lit(c)})::INT" for c in X.CUE_WORDS)
+_UPPER = _share("regexp_matches(w, '^\\p{Lu}')", 0.45)
+_VERBS = _share("(" + " OR ".join(f"ends_with(lower(w), {S.lit(e)})" for e in X.ACTION_ENDS) + ")", 0.30)
+_SPAN_SCORE = f"""CASE WHEN length(x) < 10 THEN 0.0 ELSE least({S.quality('app', 'x')} * 0.40 + {_UPPER} * 0.12 + {_VERBS} * 0.10 + least(length(x), 280) / 280.0::DOUBLE * 0.16
+    + len(list_distinct({S.words('x')}))::DOUBLE / greatest(len({S.words('x')}), 1) * 0.12 + least(({_CUES}) * 0.05, 0.18), 1.0) END"""
+
+
+@query(f"WITH {S.LINES} SELECT doc_id, pos, round({_SPAN_SCORE}, 6) AS score FROM lines")
+def span_scores(spark, d):
+    from mnemolake.plans.catalog import _lines
+
+    return _lines(spark, d).select("doc_id", "pos", F.round(T.span_score(F.col("app"), F.col("x")), 6).alias("score"))
+
+
+# one line, one span: what ranks first, what is kept of it, and how much the best three hold
+@query(
+    f"""WITH {S.LINES}, s AS (SELECT doc_id, pos, x, {_SPAN_SCORE} AS score FROM lines), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM s WHERE score > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS place FROM k WHERE i <= {X.MAX_SPANS}),
+    t AS (SELECT doc_id, count(*) AS spans, sum(score) AS total, sum(score) FILTER (place <= 3) AS three, max(x) FILTER (place = 1) AS best FROM r GROUP BY 1)
+    SELECT d.doc_id, coalesce(spans, 0) AS spans, round(CASE WHEN coalesce(total, 0) <= 1e-6 THEN 0.0 ELSE least(three / total, 1.0) END, 6) AS concentration, best FROM documents d LEFT JOIN t USING (doc_id)"""
+)
+def ranked_spans(spark, d):
+    """Every line as a block of its own."""
+    from mnemolake.plans.catalog import _docs
+
+    t, app, text = _docs(spark, d)
+    lines = F.filter(F.transform(T.text_lines(text), T.normalize_inline), lambda x: x != "")
+    scored = F.filter(F.transform(lines, lambda x: F.struct(T.span_score(app, x).alias("score"), x.alias("text"))), lambda r: r["score"] > 0)
+    ranked = F.array_sort(F.transform(F.slice(scored, 1, X.MAX_SPANS), lambda r, i: F.struct((-r["score"]).alias("neg"), i.alias("i"), r["text"].alias("text"), r["score"].alias("score"))))
+    s = t.select("doc_id", F.transform(ranked, lambda r: F.struct(r["text"].alias("text"), r["score"].alias("score"))).alias("s"))
+    return s.select("doc_id", big(F.size("s")).alias("spans"), F.round(T.concentration(F.col("s")), 6).alias("concentration"), F.get("s", 0)["text"].alias("best"))
+
+
+@query(
+    f"""WITH r AS (SELECT DISTINCT frame_id, coalesce(text, '') AS text, confidence AS c, block_count AS b FROM recognized_texts), s AS (SELECT *, strlen({S.trim('text')}) AS n FROM r)
+    SELECT frame_id, n, n < 40 OR c < 0.15::FLOAT OR (b <= 1 AND c < 0.35::FLOAT) OR NOT (CASE WHEN n < 80 THEN false ELSE (n >= 400 AND c >= 0.35::FLOAT) OR (n >= 200 AND b >= 10 AND c >= 0.35::FLOAT) OR (b >= 5 AND c >= 0.55::FLOAT) END) AS low FROM s"""
+)
+def low_signal(spark, d):
+    r = table(spark, d, "recognized_texts").select("frame_id", T.col("text").alias("text"), "confidence", "block_count").distinct()
+    return r.select("frame_id", big(T.bytes_of(T.trim_all(F.col("text")))).alias("n"), T.low_signal(F.col("text"), F.col("confidence"), F.col("block_count"), 40).alias("low"))
+
+
+@query("SELECT DISTINCT frame_id, text AS fast, text AS high_quality FROM recognized_texts WHERE text IS NOT NULL")
+def ocr_presets(spark, d):
+    """Both presets keep the format of a text as it is; the default one is `ocr_normalize`."""
+    r = table(spark, d, "recognized_texts").filter("text is not null").select("frame_id", "text").distinct()
+    return r.select("frame_id", T.OcrConfig.fast().normalize(F.col("text")).alias("fast"), T.OcrConfig.high_quality().normalize(F.col("text")).alias("high_quality"))
