@@ -40,7 +40,7 @@ from mnemolake.session import materialize, partitions
 SAMPLE, BRANCH, CELL_MEAN, PER_LEAF = 65_536, 128, 500, 8
 ENTRIES, PROBES = 3, 6
 PART_ROWS, STEP, DEPTH = 20_000, 4, 60
-TREES, BITS, WANTED, SHARE, COMPARED = 64, 16, 800, 8, 24
+TREES, BITS, WANTED, SHARE, COMPARED = 48, 16, 600, 8, 24
 SKETCH = 8  # words of 64 bits
 SEED = 7
 
