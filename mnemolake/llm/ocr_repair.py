@@ -85,6 +85,11 @@ def _near(a: str, b: str) -> bool:
     return row.get(m, 9) <= 2
 
 
+@functools.lru_cache(100_000)
+def _beginnings(prefix: str) -> frozenset:
+    return frozenset(deletes(prefix))
+
+
 class _Titles:
     """Keys of title-like lines; those near a key are found by the deletions of its beginning."""
 
@@ -96,14 +101,16 @@ class _Titles:
         if key not in self.keys:
             self.keys.add(key)
             if len(key) >= 8:
-                for d in deletes(key, prefix=6):
+                for d in _beginnings(key[:6]):
                     self.by.setdefault(d, []).append(key)
 
     def near(self, key: str) -> set[str]:
         """All keys equal to it or near it."""
         out = {key} & self.keys
         if len(key) >= 8:
-            out |= {k for k in {k for d in deletes(key, prefix=6) for k in self.by.get(d, ())} if _near(key, k)}
+            for k in set().union(*(self.by[d] for d in _beginnings(key[:6]) & self.by.keys())):
+                if k != key and abs(len(k) - len(key)) <= 2 and _near(key, k):
+                    out.add(k)
         return out
 
 
@@ -136,11 +143,11 @@ def layout(text: str) -> tuple[list[str], list[set[str]], list[str]]:
             body[i] = ""
             continue
         title = _apart(line)
-        if title is not None and not _SENTENCE_END.search(title[-8:]) and sum(c.isalpha() for c in title) > 3:
+        if title is not None and not _SENTENCE_END.search(title[-8:]) and sum(map(str.isalpha, title)) > 3:
             kinds[i] |= {"header", "page_no"}
             body[i] = title
             titles.append(i)
-        elif not _SENTENCE_END.search(x[-8:]) and not x[0].islower() and x[0] not in "-–•*" and " " in x and sum(c.isalpha() for c in x) > 7:
+        elif not _SENTENCE_END.search(x[-8:]) and not x[0].islower() and x[0] not in "-–•*" and " " in x and sum(map(str.isalpha, x)) > 7:
             titles.append(i)
     keys = {i: _folded(re.sub(r"\d+$", "", body[i][-400:] if len(body[i]) > 4000 else body[i])) for i in titles}
     groups = Counter(keys.values())
@@ -149,7 +156,7 @@ def layout(text: str) -> tuple[list[str], list[set[str]], list[str]]:
         if kinds[i] or groups[keys[i]] > 1:
             known.add(keys[i])
     for i in titles:
-        if not kinds[i] and known.near(keys[i]):
+        if not kinds[i] and (keys[i] in known.keys or known.near(keys[i])):
             kinds[i].add("header")
             known.add(keys[i])
     every = _Titles()  # titles that are misread each time differently
