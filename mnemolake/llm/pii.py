@@ -249,7 +249,7 @@ def name_lexicon(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     known_given = mail.select(F.col("a").alias("given")).distinct()
     known_family = mail.select(F.col("b").alias("given")).distinct().join(known_given, "given", "left_anti").withColumn("is_f", F.lit(True))
     trusted = None
-    for i in range(rounds):
+    for _ in range(rounds):
         p = pairs.join(given.withColumnRenamed("w", "given"), "given", "left").join(family.withColumnRenamed("w", "family"), "family", "left")
         # a word that is a family name by itself is no given name
         g, f = F.coalesce("g", F.lit(0.0)), F.coalesce("f", F.lit(0.0))
@@ -259,7 +259,7 @@ def name_lexicon(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
         lift = edges.join(scored, "p").groupBy("given", "family").agg(F.avg("ps").alias("ctx"))
         score = F.when(F.col("is_f"), 0.0).otherwise(0.5 * F.col("own") + 0.5 * F.col("ctx"))
         trusted = p.join(lift, ["given", "family"]).select("given", "family", F.greatest(F.when(F.col("own") > 0.9, F.col("own")).otherwise(0.0), score).alias("score"))
-        trusted = materialize(trusted) if i + 1 < rounds else trusted
+        trusted = materialize(trusted)
         given2 = trusted.groupBy(F.col("given").alias("w")).agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("g"))
         family2 = trusted.groupBy(F.col("family").alias("w")).agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("f"))
         given = given2.unionByName(mail.select(F.col("a").alias("w"), F.lit(0.9).alias("g"))).groupBy("w").agg(F.max("g").alias("g"))
@@ -267,31 +267,34 @@ def name_lexicon(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
     return materialize(given.filter(F.col("g") >= 0.3)), materialize(family.filter(F.col("f") >= 0.3))
 
 
-def learned(spans: DataFrame, candidate: str, kinds: tuple[str, ...], rounds: int = ROUNDS) -> DataFrame:
-    """origin, row_key, kind, start, end of candidates without certain form, by the graph of patterns and instances.
+def learned(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """origin, row_key, kind, start, end of numbers and places without certain form, by the graph of patterns and instances.
 
     Seeds are the instances (digits of a number, house number and street) that have a certain form somewhere.  A pattern
     (two words before, or the word before with the one behind) is as good for a kind as the share of its distinct instances
     that are trusted; an instance is trusted for the mean of its patterns.  A candidate is found if it names a seed, or if
-    its pattern has SUPPORT trusted instances or more and nearly no others."""
-    one = spans.filter((F.col("kind") == candidate) | F.col("kind").isin(*kinds)).filter("a is not null")
-    pattern = F.array(F.concat_ws("|", "lft", F.lit("L")), F.concat_ws("|", F.element_at(F.split("lft", " "), -1), "rgt"))
-    edges = materialize(one.filter("lft <> '^'").select(F.col("a").alias("v"), F.explode(pattern).alias("p")).distinct())
-    seeds = materialize(one.filter("seed").select(F.col("a").alias("v"), "kind").distinct())
+    its pattern has SUPPORT trusted instances or more and nearly no others.  Numbers and places share no node of the graph."""
+    part = F.when(F.col("kind").isin("place", "address"), "p").otherwise("n")
+    one = spans.filter(F.col("kind").isin("number", "phone", "id_number", "place", "address") & F.col("a").isNotNull())
+    one = one.select("kind", "seed", "lft", "rgt", F.concat(part, "a").alias("v"), part.alias("part"))
+    pattern = F.array(F.concat_ws("|", "part", "lft", F.lit("L")), F.concat_ws("|", "part", F.element_at(F.split("lft", " "), -1), "rgt"))
+    edges = materialize(one.filter("lft <> '^'").select("v", F.explode(pattern).alias("p")).distinct())
+    seeds = materialize(one.filter("seed").select("v", "kind", F.lit(1.0).alias("t")).distinct())
     sizes = edges.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    trust = seeds.withColumn("t", F.lit(1.0))
+    trust = seeds
     for i in range(rounds):
-        scored = edges.join(trust, "v").groupBy("p", "kind").agg(F.sum("t").alias("s")).join(sizes, "p")
+        scored = materialize(edges.join(trust, "v").groupBy("p", "kind").agg(F.sum("t").alias("s")).join(sizes, "p"))
         if i + 1 < rounds:
-            lift = edges.join(scored.select("p", "kind", (F.col("s") / (F.col("n") + 3)).alias("ps")), "p").groupBy("v", "kind").agg(F.sum("ps").alias("t"))
-            own = edges.groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-            lift = lift.join(own, "v").select("v", "kind", (F.col("t") / F.col("m")).alias("t")).filter(F.col("t") >= TRUST)
-            trust = materialize(seeds.withColumn("t", F.lit(1.0)).unionByName(lift).groupBy("v", "kind").agg(F.max("t").alias("t")))
+            # of instances with a pattern that somebody trusts; patterns without count as zero
+            near = scored.select("p", "kind", (F.col("s") / (F.col("n") + 3)).alias("ps"))
+            lift = edges.join(near, "p").groupBy("v", "kind").agg(F.sum("ps").alias("t")).join(edges.groupBy("v").agg(F.count(F.lit(1)).alias("m")), "v")
+            lift = lift.select("v", "kind", (F.col("t") / F.col("m")).alias("t")).filter(F.col("t") >= TRUST)
+            trust = materialize(seeds.unionByName(lift).groupBy("v", "kind").agg(F.max("t").alias("t")))
     good = scored.filter((F.col("s") >= SUPPORT) & (F.col("s") / F.col("n") >= SURE) & F.col("p").endswith("|L")).select("p", "kind")
-    c = spans.filter(F.col("kind") == candidate).drop("kind")
-    by_pattern = c.withColumn("p", F.concat_ws("|", "lft", F.lit("L"))).join(good, "p").select("origin", "row_key", "kind", "start", "end")
-    same = seeds.groupBy("v").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("k")).filter((F.col("k") == 1) & (F.length("v") >= LEAST_INSTANCE)).select(F.col("v").alias("a"), "kind")
-    return by_pattern.unionByName(c.join(same, "a").select("origin", "row_key", "kind", "start", "end")).distinct()
+    c = spans.filter(F.col("kind").isin("number", "place")).select("origin", "row_key", "start", "end", F.concat_ws("|", part, "lft", F.lit("L")).alias("p"), F.concat(part, "a").alias("v"))
+    same = seeds.groupBy("v").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("k")).filter((F.col("k") == 1) & (F.length("v") > LEAST_INSTANCE)).select("v", "kind")
+    both = c.join(good, "p").select("origin", "row_key", "kind", "start", "end").unionByName(c.join(same, "v").select("origin", "row_key", "kind", "start", "end"))
+    return both.distinct()
 
 
 def personal_spans(texts: DataFrame) -> DataFrame:
@@ -299,7 +302,7 @@ def personal_spans(texts: DataFrame) -> DataFrame:
     spans = materialize(texts.mapInPandas(_scan, _SPAN))
     given, family = name_lexicon(spans)
     sure = spans.filter("seed and kind not in ('mail', 'titled')").select("origin", "row_key", "kind", "start", "end")
-    more = learned(spans, "number", ("phone", "id_number")).unionByName(learned(spans, "place", ("address",)))
+    more = learned(spans)
     p = spans.filter("kind = 'pair'").select(
         "origin", "row_key", "start", "end", "cap", F.when(F.col("rev"), F.col("b")).otherwise(F.col("a")).alias("given"),
         F.split(F.when(F.col("rev"), F.col("a")).otherwise(F.col("b")), "-")[0].alias("family"),
