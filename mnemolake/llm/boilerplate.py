@@ -35,7 +35,7 @@ def line_key(line: Column) -> Column:
 
 
 def _digest(df: DataFrame) -> DataFrame:
-    return df.withColumn("_d", F.struct(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(7)).alias("b")))
+    return df.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64("text", F.lit(7))})
 
 
 def _day() -> Column:
@@ -43,55 +43,55 @@ def _day() -> Column:
 
 
 def corpus_texts(corpus: DataFrame, *more: str) -> DataFrame:
-    """origin, row_key, source, app, day, takes_part, d (digest of the text) of the corpus; the group is the source."""
-    c = once_per_id(_digest(corpus), "id", "source", "captured_at_ms", "_d", *more)
+    """origin, row_key, source, app, day, takes_part, d1 and d2 (digest of the text) of the corpus; the group is the source."""
+    c = once_per_id(_digest(corpus), "id", "source", "captured_at_ms", "d1", "d2", *more)
     return c.select(
         F.lit("corpus_records").alias("origin"), F.col("id").cast("string").alias("row_key"), "source", F.lit("").alias("app"), _day(),
-        (F.col("source") != "").alias("takes_part"), F.col("_d").alias("d"), *more,
+        (F.col("source") != "").alias("takes_part"), "d1", "d2", *more,
     )
 
 
 def chunk_texts(chunks: DataFrame, records: DataFrame, *more: str) -> DataFrame:
     """The same of pending chunks; the group is the source with the app of the record, without case and outer spaces."""
-    p = once_per_id(_digest(chunks), "chunk_id", "record_id", "source", "captured_at_ms", "_d", *more)
+    p = once_per_id(_digest(chunks), "chunk_id", "record_id", "source", "captured_at_ms", "d1", "d2", *more)
     app = F.lower(F.regexp_replace(F.col("app_name"), r"(?U)^\s+|\s+$", ""))
     wanted = chunks.select(F.col("record_id").alias("id")).distinct()
     r = once_per_id(records.select("id", "app_name").join(wanted, "id", "left_semi"), "id", "app_name").select(F.col("id").alias("record_id"), app.alias("app"))
     p = p.join(r, "record_id", "left")
     return p.select(
         F.lit("pending_chunks").alias("origin"), F.col("chunk_id").alias("row_key"), "source", "app", _day(),
-        (F.coalesce(F.col("source"), F.lit("")) != "") & (F.coalesce(F.col("app"), F.lit("")) != ""), F.col("_d").alias("d"), *more,
-    ).toDF("origin", "row_key", "source", "app", "day", "takes_part", "d", *more)
+        (F.coalesce(F.col("source"), F.lit("")) != "") & (F.coalesce(F.col("app"), F.lit("")) != ""), "d1", "d2", *more,
+    ).toDF("origin", "row_key", "source", "app", "day", "takes_part", "d1", "d2", *more)
 
 
 def bodies(*tables: DataFrame) -> DataFrame:
-    """d, text: every distinct text once."""
-    one = [_digest(t.select("text").filter(F.col("text") != "")).select(F.col("_d").alias("d"), "text") for t in tables]
+    """d1, d2, text: every distinct text once."""
+    one = [_digest(t.select("text").filter(F.col("text") != "")).select("d1", "d2", "text") for t in tables]
     both = one[0]
     for t in one[1:]:
         both = both.unionByName(t)
-    return both.groupBy("d").agg(F.first("text").alias("text"))
+    return both.groupBy("d1", "d2").agg(F.first("text").alias("text"))
 
 
 def _lines(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row per cluster and distinct line: origin, source, app, d, lk (128 bits of the line within its group), at (line numbers), day."""
+    """One row per cluster and distinct line: origin, source, app, d1, d2, lk (128 bits of the line within its group), at (line numbers), day."""
     group = ["origin", "source", "app"]
-    clusters = rows.filter("takes_part").groupBy(*group, "d").agg(F.min("day").alias("day"))
-    t = texts.join(clusters, "d").select(*group, "d", "day", F.posexplode(F.split("text", "\n", -1)).alias("_i", "_line"))
+    clusters = rows.filter("takes_part").groupBy(*group, "d1", "d2").agg(F.min("day").alias("day"))
+    t = texts.join(clusters, ["d1", "d2"]).select(*group, "d1", "d2", "day", F.posexplode(F.split("text", "\n", -1)).alias("_i", "_line"))
     t = t.withColumn("_k", line_key(F.col("_line"))).filter(F.length(F.regexp_replace("_k", r"\P{L}+", "")) >= MIN_LETTERS)
     lk = F.struct(F.xxhash64(*group, "_k").alias("a"), F.xxhash64("_k", F.lit(7), *group[::-1]).alias("b"))
-    return t.withColumn("lk", lk).groupBy(*group, "d", "day", "lk").agg(F.collect_list((F.col("_i") + 1).cast("bigint")).alias("at"))
+    return t.withColumn("lk", lk).groupBy("d1", "d2", *group, "day", "lk").agg(F.collect_list((F.col("_i") + 1).cast("bigint")).alias("at"))
 
 
 def repeated_lines(rows: DataFrame, texts: DataFrame, min_texts: int = MIN_TEXTS, min_days: int = MIN_DAYS) -> DataFrame:
     """origin, row_key, line_no, n_texts, n_days of the lines to remove."""
-    rows = materialize(rows.select("origin", "row_key", "source", "app", "day", "takes_part", "d").filter(F.col("d").isNotNull()))
+    rows = materialize(rows.select("origin", "row_key", "source", "app", "day", "takes_part", "d1", "d2"))
     lines = materialize(_lines(rows, texts))
     by_day = lines.groupBy("lk", "day").agg(F.count(F.lit(1)).alias("n"))
     common = by_day.groupBy("lk").agg(F.sum("n").alias("n_texts"), F.count("day").alias("n_days")).filter((F.col("n_texts") >= min_texts) & ((F.col("n_days") >= min_days) | (F.lit(min_days) <= 1)))
     salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    group = ["origin", "source", "app", "d"]
-    gone = lines.select(*group, "lk", "at", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["lk", "salt"])
+    group = ["origin", "source", "app", "d1", "d2"]
+    gone = lines.select(*group, "lk", "at", F.pmod(F.xxhash64("d1", "d2"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["lk", "salt"])
     gone = gone.groupBy(*group).agg(F.collect_list(F.struct("at", "n_texts", "n_days")).alias("gone"))
     found = rows.filter("takes_part").select("row_key", *group).join(gone, group).select("origin", "row_key", F.explode("gone").alias("x"))
     return found.select("origin", "row_key", F.explode("x.at").alias("line_no"), "x.n_texts", "x.n_days")
