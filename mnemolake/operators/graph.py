@@ -61,7 +61,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int, per_hop: int | None = None) -> DataFrame:
     """node, depth: nodes within `hops` directed steps of the seeds (column node); per_hop limits what one node adds.
 
-    Only columns src and dst of edges are used (and weight, to choose under a limit)."""
+    Only columns src and dst of edges are used (and weight, to choose under a limit); they are made and stored once."""
+    edges = materialize(edges.select("src", "dst", *(["weight"] if "weight" in edges.columns and per_hop is not None else [])))
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for depth in range(1, hops + 1):
