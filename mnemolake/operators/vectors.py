@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +77,6 @@ def _nearest_of(names: list, values: list, k: int):
     probes = np.array(values, np.float64)
 
     def run(batches):
-        import pandas as pd
-
         for pdf in batches:
             for lo in range(0, len(pdf), 2000):
                 ids = pdf["id"].to_numpy()[lo : lo + 2000]
@@ -124,6 +123,62 @@ def ann(indexed: DataFrame, centroids, key: str, vector: str, probe, k: int = 10
     return knn(indexed.filter(F.col("cell").isin([int(i) for i in order])), key, vector, probe, k).withColumn("mode", F.lit("ann"))
 
 
+class ProductQuantiser:
+    """A vector as `parts` small numbers, each the nearest of `words` centroids of its stretch of components."""
+
+    def __init__(self, books):
+        self.books = books  # (parts, words, components of a part)
+
+    @classmethod
+    def fit(cls, df: DataFrame, key: str, vector: str, parts: int = 8, words: int = 64, sample: int = 4096, rounds: int = 8, seed: int = 13) -> ProductQuantiser:
+        """Centroids on at most `sample` rows, chosen by hash; every row is encoded."""
+        import numpy as np
+
+        step = max(1, -(-df.count() // sample))
+        some = df.filter(F.pmod(F.xxhash64(key), F.lit(step)) == 0).orderBy(key).limit(sample).select(vector).collect()
+        x = np.array([r[0] for r in some], np.float64)
+        rng = np.random.default_rng(seed)
+        books = []
+        for part in np.split(x, parts, axis=1):
+            c = part[rng.choice(len(part), min(words, len(part)), replace=False)]
+            for _ in range(rounds):
+                at = ((part * part).sum(1)[:, None] - 2 * part @ c.T + (c * c).sum(1)).argmin(1)
+                c = np.stack([part[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
+            books.append(c)
+        return cls(np.stack(books))
+
+    def encode(self, vector: Column) -> Column:
+        import numpy as np
+
+        books = self.books
+
+        @F.pandas_udf("array<int>")
+        def codes(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype=object)
+            x = np.stack(v.to_numpy()).astype(np.float64)
+            out = [((p * p).sum(1)[:, None] - 2 * p @ c.T + (c * c).sum(1)).argmin(1) for p, c in zip(np.split(x, len(books), axis=1), books)]
+            return pd.Series(list(np.stack(out, axis=1).astype(np.int32)))
+
+        return codes(vector)
+
+    def distance(self, codes: Column, probe) -> Column:
+        """Squared distance of a probe to the vector that the codes stand for: a sum of looked-up values."""
+        import numpy as np
+
+        table = ((self.books - np.stack(np.split(np.asarray(probe, np.float64), len(self.books)))[:, None, :]) ** 2).sum(2)
+        total = F.lit(0.0)
+        for j, row in enumerate(table):
+            total = total + F.get(literal_vector(row), F.get(codes, j))
+        return total
+
+
+def ann_pq(indexed: DataFrame, quantiser: ProductQuantiser, key: str, vector: str, codes: str, probe, k: int = 10, again: int = 10) -> DataFrame:
+    """Approximate: the `again` * k rows nearest by codes, of which the k nearest by the vectors themselves."""
+    near = indexed.withColumn("_d", quantiser.distance(F.col(codes), probe)).orderBy("_d", key).limit(again * k)
+    return knn(near, key, vector, probe, k).withColumn("mode", F.lit("pq"))
+
+
 def rrf(routes: DataFrame, id_col: str = "id", k: int = X.RRF_K) -> DataFrame:
     """Fuse routes (qid, route, id, rank) by reciprocal ranks: qid, id, score, routes."""
     keys = [c for c in ("qid",) if c in routes.columns]

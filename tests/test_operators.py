@@ -215,3 +215,23 @@ def test_cycles_among_trees(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (2, 3), (3, 1), (3, 100), (50, 1), (7, 7)]
     got = {r["node"]: r["length"] for r in graph.cycles(spark.createDataFrame(edges, "src bigint, dst bigint"), 4).collect()}
     assert got == {1: 3, 2: 3, 3: 3, 7: 1}
+
+
+def test_recall_of_cells_and_of_product_quantisation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 32))
+    x = (centres[rng.integers(0, 40, 1500)] + 0.3 * rng.standard_normal((1500, 32))).round(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").cache()
+    q = vectors.ProductQuantiser.fit(df, "id", "v", parts=8, words=32)
+    coded = df.withColumn("codes", q.encode(F.col("v"))).cache()
+    cells, c = vectors.ivf_cells(df, "id", "v", 16)
+    cells = cells.cache()
+    hit = {"pq": 0, "cells": 0}
+    for i in range(0, 1500, 150):
+        probe = (x[i] + 0.05).tolist()
+        best = {int(j) for j in np.lexsort((np.arange(1500), ((x - probe) ** 2).sum(1)))[:10]}
+        hit["pq"] += len(best & {r["id"] for r in vectors.ann_pq(coded, q, "id", "v", "codes", probe).collect()})
+        hit["cells"] += len(best & {r["id"] for r in vectors.ann(cells, c, "id", "v", probe, 10, 6).collect()})
+    assert hit["pq"] >= 95 and hit["cells"] >= 90
