@@ -276,6 +276,21 @@ def test_many_leaves_and_descended_parts(spark, monkeypatch, cell_mean, part_row
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_neighbours_share_a_leaf_when_leaves_are_many(monkeypatch):
+    """Rows of a few topics: with many leaves near rows still share one, and no leaf is near to all."""
+    monkeypatch.setattr(neighbours, "CELL_MEAN", 10)
+    rng = np.random.default_rng(8)
+    topic = 0.8 * rng.standard_normal((8, 256)).repeat(750, axis=0)
+    base = np.repeat(topic + rng.standard_normal((6000, 256)), 4, axis=0)
+    x = base + 0.7 * rng.standard_normal(base.shape)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    book = neighbours.Codebook(x[rng.permutation(len(x))[:16_000]], len(x))
+    leaf = np.concatenate([book.leaves(x[i : i + 2000]) for i in range(0, len(x), 2000)])
+    four = leaf.reshape(-1, 4, leaf.shape[1])
+    assert (four[:, 0, :, None] == four[:, 1, None, :]).any((1, 2)).mean() >= 0.995
+    assert np.bincount(leaf[leaf >= 0]).max() < 0.02 * len(x)
+
+
 def test_forest_of_one_part():
     rng = np.random.default_rng(6)
     base = np.repeat(rng.standard_normal((1500, 64)), 4, axis=0)
