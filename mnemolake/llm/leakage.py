@@ -6,15 +6,18 @@ the words of the items (other words cannot leak); the frequencies of words cover
 the latent space: tasks sum A'(A x) over their passages for a block of random directions x, the sums are added by word in
 the cluster, and only the (words of the items) x RANK matrix comes to the driver.
 
-Candidates are found in the latent space only.  The probes are kept in lists (spherical k-means, about the square root of
-their number); a passage visits the lists whose centre it is near to and is a candidate for the items of the probes whose
-cosine it reaches.  Both thresholds are calibrated for every run, not set: CALIBRATION artificial leaks are made by
-writing RUN words in a row of an item, at any place, over a passage of the corpus, and all but MISSED of these must be
-candidates.  The exact check of runs of words, and for paraphrases the longest common subsequence with the words of the
-item's question, look at candidates only.  The recall of candidates against a scan is tested and stated in the README.
-
-The items are a stated query set.  They are taken in blocks of at most ITEM_BLOCK items and VOCABULARY words, so what is
-broadcast is bounded; the documents are tokenised and stored once for all of a block.  Null and empty texts and items
+Candidates are found in the latent space only, and nothing is taken from a sample.  A leaked run is a window of the
+document: every window of as many words as a run has gets its latent vector, made as those of the runs of the items are
+made, so that equal words have equal vectors.  The runs are kept in lists (spherical k-means of all runs); a window visits
+the lists whose centre is, up to SAME, nearest to it, and is a candidate for the items of the runs whose cosine is 1 up to
+SAME.  No leak is lost by that, whatever stands around it.  The exact check of runs of words looks at candidates only.
+
+For paraphrases passages are candidates for the items of the probes they have a cosine of PARAPHRASE_COSINE to; lists are
+passed over only if by their radius they hold no such probe.  The longest common subsequence with the words of the
+item's question looks at these only.
+
+The items are a stated query set.  They are taken in blocks of at most ITEM_BLOCK items, VOCABULARY different words and
+BLOCK_WORDS words, so what is broadcast is bounded; the documents are tokenised and stored once for all of a block.  Null and empty texts and items
 without words leak nothing.  Rows repeated under one id count once.
 """
 
@@ -33,8 +36,9 @@ from mnemolake.session import materialize, once_per_id
 RUN = 13
 RANK, SHARP = 192, 1.5  # rare words weigh more, as they tell items apart
 PROBE_STEP = 3
-CALIBRATION, MISSED, BACKGROUND = 20_000, 0.0002, 2_000
-ITEM_BLOCK, VOCABULARY = 20_000, 200_000
+CALIBRATION, MISSED = 20_000, 0.0002
+ITEM_BLOCK, VOCABULARY, BLOCK_WORDS = 20_000, 200_000, 250_000
+SAME = 1e-4  # far above what rounding makes of equal vectors
 SLICE, TASK_WORDS, COMMON = 40_000, 400_000, 256
 PARAPHRASE_COSINE, PARAPHRASE_LCS, ANSWERED_LCS = 0.55, 0.6, 0.4
 _WORD = re.compile(r"[^\W_]+")
@@ -246,6 +250,15 @@ class LatentSpace:
         """Unit vectors of lists of known words."""
         return _unit(np.stack([self.table[w].sum(0) for w in parts])) if parts else np.empty((0, self.table.shape[1]), np.float32)
 
+    def windows(self, flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Unit vectors of n known words from each place on; equal words have equal vectors, also where they add up to nothing."""
+        x = np.zeros((len(at), self.table.shape[1]), np.float32)
+        for j in range(n):
+            x += self.table[flat[at + j]]
+        x /= np.maximum(np.abs(x).max(1, keepdims=True), 1e-30)
+        x[~x.any(1), 0] = 1
+        return _unit(x)
+
 
 def latent_space(docs: DataFrame, size: int, rank: int = RANK, run: int = RUN, rounds: int = 1) -> LatentSpace:
     """Randomised SVD of the passages' TF-IDF matrix: orthonormal basis of its leading right singular space."""
@@ -269,25 +282,87 @@ def latent_space(docs: DataFrame, size: int, rank: int = RANK, run: int = RUN, r
     return LatentSpace(idf, q)
 
 
+def _lists(vectors: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means: (centres, about the square root of the vectors; the centre of each vector)."""
+    c = vectors[rng.choice(len(vectors), max(1, round(len(vectors) ** 0.5)), replace=False)]
+    for _ in range(6):
+        at = (vectors @ c.T).argmax(1)
+        m = np.zeros_like(c)
+        np.add.at(m, at, vectors)
+        c = np.where(m.any(1, keepdims=True), _unit(m), c)
+    return c, (vectors @ c.T).argmax(1)
+
+
+class Windows:
+    """The windows of `n` known words of some documents, as passages are."""
+
+    def __init__(self, docs: list[np.ndarray], size: int, n: int):
+        sizes = np.array([len(x) for x in docs], np.int64)
+        self.flat = np.concatenate(docs) if len(docs) else np.empty(0, np.int32)
+        end = np.repeat(np.cumsum(sizes), sizes)
+        known = np.concatenate(([0], np.cumsum((self.flat >= 0) & (self.flat < size))))
+        at = np.arange(max(0, len(self.flat) - n + 1))
+        self.at = at[(at + n <= end[at]) & (known[at + n] - known[at] == n)]
+        self.to = self.at + n
+        self.doc = np.repeat(np.arange(len(docs)), sizes)[self.at]
+
+
+class RunIndex:
+    """The runs of the items by length, in lists."""
+
+    def __init__(self, items: Items, space: LatentSpace):
+        self.space, self.size = space, items.size
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]] = {}
+        for n in sorted(set(items.lengths.tolist())):
+            own = np.flatnonzero(items.lengths == n)
+            flat = np.concatenate([np.array(items.words[k], np.int64) for k in own])
+            sizes = np.array([len(items.words[k]) for k in own])
+            at = np.concatenate([np.arange(m - n + 1) + b for m, b in zip(sizes, np.cumsum(sizes) - sizes)])
+            owner = np.repeat(own, sizes - n + 1)
+            v = space.windows(flat, at, n)
+            c, near = _lists(v, np.random.default_rng(SEED + 3))
+            self.of[n] = v, owner, c, [np.flatnonzero(near == j) for j in range(len(c))]
+
+    def candidates(self, w: Windows, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of w, items) of the windows of n words: each pair once."""
+        vectors, owner, centres, lists = self.of[n]
+        rows, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo in range(0, len(w.at), 8192):
+            x = self.space.windows(w.flat, w.at[lo : lo + 8192], n)
+            s = x @ centres.T
+            close, of = np.nonzero(s >= s.max(1, keepdims=True) - SAME)
+            order = np.argsort(of, kind="stable")
+            close, of = close[order], of[order]
+            cuts = np.searchsorted(of, np.arange(len(lists) + 1))
+            for j, members in enumerate(lists):
+                i = close[cuts[j] : cuts[j + 1]]
+                for a in range(0, len(members), 4096) if len(i) else ():
+                    m = members[a : a + 4096]
+                    r, p = np.nonzero(x[i] @ vectors[m].T >= 1 - SAME)
+                    rows.append(i[r] + lo)
+                    items.append(owner[m[p]])
+        both = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)]), axis=1)
+        return both[0], both[1]
+
+
 class ProbeIndex:
-    """The probes of the items in lists, with calibrated thresholds."""
+    """The probes of the items in lists.
+
+    Without `background` the cosine is PARAPHRASE_COSINE and no probe of that cosine is passed over.  With it (to measure how
+    well passages tell leaks) both thresholds are calibrated on leaks written over the background."""
 
-    def __init__(self, items: Items, space: LatentSpace, background: list[np.ndarray], paraphrases: bool = False):
+    def __init__(self, items: Items, space: LatentSpace, background: list[np.ndarray] | None = None):
         self.vectors = space.of([w for _, w in items.probes])
         self.owner = np.array([k for k, _ in items.probes])
-        lists = max(1, round(len(self.vectors) ** 0.5))
         rng = np.random.default_rng(SEED + 2)
-        c = self.vectors[rng.choice(len(self.vectors), lists, replace=False)]
-        for _ in range(6):
-            at = (self.vectors @ c.T).argmax(1)
-            m = np.zeros_like(c)
-            np.add.at(m, at, self.vectors)
-            c = np.where(m.any(1, keepdims=True), _unit(m), c)
-        at = (self.vectors @ c.T).argmax(1)
-        self.centres, self.lists = c, [np.flatnonzero(at == j) for j in range(lists)]
-        self.cosine, self.near = self._calibrate(items, space, background, at, rng)
-        if paraphrases:
-            self.cosine, self.near = min(self.cosine, PARAPHRASE_COSINE), min(self.near, PARAPHRASE_COSINE / 2)
+        self.centres, at = _lists(self.vectors, rng)
+        self.lists = [np.flatnonzero(at == j) for j in range(len(self.centres))]
+        if background is not None:
+            self.cosine, self.near = self._calibrate(items, space, background, at, rng)
+        else:
+            least = np.array([(self.vectors[m] @ c).min(initial=1) for m, c in zip(self.lists, self.centres)])
+            radius = np.arccos(np.clip(least - SAME, -1, 1))
+            self.cosine, self.near = PARAPHRASE_COSINE, np.cos(np.minimum(np.arccos(PARAPHRASE_COSINE) + radius, np.pi)) - SAME
 
     def _calibrate(self, items: Items, space: LatentSpace, background: list[np.ndarray], at: np.ndarray, rng) -> tuple[float, float]:
         first = np.searchsorted(self.owner, np.arange(len(items.words) + 1))
@@ -358,7 +433,7 @@ def lcs_length(a: list[int], b: list[int]) -> int:
 _SCHEMA = "doc_id bigint, item_id bigint, verbatim boolean, cosine double, lcs double, answers double"
 
 
-def _verbatim(items: Items, p: Passages, row: np.ndarray, item: np.ndarray) -> np.ndarray:
+def _verbatim(items: Items, p: Passages | Windows, row: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Whether the passage of each candidate holds a whole run of its item."""
     hit = np.zeros(len(row), bool)
     for n, keys in items.runs.items():
@@ -376,24 +451,23 @@ def _verbatim(items: Items, p: Passages, row: np.ndarray, item: np.ndarray) -> n
     return hit
 
 
-def _search(items: Items, space: LatentSpace, index: ProbeIndex, paraphrases: bool):
-    # a passage with fewer words of the items than the shortest run, or than a paraphrase needs, cannot hold one
-    least = int(items.lengths.min())
-    if paraphrases:
-        least = min(least, max(1, int(min(map(len, items.words)) * ANSWERED_LCS / 3)))  # of the three passages around
+def _search(items: Items, space: LatentSpace, runs: RunIndex, index: ProbeIndex | None):
+    # a passage with fewer words of the items than a paraphrase needs cannot hold one
+    least = max(1, int(min(map(len, items.words)) * ANSWERED_LCS / 3))  # of the three passages around
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         masks: dict[int, dict[int, int]] = {}
         for ids, docs in _parts(batches):
-            p = Passages(docs, items.size, items.run, least)
-            if not len(p):
-                continue
-            row, item, cos = index.candidates(_unit(p.sums(space.table)))
-            exact = _verbatim(items, p, row, item)
             out: dict[tuple[int, int], tuple] = {}
-            for d, k, c in zip(p.doc[row[exact]].tolist(), item[exact].tolist(), cos[exact].tolist()):
-                out[(d, k)] = (True, max(c, out.get((d, k), (0, 0.0))[1]), 1.0, 1.0)
-            for i in np.flatnonzero(~exact & (cos >= PARAPHRASE_COSINE)).tolist() if paraphrases else ():
+            for n in runs.of:
+                w = Windows(docs, items.size, n)
+                row, item = runs.candidates(w, n)
+                exact = _verbatim(items, w, row, item)
+                for d, k in zip(w.doc[row[exact]].tolist(), item[exact].tolist()):
+                    out[(d, k)] = (True, 1.0, 1.0, 1.0)
+            p = Passages(docs, items.size, items.run, least) if index else ()
+            row, item, cos = index.candidates(_unit(p.sums(space.table))) if len(p) else (np.empty(0, np.int64),) * 3
+            for i in np.flatnonzero(cos >= PARAPHRASE_COSINE).tolist():
                 d, k = int(p.doc[row[i]]), int(item[i])
                 was = out.get((d, k))
                 if was and was[0]:
@@ -423,10 +497,12 @@ def item_blocks(items: DataFrame, run: int = RUN) -> Iterator[Items]:
             rest += [tuple(r) for r in block]
             last = rest[-1][0] if rest else None
         seen: set[str] = set()
-        take = 0
+        take = many = 0
         for _, text, query in rest:
-            seen.update(words(text), words(query))
-            if take and len(seen) > VOCABULARY:
+            own = words(text)
+            seen.update(own, words(query))
+            many += len(own)
+            if take and (len(seen) > VOCABULARY or many > BLOCK_WORDS):
                 break
             take += 1
         yield Items(rest[:take], run)
@@ -446,12 +522,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     for part in item_blocks(q, run):
         if not part.probes:
             continue
-        coded = materialize(d.mapInPandas(_encode(part.vocab), "doc bigint, ids array<int>"))  # read four times
-        n = coded.count()
-        step = F.lit(max(1, n // BACKGROUND))
-        some = coded.filter((F.pmod(F.xxhash64("doc"), step) == 0) & (F.size("ids") > 0)).select(F.slice("ids", 1, 40 * run).alias("ids")).limit(2 * BACKGROUND)
+        coded = materialize(d.mapInPandas(_encode(part.vocab), "doc bigint, ids array<int>"))  # read three times
         space = latent_space(coded, part.size, run=run)
-        index = ProbeIndex(part, space, [np.array(r[0], np.int64) for r in some.collect()], paraphrases)
-        found = coded.mapInPandas(_search(part, space, index, paraphrases), _SCHEMA)
+        index = ProbeIndex(part, space) if paraphrases else None
+        found = coded.mapInPandas(_search(part, space, RunIndex(part, space), index), _SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], _SCHEMA)

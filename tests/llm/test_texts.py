@@ -206,6 +206,21 @@ def test_candidates_find_planted_runs():
     assert len(row) < 0.5 * len(p) * len(texts)
 
 
+def test_leaks_among_rare_words_of_other_items(spark):
+    """A run of common words between rare words of items is found, though the passage is not near to it."""
+    rng = random.Random(12)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    common, rare = [word("abc", 3) for _ in range(20)], [word("defghij", 8) for _ in range(700)]
+    texts = [[rng.choice(common) for _ in range(26)] for _ in range(4)] + [rng.sample(rare, 60) for _ in range(60)]
+    docs = [[rng.choice(common) for _ in range(150)] for _ in range(400)]
+    docs += [rng.sample(rare, 13) + texts[0][a : a + 13] + rng.sample(rare, 13) for a in range(14)]
+    runs = [{tuple(t[a : a + 13]) for a in range(len(t) - 12)} for t in texts]
+    want = {(d, i) for d, w in enumerate(docs) for i, r in enumerate(runs) if any(tuple(w[a : a + 13]) in r for a in range(len(w) - 12))}
+    assert {(400 + a, 0) for a in range(14)} <= want
+    got = leaks(spark, [" ".join(w) for w in docs], [" ".join(t) for t in texts])
+    assert {(d, i) for d, i, v in got if v} == want
+
+
 @given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(-1, 4), max_size=14))
 def test_bit_parallel_subsequence(a, b):
     row = [0] * (len(b) + 1)
